@@ -1,6 +1,7 @@
 """Named queries over the test tables, one or more per operator."""
 
-from loomwork.catalog import classification_queries, regression_queries  # noqa: F401
+from loomwork.catalog import (classification_queries, prepare_queries, profile_queries,  # noqa: F401
+                              regression_queries, source_queries)
 from loomwork.catalog.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
