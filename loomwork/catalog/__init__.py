@@ -1,7 +1,8 @@
 """Named queries over the test tables, one or more per operator."""
 
-from loomwork.catalog import (classification_queries, cluster_queries, prepare_queries,  # noqa: F401
-                              profile_queries, regression_queries, source_queries)
+from loomwork.catalog import (choose_queries, classification_queries, cluster_queries,  # noqa: F401
+                              prepare_queries, profile_queries, regression_queries,
+                              source_queries)
 from loomwork.catalog.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

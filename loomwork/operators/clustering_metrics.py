@@ -60,7 +60,7 @@ def _centre_chunks(summary: DataFrame) -> Iterator[_Centres]:
 
 
 def _square_distances(x: np.ndarray, c: np.ndarray) -> np.ndarray:
-    """Squared distances by explicit differences, a few thousand cells of memory per row block."""
+    """Squared distances by explicit differences (no cancellation for far-off centres)."""
     out = np.empty((len(x), len(c)))
     for j, centre in enumerate(c):
         d = x - centre
@@ -68,11 +68,19 @@ def _square_distances(x: np.ndarray, c: np.ndarray) -> np.ndarray:
     return out
 
 
+# Largest distance matrix held at once inside a task (cells).
+BLOCK_CELLS = 4_000_000
+
+
+def _in_blocks(measure, columns: list[str], centres: int, *series: pd.Series) -> pd.DataFrame:
+    """Apply ``measure`` to row blocks so that rows x centres stays within ``BLOCK_CELLS``."""
+    step, n = max(1, BLOCK_CELLS // max(1, centres)), len(series[0])
+    parts = [measure(*[s.iloc[a:a + step] for s in series]) for a in range(0, n, step)]
+    return pd.concat(parts, ignore_index=True) if parts else pd.DataFrame({c: [] for c in columns})
+
+
 def _row_measure(k: _Centres):
-    @F.pandas_udf("struct<own double, inside double, outside double>")
-    def measure(x: pd.Series, label: pd.Series) -> pd.DataFrame:
-        if len(x) == 0:
-            return pd.DataFrame({"own": [], "inside": [], "outside": []})
+    def block(x: pd.Series, label: pd.Series) -> pd.DataFrame:
         mine, rows = label.to_numpy(), np.arange(len(x))
         d = _square_distances(np.vstack(x.to_numpy()), k.c)
         at = np.minimum(np.searchsorted(k.ids, mine), len(k.ids) - 1)
@@ -84,13 +92,16 @@ def _row_measure(k: _Centres):
         mean[rows[here], at[here]] = np.inf
         return pd.DataFrame({"own": np.where(here, own, np.nan), "inside": inside, "outside": mean.min(axis=1)})
 
+    @F.pandas_udf("struct<own double, inside double, outside double>")
+    def measure(x: pd.Series, label: pd.Series) -> pd.DataFrame:
+        return _in_blocks(block, ["own", "inside", "outside"], len(k.ids), x, label)
+
     return measure
 
 
 def _centre_measure(k: _Centres):
     """Like ``_row_measure`` for a row that is itself a centre; ``k.w`` holds the densities."""
-    @F.pandas_udf("struct<lo double, hi double, total double, ratio double>")
-    def measure(x: pd.Series, label: pd.Series, spread: pd.Series) -> pd.DataFrame:
+    def block(x: pd.Series, label: pd.Series, spread: pd.Series) -> pd.DataFrame:
         d = np.sqrt(_square_distances(np.vstack(x.to_numpy()), k.c))
         same = label.to_numpy()[:, None] == k.ids[None, :]
         with np.errstate(divide="ignore", invalid="ignore"):
@@ -100,6 +111,10 @@ def _centre_measure(k: _Centres):
             "lo": np.where(same, np.inf, d).min(axis=1), "hi": np.where(same, -np.inf, d).max(axis=1),
             "total": np.where(same, 0.0, d).sum(axis=1), "ratio": ratio.max(axis=1)})
 
+    @F.pandas_udf("struct<lo double, hi double, total double, ratio double>")
+    def measure(x: pd.Series, label: pd.Series, spread: pd.Series) -> pd.DataFrame:
+        return _in_blocks(block, ["lo", "hi", "total", "ratio"], len(k.ids), x, label, spread)
+
     return measure
 
 
