@@ -8,7 +8,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from loomwork.operators.rank import running_sums, with_ntile
+from loomwork.operators.rank import ntile_of, running_sums, with_group_position, with_ntile
+from loomwork.session import stage
 
 
 def _window(groups: list[str]):
@@ -98,7 +99,14 @@ def decile_table(df: DataFrame, tie_break: list[str], label: str = "label", scor
     """Gain table: rows ordered by score (highest first, then the tie-break key) cut into equal tiles."""
     groups = groups or []
     slim = df.select(*groups, *tie_break, F.col(label).cast("int").alias("_label"), F.col(score).alias("_score"))
-    tiled = with_ntile(slim, groups, [F.col("_score").desc()] + [F.col(t).asc() for t in tie_break], tiles)
+    return _gain_table(with_ntile(slim, groups, _score_order(tie_break), tiles), groups)
+
+
+def _score_order(tie_break: list[str]) -> list[Column]:
+    return [F.col("_score").desc()] + [F.col(t).asc() for t in tie_break]
+
+
+def _gain_table(tiled: DataFrame, groups: list[str]) -> DataFrame:
     per = tiled.groupBy(*groups, "decile").agg(
         F.count(F.lit(1)).alias("count"),
         F.sum("_label").alias("target"),
@@ -172,10 +180,21 @@ def metric_matrix(df: DataFrame, tie_break: list[str], groups: list[str], datase
 
     With ``datasets`` every expected dataset appears for every other group key; absent ones get 0.0.
     """
-    auc = area_under_roc(df, groups=groups)
-    acc = accuracy(df, groups=groups)
-    ks = ks_statistic(decile_table(df, tie_break, groups=groups), groups)
-    long = auc.join(acc, groups).join(ks, groups).unpivot(
+    slim = df.select(*groups, *tie_break, F.col("label").cast("int").alias("_label"), F.col("score").alias("_score"),
+                     F.when(F.col("prediction") == F.col("label"), 1).otherwise(0).alias("_hit"))
+    # one range sort serves all three metrics: positions give the tiles for ks and the rank sum for roc
+    placed = stage(with_group_position(slim, groups, _score_order(tie_break), "_rn", "_total").drop(*tie_break), "ranked")
+    ks = ks_statistic(_gain_table(placed.withColumn("decile", ntile_of(F.col("_rn"), F.col("_total"), 10)), groups), groups)
+    ties = placed.groupBy(*groups, "_score").agg(
+        F.sum("_label").alias("pos"), F.sum(1 - F.col("_label")).alias("neg"), F.sum("_hit").alias("hit"),
+        F.max("_rn").alias("last"), F.max("_total").alias("total"))
+    # mean rank of a tie group counted from the lowest score; rank sum of the positives gives roc
+    tie_rank = F.col("total") - F.col("last") + (F.col("pos") + F.col("neg") + 1) / 2.0
+    p, n = F.sum("pos").cast("double"), F.sum("neg").cast("double")
+    auc = ties.groupBy(*groups).agg(
+        F.try_divide(F.sum(F.col("pos") * tie_rank) - p * (p + 1) / 2, p * n).alias("roc"),
+        (F.sum("hit") / F.max("total")).alias("accuracy"))
+    long = auc.join(ks, groups).unpivot(
         groups, ["roc", "accuracy", "ks"], "metric", "value")
     if datasets is None:
         return long

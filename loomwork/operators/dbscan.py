@@ -123,7 +123,7 @@ def neighbour_cores(tree: PointTree, eps: float, min_points: int) -> DataFrame:
         open_ = near.where(~F.col("_whole")).drop("_whole").join(settled, "a_node", "left_anti")
         leaf = open_.where("b_is_leaf").select("a_node", "b_node")
         units = leaf if units is None else units.unionByName(leaf)
-        inner = stage(open_.where(~F.col("b_is_leaf")), "inner")
+        inner = open_.where(~F.col("b_is_leaf"))
         if inner.isEmpty():
             break
         pairs = descend(inner, "b", tree.nodes)
@@ -179,7 +179,7 @@ def _links(core: DataFrame, width: int, eps2: float) -> DataFrame:
             known, (F.least(side("a"), side("b")) == F.col("_a")) & (F.greatest(side("a"), side("b")) == F.col("_b")), "left_anti")
         leaf = open_.where(F.col("a_is_leaf") & F.col("b_is_leaf")).select("a_node", "b_node")
         units = leaf if units is None else units.unionByName(leaf)
-        inner = stage(open_.where(~(F.col("a_is_leaf") & F.col("b_is_leaf"))), "inner")
+        inner = open_.where(~(F.col("a_is_leaf") & F.col("b_is_leaf")))
         if inner.isEmpty():
             break
         pairs = descend(descend(inner, "a", nodes, "clique"), "b", nodes, "clique")
@@ -192,22 +192,29 @@ def _links(core: DataFrame, width: int, eps2: float) -> DataFrame:
 
 
 def connected_components(vertices: DataFrame, links: DataFrame) -> DataFrame:
-    """(v, root): lowest vertex of each component, by neighbour minimum and pointer jumping.
+    """(v, root): lowest vertex of each component.
 
-    ``vertices`` has ``v``; ``links`` has ``a`` and ``b``. Every round is written out, so lineage stays short.
+    Every vertex points to its lowest neighbour, pointers are doubled until they end at roots, and the links
+    are contracted to the roots; the graph shrinks every round. Every step is written out, so lineage stays
+    short and a lost executor costs one step. ``vertices`` has ``v``; ``links`` has ``a`` and ``b``.
     """
-    arcs = stage(links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))), "arcs")
-    labels = stage(vertices.select("v", F.col("v").alias("root")), "labels")
-    while True:
-        lowest = arcs.join(labels, F.col("b") == F.col("v")).groupBy("a").agg(F.min("root").alias("m"))
-        hooked = labels.join(lowest, F.col("v") == F.col("a"), "left").select(
-            "v", F.least("root", F.coalesce("m", "root")).alias("root"), F.col("root").alias("old"))
-        hooked = stage(hooked, "hooked")
-        jump = hooked.select(F.col("v").alias("_v"), F.col("root").alias("_r"))
-        new = stage(hooked.join(jump, F.col("root") == F.col("_v")).select("v", F.least("root", "_r").alias("root"), "old"), "labels")
-        if new.where("root <> old").isEmpty():
-            return new.select("v", "root")
-        labels = new.select("v", "root")
+    labels = vertices.select("v", F.col("v").alias("root"))
+    edges = stage(links.where("a <> b").select("a", "b"), "edges")
+    while not edges.isEmpty():
+        arcs = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        up = stage(arcs.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("p")), "pointers")
+        while True:
+            above = up.select(F.col("a").alias("_a"), F.col("p").alias("_p"))
+            twice = stage(up.join(above, F.col("p") == F.col("_a")).select("a", F.col("_p").alias("p"), F.col("p").alias("old")), "pointers")
+            up = twice.select("a", "p")
+            if twice.where("p <> old").isEmpty():
+                break
+        labels = stage(labels.join(up, F.col("root") == F.col("a"), "left").select("v", F.coalesce("p", "root").alias("root")), "labels")
+        left = up.select(F.col("a").alias("_a"), F.col("p").alias("_pa"))
+        right = up.select(F.col("a").alias("_b"), F.col("p").alias("_pb"))
+        edges = stage(edges.join(left, F.col("a") == F.col("_a")).join(right, F.col("b") == F.col("_b")).where("_pa <> _pb").select(
+            F.least("_pa", "_pb").alias("a"), F.greatest("_pa", "_pb").alias("b")).distinct(), "edges")
+    return labels
 
 
 def _border(tree: PointTree, cores: DataFrame, labelled: DataFrame, eps2: float) -> DataFrame:
@@ -224,7 +231,7 @@ def _border(tree: PointTree, cores: DataFrame, labelled: DataFrame, eps2: float)
         open_ = near.where(~F.col("_whole")).drop("_whole")
         leaf = open_.where("b_is_leaf").select("a_node", "b_node")
         units = leaf if units is None else units.unionByName(leaf)
-        inner = stage(open_.where(~F.col("b_is_leaf")), "inner")
+        inner = open_.where(~F.col("b_is_leaf"))
         if inner.isEmpty():
             break
         pairs = descend(inner, "b", nodes, "label")

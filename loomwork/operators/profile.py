@@ -208,9 +208,27 @@ def suggest_target(df: DataFrame, task: str) -> DataFrame:
     last = df.columns[-1]
     if task == "regression":
         return df.sparkSession.createDataFrame([((numeric or [last])[0],)], "column string")
-    order = F.create_map(*[x for i, c in enumerate(df.columns) for x in (F.lit(c), F.lit(i))])
-    two = distinct_counts(df, df.columns).where(F.col("distinct") == 2).agg(F.min_by("column", order[F.col("column")]).alias("column"))
-    return two.select(F.coalesce("column", F.lit((text or [last])[0])).alias("column"))
+    return two_valued(df).agg(F.min_by("column", "position").alias("column")).select(
+        F.coalesce("column", F.lit((text or [last])[0])).alias("column"))
+
+
+def two_valued(df: DataFrame) -> DataFrame:
+    """(column, position) of columns with exactly two values, null counting as one.
+
+    A column has two values when every row equals its minimum, its maximum or null: two plain aggregates,
+    no distinct values are shuffled.
+    """
+    ends = df.agg(*[F.struct(F.min(c).alias("lo"), F.max(c).alias("hi")).alias(c) for c in df.columns])
+    packed = ends.select(F.struct("*").alias("e")).scalar()
+    facts = [F.struct(
+        F.count_if((F.col(c) != F.col(f"_e.{c}.lo")) & (F.col(c) != F.col(f"_e.{c}.hi"))).alias("between"),
+        F.max(F.col(c).isNull().cast("int")).alias("nulls"),
+        F.max((F.col(f"_e.{c}.lo") != F.col(f"_e.{c}.hi")).cast("int")).alias("spread"),
+        F.count(c).alias("known")).alias(c) for c in df.columns]
+    values = F.when(F.col("v.known") == 0, 0).otherwise(1 + F.col("v.spread")) + F.col("v.nulls")
+    position = F.create_map(*[x for i, c in enumerate(df.columns) for x in (F.lit(c), F.lit(i))])
+    return df.withColumn("_e", packed).agg(*facts).unpivot([], df.columns, "column", "v").where(
+        (F.col("v.between") == 0) & (values == 2)).select("column", position[F.col("column")].alias("position"))
 
 
 def class_distribution(df: DataFrame, target: str) -> DataFrame:
