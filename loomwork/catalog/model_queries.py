@@ -26,7 +26,7 @@ from loomwork.operators.split import assign_split
 from loomwork.plans.classification import ClassificationRun
 from loomwork.plans.clustering import ClusteringRun
 from loomwork.plans.regression import RegressionRun
-from loomwork.session import shared_dir, stage
+from loomwork.session import evenly, shared_dir, stage
 from loomwork.sources import readers, sinks
 
 NUMERIC = ["l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_linenumber"]
@@ -37,7 +37,7 @@ def _binary(spark, sf):
     """lineitem, encoded and split: label = returned."""
     t = table(spark, sf, "lineitem").withColumn("label", F.when(F.col("l_returnflag") == "R", 1.0).otherwise(0.0))
     spec = en.FeatureSpec("label", categorical=["l_linestatus"], numeric=NUMERIC)
-    ready = en.prepare_columns(assign_split(t, LINE_KEY, SPLIT).withColumnsRenamed({k: f"k_{k}" for k in LINE_KEY}).withColumns(
+    ready = en.prepare_columns(assign_split(evenly(t, *LINE_KEY), LINE_KEY, SPLIT).withColumnsRenamed({k: f"k_{k}" for k in LINE_KEY}).withColumns(
         {k: F.col(f"k_{k}") for k in LINE_KEY}), spec)
     model = en.fit_encoder(ready.where("dataset = 'train'"), spec)
     return stage(model.transform(ready).select(*[F.col(f"k_{k}") for k in LINE_KEY], "dataset", "label", "features"), "binary"), len(spec.encoded)
@@ -84,7 +84,7 @@ for _name, _id in [("logistic", "mdl1"), ("random_forest", "mdl2"), ("gradient_b
 def _regression(spark, sf):
     t = table(spark, sf, "lineitem").withColumn("label", F.col("l_extendedprice"))
     feats = ["l_quantity", "l_discount", "l_tax", "l_linenumber"]
-    v = VectorAssembler(inputCols=feats, outputCol="features").transform(assign_split(t, LINE_KEY, SPLIT))
+    v = VectorAssembler(inputCols=feats, outputCol="features").transform(assign_split(evenly(t, *LINE_KEY), LINE_KEY, SPLIT))
     return stage(v.select(*LINE_KEY, "dataset", "label", "features"), "regression")
 
 

@@ -23,32 +23,13 @@ def accuracy(df: DataFrame, label: str = "label", prediction: str = "prediction"
 
 
 def _score_counts(df: DataFrame, label: str, score: str, groups: list[str], descending: bool) -> DataFrame:
-    """Positives and negatives per distinct score with running totals over the global order."""
+    """Positives and negatives per distinct score with running and whole totals of the group."""
     counts = df.groupBy(*groups, F.col(score).alias("score")).agg(
         F.sum(F.when(F.col(label) == 1, 1).otherwise(0)).alias("pos"),
         F.sum(F.when(F.col(label) == 1, 0).otherwise(1)).alias("neg"),
     )
     direction = F.col("score").desc() if descending else F.col("score").asc()
-    return running_sums(counts, [F.col(g) for g in groups] + [direction], ["pos", "neg"])
-
-
-def _with_group_base(running: DataFrame, groups: list[str]) -> DataFrame:
-    """Turn running totals over all groups into running totals inside each group and add group totals."""
-    totals = running.groupBy(*groups).agg(
-        F.sum("pos").alias("total_pos"), F.sum("neg").alias("total_neg"),
-        F.min(F.col("pos_cum") - F.col("pos")).alias("_base_pos"),
-        F.min(F.col("neg_cum") - F.col("neg")).alias("_base_neg"),
-    )
-    if groups:
-        out = running.join(totals, groups)
-    else:
-        packed = totals.select(F.struct("*").alias("t")).scalar()
-        out = running.withColumn("_t", packed).select("*", "_t.*").drop("_t")
-    return (
-        out.withColumn("pos_cum", F.col("pos_cum") - F.col("_base_pos"))
-        .withColumn("neg_cum", F.col("neg_cum") - F.col("_base_neg"))
-        .drop("_base_pos", "_base_neg")
-    )
+    return running_sums(counts, groups, [direction], ["pos", "neg"])
 
 
 def area_under_roc(df: DataFrame, label: str = "label", score: str = "score",
@@ -57,24 +38,20 @@ def area_under_roc(df: DataFrame, label: str = "label", score: str = "score",
     groups = groups or []
     running = _score_counts(df, label, score, groups, descending=False)
     pieces = F.col("pos") * (F.col("neg_cum") - F.col("neg") + F.col("neg") / 2.0)
-    if not groups:
-        return running.agg(F.try_divide(F.sum(pieces), F.sum("pos").cast("double") * F.sum("neg")).alias("roc"))
-    running = _with_group_base(running, groups)
     return running.groupBy(*groups).agg(
-        F.try_divide(F.sum(pieces), F.max("total_pos").cast("double") * F.max("total_neg")).alias("roc")
-    )
+        F.try_divide(F.sum(pieces), F.sum("pos").cast("double") * F.sum("neg")).alias("roc"))
 
 
 def roc_points(df: DataFrame, label: str = "label", score: str = "score",
                groups: list[str] | None = None) -> DataFrame:
     """One ROC point per distinct score: rows scored at or above the threshold count as positive."""
     groups = groups or []
-    running = _with_group_base(_score_counts(df, label, score, groups, descending=True), groups)
+    running = _score_counts(df, label, score, groups, descending=True)
     return running.select(
         *groups,
         F.col("score").alias("threshold"),
-        F.try_divide(F.col("neg_cum").cast("double"), F.col("total_neg")).alias("fpr"),
-        F.try_divide(F.col("pos_cum").cast("double"), F.col("total_pos")).alias("tpr"),
+        F.try_divide(F.col("neg_cum").cast("double"), F.col("neg_total")).alias("fpr"),
+        F.try_divide(F.col("pos_cum").cast("double"), F.col("pos_total")).alias("tpr"),
     )
 
 
@@ -85,12 +62,12 @@ def area_under_pr(df: DataFrame, label: str = "label", score: str = "score",
     The curve starts at recall 0 with the precision of the highest score.
     """
     groups = groups or []
-    running = _with_group_base(_score_counts(df, label, score, groups, descending=True), groups)
+    running = _score_counts(df, label, score, groups, descending=True)
     # the point before a row follows from its own running totals, so no lag window is needed
     prev_pos, prev_neg = F.col("pos_cum") - F.col("pos"), F.col("neg_cum") - F.col("neg")
     here = F.col("pos_cum") / (F.col("pos_cum") + F.col("neg_cum"))
     before = F.when(prev_pos + prev_neg == 0, here).otherwise(F.try_divide(prev_pos, prev_pos + prev_neg))
-    piece = F.try_divide(F.col("pos").cast("double"), F.col("total_pos")) * (here + before) / 2.0
+    piece = F.try_divide(F.col("pos").cast("double"), F.col("pos_total")) * (here + before) / 2.0
     return running.groupBy(*groups).agg(F.sum(piece).alias("pr"))
 
 

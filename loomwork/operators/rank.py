@@ -10,50 +10,47 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from loomwork.session import shuffle_width, stage
+from loomwork.session import join_small, shuffle_width, stage
 
 _ROW_BITS = 33
 
 
-def _offsets(parts: DataFrame, sums: list[str]) -> DataFrame:
-    """Totals of all earlier partitions; ``parts`` holds one row per shuffle partition."""
-    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    return parts.select("_part", *[F.coalesce(F.sum(s).over(before), F.lit(0)).alias(f"_before_{s}") for s in sums])
+def _group_window(groups: list[str]):
+    return Window.partitionBy(*groups) if groups else Window.partitionBy(F.lit(1))
 
 
-def with_position(df: DataFrame, order: list[Column], name: str = "rn") -> DataFrame:
-    """Add the 1-based position of every row in the given total order."""
-    n = shuffle_width(df.sparkSession)
+def _before(groups: list[str]):
+    """Earlier partitions of the same group. Rows here are (group, partition) pairs, not table rows."""
+    return _group_window(groups).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+
+
+def with_group_position(df: DataFrame, groups: list[str], order: list[Column], name: str = "rn",
+                        total: str = "n") -> DataFrame:
+    """Add the 1-based position of every row inside its group, in the given total order, and the group size.
+
+    A group may span many partitions: the share of each (group, partition) pair is counted and summed up.
+    """
+    keys = [F.col(g) for g in groups] + order
     placed = (
-        df.repartitionByRange(n, *order)
-        .sortWithinPartitions(*order)
+        df.repartitionByRange(shuffle_width(df.sparkSession), *keys)
+        .sortWithinPartitions(*keys)
         .withColumn("_id", F.monotonically_increasing_id())
     )
-    placed = stage(placed, "position").withColumn("_part", F.shiftright("_id", _ROW_BITS))
-    sizes = placed.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
-    inside = F.col("_id").bitwiseAND(F.lit((1 << _ROW_BITS) - 1))
+    placed = stage(placed, "position").withColumns({
+        "_part": F.shiftright("_id", _ROW_BITS), "_at": F.col("_id").bitwiseAND(F.lit((1 << _ROW_BITS) - 1))}).drop("_id")
+    pieces = placed.groupBy(*groups, "_part").agg(F.count(F.lit(1)).alias("_n"), F.min("_at").alias("_from"))
+    pieces = pieces.select(*groups, "_part", "_from", F.coalesce(F.sum("_n").over(_before(groups)), F.lit(0)).alias("_earlier"),
+                           F.sum("_n").over(_group_window(groups)).alias(total))
     return (
-        placed.join(F.broadcast(_offsets(sizes, ["_n"])), "_part")
-        .withColumn(name, F.col("_before__n") + inside + 1)
-        .drop("_part", "_id", "_before__n")
+        join_small(placed, pieces, [*groups, "_part"])
+        .withColumn(name, F.col("_earlier") + F.col("_at") - F.col("_from") + 1)
+        .drop("_part", "_at", "_from", "_earlier")
     )
 
 
-def with_group_position(df: DataFrame, groups: list[str], order: list[Column], name: str = "rn",
-                        total: str = "n") -> DataFrame:
-    """Position inside each group and the group size. A group may span many partitions."""
-    placed = with_position(df, [F.col(g) for g in groups] + order, name="_global")
-    if not groups:
-        size = placed.agg(F.count(F.lit(1)).alias("n")).scalar()
-        return placed.withColumn(name, F.col("_global")).withColumn(total, size).drop("_global")
-    stats = placed.groupBy(*groups).agg(F.min("_global").alias("_first"), F.count(F.lit(1)).alias(total))
-    stats = stats.select(*[F.col(g).alias(f"_g_{g}") for g in groups], "_first", total)
-    same = [F.col(g).eqNullSafe(F.col(f"_g_{g}")) for g in groups]
-    return (
-        placed.join(stats, same)
-        .withColumn(name, F.col("_global") - F.col("_first") + 1)
-        .drop("_global", "_first", *[f"_g_{g}" for g in groups])
-    )
+def with_position(df: DataFrame, order: list[Column], name: str = "rn") -> DataFrame:
+    """Add the 1-based position of every row in the given total order."""
+    return with_group_position(df, [], order, name, "_total").drop("_total")
 
 
 def ntile_of(position: Column, total: Column, tiles: int) -> Column:
@@ -72,57 +69,59 @@ def with_ntile(df: DataFrame, groups: list[str], order: list[Column], tiles: int
     return placed.withColumn(name, ntile_of(F.col("_rn"), F.col("_total"), tiles)).drop("_rn", "_total")
 
 
-def running_sums(df: DataFrame, order: list[Column], sums: list[str], suffix: str = "_cum") -> DataFrame:
-    """Inclusive running totals of ``sums`` in the given total order (adds ``<name><suffix>``)."""
-    n = shuffle_width(df.sparkSession)
-    placed = stage(df.repartitionByRange(n, *order).withColumn("_part", F.spark_partition_id()), "running")
-    parts = placed.groupBy("_part").agg(*[F.sum(s).alias(s) for s in sums])
-    inside = Window.partitionBy("_part").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    out = placed.join(F.broadcast(_offsets(parts, sums)), "_part")
-    for s in sums:
-        out = out.withColumn(f"{s}{suffix}", F.sum(s).over(inside) + F.col(f"_before_{s}"))
-    return out.drop("_part", *[f"_before_{s}" for s in sums])
+def _in_ranges(df: DataFrame, keys: list[Column]) -> DataFrame:
+    """Range-partitioned copy with the partition number as a column."""
+    placed = df.repartitionByRange(shuffle_width(df.sparkSession), *keys).withColumn("_part", F.spark_partition_id())
+    return stage(placed, "ranges")
+
 
+def running_sums(df: DataFrame, groups: list[str], order: list[Column], sums: list[str], suffix: str = "_cum",
+                 total: str = "_total") -> DataFrame:
+    """Inclusive running totals inside each group (``<name>_cum``) and group totals (``<name>_total``).
 
-def value_counts_running(df: DataFrame, groups: list[str], value: str) -> tuple[DataFrame, DataFrame]:
-    """Distinct values with their count and the inclusive running count inside the group, plus group sizes."""
-    counted = df.groupBy(*groups, value).agg(F.count(F.lit(1)).alias("_c"))
-    running = running_sums(counted, [F.col(g) for g in groups] + [F.col(value)], ["_c"])
-    if not groups:
-        sizes = running.agg(F.sum("_c").alias("_size"))
-        return running.withColumn("_upto", F.col("_c_cum")).drop("_c_cum"), sizes
-    sizes = running.groupBy(*groups).agg(F.sum("_c").alias("_size"), F.min(F.col("_c_cum") - F.col("_c")).alias("_base"))
-    running = running.join(sizes.select(*groups, "_base"), groups)
-    return running.withColumn("_upto", F.col("_c_cum") - F.col("_base")).drop("_c_cum", "_base"), sizes.drop("_base")
+    Rows should be pre-aggregated to distinct (group, order) keys.
+    """
+    placed = _in_ranges(df, [F.col(g) for g in groups] + order)
+    pieces = placed.groupBy(*groups, "_part").agg(*[F.sum(s).alias(s) for s in sums])
+    pieces = pieces.select(
+        *groups, "_part", *[F.coalesce(F.sum(s).over(_before(groups)), F.lit(0)).alias(f"_before_{s}") for s in sums],
+        *[F.sum(s).over(_group_window(groups)).alias(f"{s}{total}") for s in sums])
+    inside = Window.partitionBy(*groups, "_part").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    out = join_small(placed, pieces, [*groups, "_part"])
+    return out.withColumns({f"{s}{suffix}": F.sum(s).over(inside) + F.col(f"_before_{s}") for s in sums}).drop(
+        "_part", *[f"_before_{s}" for s in sums])
 
 
 def exact_quantiles(df: DataFrame, groups: list[str], value: str, probabilities: dict[str, float]) -> DataFrame:
     """Exact linearly interpolated quantiles per group (one output column per named probability).
 
-    The values are pre-aggregated and ranked across partitions, so a group of any size is never held in one
-    task. Null values are ignored; group keys must not be null.
+    Distinct values are counted and range-partitioned; the counts per (group, partition) tell which partitions
+    hold the wanted ranks, and only those are walked through. A group of any size is never held in one task.
+    Null values are ignored.
     """
-    running, sizes = value_counts_running(df.where(F.col(value).isNotNull()), groups, value)
-    names = list(probabilities)
-    wanted = F.array(*[
-        F.struct(F.lit(n).alias("q"), (F.lit(float(p)) * (F.col("_size") - 1)).alias("at"))
-        for n, p in probabilities.items()
-    ])
-    if groups:
-        joined = running.join(sizes, groups)
-    else:
-        joined = running.withColumn("_size", sizes.scalar())
-    first, last = F.col("_upto") - F.col("_c"), F.col("_upto") - 1
-    hits = joined.withColumn("_w", wanted).select(
-        *groups, value,
-        F.explode(F.filter("_w", lambda w: ((F.floor(w["at"]) >= first) & (F.floor(w["at"]) <= last))
-                           | ((F.ceil(w["at"]) >= first) & (F.ceil(w["at"]) <= last)))).alias("_hit"),
-    )
+    counted = df.where(F.col(value).isNotNull()).groupBy(*groups, value).agg(F.count(F.lit(1)).alias("_c"))
+    placed = _in_ranges(counted, [F.col(g) for g in groups] + [F.col(value)])
+    pieces = placed.groupBy(*groups, "_part").agg(F.sum("_c").alias("_s"))
+    pieces = pieces.withColumn("_first", F.coalesce(F.sum("_s").over(_before(groups)), F.lit(0))).withColumn(
+        "_size", F.sum("_s").over(_group_window(groups)))
+
+    def touched(w: Column, first: Column, last: Column) -> Column:
+        low, high = F.floor(w["at"]), F.ceil(w["at"])
+        return ((low >= first) & (low <= last)) | ((high >= first) & (high <= last))
+
+    wanted = F.array(*[F.struct(F.lit(n).alias("q"), (F.lit(float(p)) * (F.col("_size") - 1)).alias("at"))
+                       for n, p in probabilities.items()])
+    last = F.col("_first") + F.col("_s") - 1
+    chosen = pieces.withColumn("_w", wanted).select(
+        *groups, "_part", "_first", F.filter("_w", lambda w: touched(w, F.col("_first"), last)).alias("_w")).where(F.size("_w") > 0)
+    inside = Window.partitionBy(*groups, "_part").orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
+    walked = join_small(placed, chosen, [*groups, "_part"]).withColumn("_upto", F.sum("_c").over(inside) + F.col("_first"))
+    hits = walked.select(*groups, value, F.explode(F.filter(
+        "_w", lambda w: touched(w, F.col("_upto") - F.col("_c"), F.col("_upto") - 1))).alias("_hit"))
     # at most two rows per group and quantile remain; the lower value has weight 1 - fraction
     cols = []
-    for n in names:
+    for n in probabilities:
         v = F.when(F.col("_hit.q") == n, F.col(value))
         at = F.max(F.when(F.col("_hit.q") == n, F.col("_hit.at")))
-        lo, hi = F.min(v), F.max(v)
-        cols.append((lo + (hi - lo) * (at - F.floor(at))).alias(n))
+        cols.append((F.min(v) + (F.max(v) - F.min(v)) * (at - F.floor(at))).alias(n))
     return hits.groupBy(*groups).agg(*cols)

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loomwork.functions.columns import normal_quantile
-from loomwork.operators.rank import exact_quantiles, value_counts_running, with_group_position
+from loomwork.operators.rank import exact_quantiles, running_sums, with_group_position
 
 # Fixed value: denominator that replaces a zero actual in relative errors.
 ZERO_FLOOR = 1e-8
@@ -139,9 +139,9 @@ def error_percentiles(df: DataFrame, actual: str = "actual", prediction: str = "
 
 def cumulative_distribution(df: DataFrame, value: str) -> DataFrame:
     """Share of rows at or below every distinct value."""
-    running, sizes = value_counts_running(df.where(F.col(value).isNotNull()), [], value)
-    return running.withColumn("_size", sizes.scalar()).select(
-        value, F.col("_upto").alias("rows_upto"), (F.col("_upto") / F.col("_size")).alias("share"))
+    counts = df.where(F.col(value).isNotNull()).groupBy(value).agg(F.count(F.lit(1)).alias("rows"))
+    return running_sums(counts, [], [F.col(value)], ["rows"]).select(
+        value, F.col("rows_cum").alias("rows_upto"), (F.col("rows_cum") / F.col("rows_total")).alias("share"))
 
 
 def trend_lines(df: DataFrame, actual: str = "actual", prediction: str = "prediction") -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from loomwork.functions.columns import key_bucket
 from loomwork.operators.profile import class_distribution
+from loomwork.session import broadcast_if_small, stage
 
 # Fewer rows than these ask for cross-validation.
 SMALL_FOR_SPLIT = 5_000
@@ -69,10 +70,9 @@ def oversample(df: DataFrame, target: str, keys: list[str], max_ratio: float = 0
     Every row is repeated ``floor(extra / count)`` times and once more when its key hash falls below the
     fraction: the same rows whatever the partitioning, and no row of any class is lost.
     """
-    plan = oversample_plan(df, target, max_ratio).where("extra > 0").select(
-        F.col("class").alias("_class"), (F.col("extra") / F.col("count")).alias("_rate"))
-    tagged = df.join(F.broadcast(plan) if _few_classes(plan) else plan,
-                     F.col(target).cast("string") == F.col("_class"), "left")
+    plan = stage(oversample_plan(df, target, max_ratio).where("extra > 0").select(
+        F.col("class").alias("_class"), (F.col("extra") / F.col("count")).alias("_rate")), "plan")
+    tagged = df.join(broadcast_if_small(plan, 100_000), F.col(target).cast("string") == F.col("_class"), "left")
     rate = F.coalesce("_rate", F.lit(0.0))
     bucket = key_bucket([F.col(k) for k in keys], seed)
     extra = F.floor(rate) + F.when(bucket < rate - F.floor(rate), 1).otherwise(0)
@@ -81,10 +81,6 @@ def oversample(df: DataFrame, target: str, keys: list[str], max_ratio: float = 0
     return out if copy else out.drop(name)
 
 
-def _few_classes(plan: DataFrame, limit: int = 10_000) -> bool:
-    return plan.limit(limit + 1).count() <= limit
-
-
 def union_frames(frames: list[DataFrame]) -> DataFrame:
     """Bag union by column name."""
     out = frames[0]

@@ -19,7 +19,7 @@ from loomwork.operators.models import estimator
 from loomwork.operators.score import apply_model
 from loomwork.operators.split import assign_split
 from loomwork.plans.supervised import KEY, with_key
-from loomwork.session import stage
+from loomwork.session import evenly, stage
 from loomwork.sources.sinks import save_model
 
 INDICES = ["silhouette", "calinski_harabasz", "davies_bouldin", "inertia", "num_clusters"]
@@ -54,7 +54,7 @@ class ClusteringRun:
                 whole = whole.unionByName(with_key(other, keys).withColumn("dataset", F.lit(name)).select(*cols))
         else:
             whole = assign_split(keyed, [KEY], self.shares, self.seed).select(*cols)
-        ready = stage(en.prepare_columns(whole, self.spec), "prepared")
+        ready = stage(evenly(en.prepare_columns(whole, self.spec), KEY), "prepared")
         self.encoder = en.fit_encoder(ready.where("dataset = 'train'"), self.spec)
         self.rows = stage(self.encoder.transform(ready).select(KEY, "dataset", "features"), "encoded")
         train = self.rows.where("dataset = 'train'")

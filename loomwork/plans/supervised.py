@@ -12,7 +12,7 @@ from loomwork.operators import encode as en
 from loomwork.operators import features as fs
 from loomwork.operators import profile as pf
 from loomwork.operators.split import assign_split
-from loomwork.session import stage
+from loomwork.session import evenly, stage
 
 KEY = "_key"
 
@@ -110,7 +110,7 @@ def prepare_rows(train: DataFrame, holdouts: dict[str, DataFrame], target: str,
     whole = frames[0]
     for f in frames[1:]:
         whole = whole.unionByName(f)
-    ready = stage(en.prepare_columns(whole, spec), "prepared")
+    ready = stage(evenly(en.prepare_columns(whole, spec), KEY), "prepared")
     base = ready.where(F.col("dataset") == "train")
     names = narrow_features(base, spec, "label", kind, settings)
     used = en.FeatureSpec(target, [c for c in spec.categorical if f"{c}_encoded" in names],

@@ -57,6 +57,22 @@ def shuffle_width(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def evenly(df: DataFrame, *keys: str) -> DataFrame:
+    """Hash-partition rows by key before many training passes: one shuffle, then equal work for every task."""
+    return df.repartition(shuffle_width(df.sparkSession), *keys)
+
+
 def broadcast_if_small(df: DataFrame, max_rows: int) -> DataFrame:
     """Broadcast hint when the table is counted to be small; otherwise leave the join choice to Spark."""
     return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
+
+
+def join_small(df: DataFrame, small: DataFrame, keys: list[str], max_rows: int = 100_000) -> DataFrame:
+    """Attach a per-key table to a large one (inner, null-safe).
+
+    The small table is written and counted first: up to ``max_rows`` it is broadcast and the large side stays
+    where it is; beyond that Spark joins by shuffle.
+    """
+    small = stage(small, "per_key").withColumnsRenamed({k: f"_k_{k}" for k in keys})
+    same = [F.col(k).eqNullSafe(F.col(f"_k_{k}")) for k in keys]
+    return df.join(broadcast_if_small(small, max_rows), same).drop(*[f"_k_{k}" for k in keys])
