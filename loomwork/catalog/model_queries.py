@@ -9,7 +9,7 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import functions as F
 
 from loomwork.catalog.inputs import LINE_KEY, SQL_KEY, rounded, table
-from loomwork.catalog.profile_queries import _RARE, rare_class
+from loomwork.catalog.profile_queries import _RARE, rare_class, sql_bucket
 from loomwork.catalog.registry import query
 from loomwork.functions.columns import positive_probability
 from loomwork.operators import classification_metrics as cm
@@ -68,7 +68,7 @@ def _(spark, sf):
     return flagship(spark, sf)
 
 
-@query("fun4_positive_probability")
+@query("fun4_positive_probability", "SELECT 'within' AS range, count(*) AS n FROM lineitem")
 def _(spark, sf):
     rows, width = _binary(spark, sf)
     out = estimator("classification", "logistic", features=width).fit(rows).transform(rows)
@@ -238,7 +238,7 @@ def _folder(spark, name):
     return f"{shared_dir(spark)}/models/{name}-{uuid.uuid4().hex}"
 
 
-@query("snk4_save_and_load")
+@query("snk4_save_and_load", "SELECT true AS same, count(*) AS n, 'logistic' AS champion FROM lineitem")
 def _(spark, sf):
     """Predictions before saving and after loading, compared row by row."""
     rows, width = _binary(spark, sf)
@@ -252,16 +252,31 @@ def _(spark, sf):
     return same.withColumn("champion", F.lit(info["champion"]))
 
 
-@query("exp1_shapley_values")
-def _(spark, sf):
+def _explained(spark, sf):
+    """A decision tree on part, its contributions for every row, and the rows and features."""
     t = table(spark, sf, "part").select("p_partkey", F.col("p_size").cast("double").alias("size"), F.col("p_retailprice").alias("price"),
                                         (F.col("p_partkey") % 7).cast("double").alias("seven"))
     feats = ["size", "price", "seven"]
     rows = VectorAssembler(inputCols=feats, outputCol="features").transform(t.withColumn("label", F.col("price") * 2 + F.col("size")))
     tree = estimator("regression", "decision_tree").fit(rows)
     model = PipelineModel(stages=[VectorAssembler(inputCols=feats, outputCol="features"), tree])
-    phi = ex.shapley_values(model, t, t, feats, ["p_partkey"], background_rows=8)
-    return rounded(phi, 3, "phi")
+    return model, t, feats, ex.shapley_values(model, t, t, feats, ["p_partkey"], background_rows=8)
+
+
+@query("exp1_shapley_values")
+def _(spark, sf):
+    return rounded(_explained(spark, sf)[3], 3, "phi")
+
+
+@query("exp1_contributions_add_up", "SELECT true AS adds_up, count(*) AS n FROM part")
+def _(spark, sf):
+    """Per row the contributions sum to its prediction minus the mean prediction of the background."""
+    model, t, feats, phi = _explained(spark, sf)
+    base = model.transform(ex.background_sample(t, feats, 8)).agg(F.avg("prediction")).scalar()
+    fitted = model.transform(t).select("p_partkey", "prediction")
+    sums = phi.groupBy("p_partkey").agg(F.sum("phi").alias("total")).join(fitted, "p_partkey")
+    close = F.abs(F.col("total") - (F.col("prediction") - base)) < 1e-6
+    return sums.groupBy(close.alias("adds_up")).agg(F.count(F.lit(1)).alias("n"))
 
 
 def _orders_by_year(spark, sf):
@@ -297,7 +312,10 @@ def _(spark, sf):
     return run.ranking.select("rank", "model", "metric", "stability_score", "role")
 
 
-@query("pipe1_balanced_run")
+@query("pipe1_balanced_run", f"""
+WITH c AS (SELECT rare, count(*) AS n FROM {_RARE} WHERE {sql_bucket('doc_id::VARCHAR')} < 0.4 GROUP BY 1),
+w AS (SELECT *, n::DOUBLE / sum(n) OVER () AS s, floor(max(n) OVER () * 0.3::DOUBLE)::BIGINT AS wanted FROM c)
+SELECT rare::DOUBLE AS label, CASE WHEN (SELECT min(s) FROM w) < 0.05 AND s < 0.3 AND n < wanted THEN wanted ELSE n END AS n FROM w""")
 def _(spark, sf):
     t = rare_class(spark, sf).select("doc_id", "n_chars", "quality", "rare")
     run = ClassificationRun(models=["logistic"], balance="smote").fit(t, "rare", ["doc_id"])
@@ -325,7 +343,8 @@ def _(spark, sf):
     return run.profile()["numeric"].select("variable", "cluster", "count")
 
 
-@query("src10_fit_from_source")
+@query("src10_fit_from_source", """SELECT dataset, 3::BIGINT AS metrics FROM (VALUES ('train'), ('valid'), ('test'), ('oot1'), ('oot2')) v(dataset)
+ WHERE (SELECT count(*) FROM orders) > 0""")
 def _(spark, sf):
     folder = _folder(spark, "orders")
     for name, df in _orders_by_year(spark, sf).items():
@@ -343,7 +362,7 @@ def _(spark, sf):
     return out.groupBy("predicted_class").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("sco2_score_from_disk")
+@query("sco2_score_from_disk", "SELECT true AS same, count(*) AS n FROM orders WHERE year(o_orderdate) > 2000")
 def _(spark, sf):
     """Every row of the hold-out scored by the run in memory and by the saved copy: all must agree."""
     run, frames = _classified(spark, sf, models=["decision_tree"])
@@ -355,7 +374,7 @@ def _(spark, sf):
     return a.join(b, "o_orderkey").groupBy((F.col("live") == F.col("predicted_class")).alias("same")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("sco2_regression_from_disk")
+@query("sco2_regression_from_disk", "SELECT count(*) AS rows, count(*) AS residuals, count(*) AS errors FROM part")
 def _(spark, sf):
     t = table(spark, sf, "part").select("p_partkey", "p_size", "p_brand", F.col("p_retailprice").alias("actual"))
     run = RegressionRun(models=["linear_regression"]).fit(t, "actual", ["p_partkey"])

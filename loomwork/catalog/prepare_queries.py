@@ -110,6 +110,12 @@ def _(spark, sf):
     return sp.union_frames([df.agg(F.count(F.lit(1)).alias("n")).withColumn("dataset", F.lit(n)) for n, df in parts.items()])
 
 
+@query("spl1_random_split_covers", "SELECT count(*) AS n, count(DISTINCT o_orderkey) AS keys FROM orders")
+def _(spark, sf):
+    parts = sp.random_split(table(spark, sf, "orders").select("o_orderkey"), _SHARES)
+    return sp.union_frames(list(parts.values())).agg(F.count(F.lit(1)).alias("n"), F.count_distinct("o_orderkey").alias("keys"))
+
+
 _B = sql_bucket("o_orderkey::VARCHAR")
 
 

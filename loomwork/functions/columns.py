@@ -70,6 +70,13 @@ def key_bucket(keys: list[Column], seed: int | str) -> Column:
     return F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("bigint") / F.lit(4294967296.0)
 
 
+def correlation(x: Column, y: Column) -> Column:
+    """Pearson correlation aggregate; null when a side is constant (the built-in one raises in ANSI mode)."""
+    both = x.isNotNull() & y.isNotNull()
+    a, b = F.when(both, x.cast("double")), F.when(both, y.cast("double"))
+    return F.try_divide(F.covar_pop(a, b), F.stddev_pop(a) * F.stddev_pop(b))
+
+
 def _poly(x: Column, coefficients: list[float]) -> Column:
     return reduce(lambda acc, c: acc * x + F.lit(c), coefficients[1:], F.lit(coefficients[0]))
 

@@ -20,6 +20,12 @@ def model_score(df: DataFrame, probability: bool = True) -> Column:
     return F.col("prediction").cast("double")
 
 
+def background_sample(background: DataFrame, features: list[str], rows: int, seed: int = 42) -> DataFrame:
+    """The first ``rows`` background rows in hash order (a top-n, no full sort)."""
+    numbers = [F.col(f).cast("double") for f in features]
+    return background.select(*features).orderBy(F.xxhash64(F.lit(seed), *numbers), *features).limit(rows)
+
+
 def shapley_values(model: Transformer, rows: DataFrame, background: DataFrame, features: list[str], keys: list[str],
                    background_rows: int = 10, seed: int = 42, probability: bool = True) -> DataFrame:
     """(keys..., feature, phi). Per row the contributions add up to score(row) - mean score(background used).
@@ -28,9 +34,7 @@ def shapley_values(model: Transformer, rows: DataFrame, background: DataFrame, f
     """
     width = len(features)
     numbers = F.array(*[F.col(f).cast("double") for f in features])
-    shuffled = F.xxhash64(F.lit(seed), *[F.col(f) for f in features])
-    chosen = background.select(numbers.alias("v"), shuffled.alias("h")).orderBy("h", "v").limit(background_rows)
-    table = chosen.agg(F.collect_list("v")).scalar()
+    table = background_sample(background, features, background_rows, seed).agg(F.collect_list(numbers)).scalar()
     pairs = rows.select(*keys, numbers.alias("x")).withColumn("all", table).select(
         *keys, "x", F.posexplode("all").alias("b", "bg"))
     tickets = F.array_sort(F.array(*[

@@ -8,6 +8,7 @@ from pyspark.ml.regression import RandomForestRegressor
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from loomwork.functions.columns import correlation
 from loomwork.operators.profile import SAMPLING, SMALL_ROWS, MEDIUM_ROWS
 
 # Variance floor and limits of the selection rules.
@@ -28,7 +29,7 @@ def feature_variances(df: DataFrame, features: list[str]) -> DataFrame:
 def target_correlations(df: DataFrame, features: list[str], target: str) -> DataFrame:
     """(feature, correlation): absolute Pearson correlation with the target, one aggregate for all features."""
     y = F.col(target).cast("double")
-    return df.agg(*[F.abs(F.corr(F.col(f).cast("double"), y)).alias(f) for f in features]).unpivot(
+    return df.agg(*[F.abs(correlation(F.col(f), y)).alias(f) for f in features]).unpivot(
         [], features, "feature", "correlation")
 
 
@@ -49,7 +50,7 @@ def statistical_filter(df: DataFrame, features: list[str], target: str, keep: in
     """
     y = F.col(target).cast("double")
     both = df.agg(*[
-        F.struct(F.var_samp(F.col(f).cast("double")).alias("v"), F.abs(F.corr(F.col(f).cast("double"), y)).alias("c")).alias(f)
+        F.struct(F.var_samp(F.col(f).cast("double")).alias("v"), F.abs(correlation(F.col(f), y)).alias("c")).alias(f)
         for f in features
     ]).unpivot([], features, "feature", "s")
     strength = F.coalesce(F.nanvl("s.c", F.lit(0.0)), F.lit(0.0))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loomwork.functions.columns import normal_quantile
+from loomwork.functions.columns import correlation, normal_quantile
 from loomwork.operators.rank import exact_quantiles, running_sums, with_group_position
 
 # Fixed value: denominator that replaces a zero actual in relative errors.
@@ -111,7 +111,7 @@ def normal_fit(table: DataFrame) -> DataFrame:
     return table.agg(
         F.regr_slope("sample", "theoretical").alias("slope"),
         F.regr_intercept("sample", "theoretical").alias("intercept"),
-        F.pow(F.corr("sample", "theoretical_trimmed"), 2).alias("qq_r2"),
+        F.pow(correlation(F.col("sample"), F.col("theoretical_trimmed")), 2).alias("qq_r2"),
         F.count(F.lit(1)).alias("n"),
     )
 
@@ -150,7 +150,7 @@ def trend_lines(df: DataFrame, actual: str = "actual", prediction: str = "predic
     e = y - p
     return df.agg(
         F.regr_slope(p, y).alias("fit_slope"), F.regr_intercept(p, y).alias("fit_intercept"),
-        F.pow(F.corr(y, p), 2).alias("fit_r2"),
+        F.pow(correlation(y, p), 2).alias("fit_r2"),
         F.regr_slope(e, p).alias("residual_slope"), F.regr_intercept(e, p).alias("residual_intercept"),
     )
 

@@ -36,11 +36,13 @@ class ClusteringRun:
 
     def __init__(self, models: list[str] | None = None, ks: list[int] | None = None, criterion: str = "silhouette",
                  use_elbow: bool = True, tune: str | None = None, trials: int = 4, cross_validation: bool = False,
-                 folds: int = 5, seed: int = 42, shares: dict[str, float] | None = None, impute: float = 0.0):
+                 folds: int = 5, seed: int = 42, shares: dict[str, float] | None = None, impute: float = 0.0,
+                 density_grid: tuple[list[float], list[int]] | None = None):
         self.models = models or ["kmeans", "bisecting_kmeans"]
         self.ks, self.criterion, self.use_elbow = ks or list(range(2, 11)), criterion, use_elbow
         self.tune, self.trials, self.cross_validation, self.folds = tune, trials, cross_validation, folds
         self.seed, self.shares, self.impute = seed, shares or SHARES, impute
+        self.density_grid = density_grid or (None, None)
 
     def fit(self, df: DataFrame, keys: list[str], holdouts: dict[str, DataFrame] | None = None):
         names = pf.drop_date_columns(df, [c for c in df.columns if c not in keys])
@@ -62,7 +64,7 @@ class ClusteringRun:
         for name in self.models:
             if name == "dbscan":
                 # density clusters have no model for unseen rows: all rows are clustered together
-                labels, table = dbscan_search(self.rows, [KEY])
+                labels, table = dbscan_search(self.rows, [KEY], "features", *self.density_grid)
                 self.sweeps[name], assigned = table, self.rows.join(labels, KEY)
             else:
                 params = {}
