@@ -275,8 +275,8 @@ def _(spark, sf):
     base = model.transform(ex.background_sample(t, feats, 8)).agg(F.avg("prediction")).scalar()
     fitted = model.transform(t).select("p_partkey", "prediction")
     sums = phi.groupBy("p_partkey").agg(F.sum("phi").alias("total")).join(fitted, "p_partkey")
-    close = F.abs(F.col("total") - (F.col("prediction") - base)) < 1e-6
-    return sums.groupBy(close.alias("adds_up")).agg(F.count(F.lit(1)).alias("n"))
+    close = F.abs(F.col("total") - (F.col("prediction") - F.col("base"))) < 1e-6
+    return sums.withColumn("base", base).withColumn("adds_up", close).groupBy("adds_up").agg(F.count(F.lit(1)).alias("n"))
 
 
 def _orders_by_year(spark, sf):
