@@ -14,7 +14,7 @@ from loomwork.operators import clustering_metrics as cu
 from loomwork.operators import encode as en
 from loomwork.operators import profile as pf
 from loomwork.operators import tune as tn
-from loomwork.operators.dbscan import dbscan_search
+from loomwork.operators.dbscan import dbscan, dbscan_search
 from loomwork.operators.models import estimator
 from loomwork.operators.score import apply_model
 from loomwork.operators.split import assign_split
@@ -47,6 +47,7 @@ class ClusteringRun:
     def fit(self, df: DataFrame, keys: list[str], holdouts: dict[str, DataFrame] | None = None):
         names = pf.drop_date_columns(df, [c for c in df.columns if c not in keys])
         self.spec = en.clustering_spec(df.select(*names), self.impute)
+        self.keys = keys
         keyed = with_key(df, keys)
         self.input = keyed
         cols = [KEY, "dataset", *self.spec.raw]
@@ -66,6 +67,8 @@ class ClusteringRun:
                 # density clusters have no model for unseen rows: all rows are clustered together
                 labels, table = dbscan_search(self.rows, [KEY], "features", *self.density_grid)
                 self.sweeps[name], assigned = table, self.rows.join(labels, KEY)
+                best = table.where("valid").orderBy(F.col("silhouette").desc(), "eps", "min_points").first()
+                self.density = (best["eps"], best["min_points"])
             else:
                 params = {}
                 if self.tune:
@@ -123,8 +126,16 @@ class ClusteringRun:
         return out
 
     def predict(self, df: DataFrame) -> DataFrame:
+        """Input rows with their cluster. Density clusters have no model: the given rows are clustered anew."""
+        if self.champion == "dbscan":
+            keyed = with_key(df, self.keys)
+            ready = self.encoder.transform(en.prepare_columns(keyed, self.spec))
+            labels = dbscan(ready.select(KEY, "features"), [KEY], *self.density).select(KEY, "prediction")
+            return keyed.join(labels, KEY).drop(KEY)
         return apply_model(df, self.spec, self.model, "clustering")
 
     def save(self, path: str) -> None:
+        if self.champion == "dbscan":
+            raise ValueError("a density clustering has no model to save; write its assignments instead")
         save_model(self.model, path, {"kind": "clustering", "spec": asdict(self.spec), "champion": self.champion,
                                       "features": self.spec.encoded})

@@ -8,12 +8,16 @@ sys.path[:0] = [ROOT, os.path.join(ROOT, "tools")]
 
 from compare import connect, session  # noqa: E402
 
+from loomwork.session import drop_staged  # noqa: E402
+
 DATA = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 
 
 @pytest.fixture(scope="session")
 def spark():
-    return session()
+    s = session()
+    yield s
+    drop_staged(s)
 
 
 @pytest.fixture(scope="session")

@@ -49,3 +49,13 @@ def test_clustering_run(spark, data):
     profile = run.profile()
     assert profile["numeric"].agg(F.sum("count")).first()[0] == customer.count()
     assert set(profile) == {"insights", "numeric", "distinctive", "categorical", "dominant"}
+
+
+def test_density_run_clusters_new_rows_anew(spark, data):
+    customer = table(spark, data, "customer").select("c_custkey", "c_acctbal")
+    run = ClusteringRun(models=["dbscan"], density_grid=([0.1], [3])).fit(customer, ["c_custkey"])
+    assert run.champion == "dbscan"
+    again = {r["c_custkey"]: r["prediction"] for r in run.predict(customer).collect()}
+    assert again == {r["c_custkey"]: r["cluster"] for r in run.labelled().collect()}
+    with pytest.raises(ValueError):
+        run.save("unused")
