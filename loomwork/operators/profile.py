@@ -218,6 +218,7 @@ def two_valued(df: DataFrame) -> DataFrame:
     A column has two values when every row equals its minimum, its maximum or null: two plain aggregates,
     no distinct values are shuffled.
     """
+    df = df.select(*[f.name for f in df.schema if not isinstance(f.dataType, (T.MapType, T.StructType, T.ArrayType))])
     ends = df.agg(*[F.struct(F.min(c).alias("lo"), F.max(c).alias("hi")).alias(c) for c in df.columns])
     packed = ends.select(F.struct("*").alias("e")).scalar()
     facts = [F.struct(

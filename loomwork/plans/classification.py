@@ -71,7 +71,7 @@ class ClassificationRun:
         def add_rows(base: DataFrame, spec: en.FeatureSpec) -> DataFrame:
             if not pf.imbalance(base, "label", s.imbalance_threshold).first()["imbalanced"]:
                 return base
-            if s.balance == "smote" and not spec.categorical:
+            if s.balance == "smote":
                 return smote(base, "label", spec.encoded, [KEY], max_ratio=s.max_ratio, seed=s.seed)
             return oversample(base, "label", [KEY], s.max_ratio, s.seed)
 

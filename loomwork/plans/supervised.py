@@ -115,10 +115,18 @@ def prepare_rows(train: DataFrame, holdouts: dict[str, DataFrame], target: str,
     names = narrow_features(base, spec, "label", kind, settings)
     used = en.FeatureSpec(target, [c for c in spec.categorical if f"{c}_encoded" in names],
                           [c for c in spec.hashed if c in names], [c for c in spec.numeric if c in names], spec.impute)
-    fitted = base if rebalance is None else rebalance(base, used)
-    encoder = en.fit_encoder(fitted, used)
-    rows = stage(encoder.transform(ready).select(KEY, "dataset", "label", "features"), "encoded")
+    cols = [KEY, "dataset", "label", "features"]
+    if rebalance is None:
+        encoder = en.fit_encoder(base, used)
+    else:
+        # rows are added after indexing, so synthetic rows can be formed over the encoded categories too
+        index = [en.index_categories(base, used.categorical)] if used.categorical else []
+        coded = index[0].transform(base) if index else base
+        balanced = stage(rebalance(coded, used), "balanced")
+        scale = en.fit_encoder(balanced, en.FeatureSpec(target, numeric=used.encoded))
+        encoder = PipelineModel(stages=[*index, *scale.stages])
+    rows = stage(encoder.transform(ready).select(*cols), "encoded")
     train_rows = rows.where("dataset = 'train'")
     if rebalance is not None:
-        train_rows = stage(encoder.transform(fitted).select(KEY, "dataset", "label", "features"), "balanced")
+        train_rows = stage(scale.transform(balanced).select(*cols), "balanced_rows")
     return Prepared(used, encoder, used.encoded, rows, train_rows, report)

@@ -59,3 +59,23 @@ def test_density_run_clusters_new_rows_anew(spark, data):
     assert again == {r["c_custkey"]: r["cluster"] for r in run.labelled().collect()}
     with pytest.raises(ValueError):
         run.save("unused")
+
+
+def test_balanced_run_adds_synthetic_rows_over_categories(spark, orders):
+    run = ClassificationRun(models=["decision_tree"], balance="smote", imbalance_threshold=0.9, max_ratio=1.0).fit(
+        orders.select("o_orderkey", "o_totalprice", "o_orderpriority", "target"), "target", ["o_orderkey"])
+    assert run.prepared.spec.categorical == ["o_orderpriority"]
+    before = {r["label"]: r["count"] for r in run.prepared.dataset("train").groupBy("label").count().collect()}
+    after = {r["label"]: r["count"] for r in run.prepared.train.groupBy("label").count().collect()}
+    assert before[0.0] != before[1.0] and set(after.values()) == {max(before.values())}
+    assert run.predict(orders.drop("target")).count() == orders.count()
+
+
+def test_library_stays_on_executors():
+    """No whole-table transfer to the driver, no cross join, no local checkpoint anywhere in the package."""
+    import pathlib
+
+    import loomwork
+    text = "".join(p.read_text() for p in pathlib.Path(loomwork.__file__).parent.rglob("*.py"))
+    for word in ("toPandas", "crossJoin", "localCheckpoint", ".rdd"):
+        assert word not in text, word
