@@ -1,44 +1,81 @@
-"""Session helpers: where shared scratch tables go and when a table may be broadcast."""
+"""Session helpers: where shared scratch tables go, when they are freed and when a table may be broadcast."""
 
 from __future__ import annotations
 
-import atexit
-import shutil
-import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """Folder for staged tables: ``spark.checkpoint.dir`` of the session.
+    """Folder for staged tables: ``spark.checkpoint.dir`` of the session, else a folder of the warehouse.
 
-    Only a local session without that setting gets a folder of its own; on a cluster the folder must be
-    visible to every executor, so a missing setting is an error there.
+    On a cluster both must be visible to every executor, so a machine-local warehouse is an error there unless
+    the checkpoint folder is set.
     """
-    configured = spark.conf.get("spark.checkpoint.dir", None)
+    configured = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if configured:
         return configured
-    current = spark.sparkContext.getCheckpointDir()
-    if current:
-        return current
-    if not spark.sparkContext.master.startswith("local"):
+    warehouse = spark.conf.get("spark.sql.warehouse.dir")
+    if warehouse.startswith(("file:", "/")) and not spark.sparkContext.master.startswith("local"):
         raise RuntimeError("set spark.checkpoint.dir to a folder that all executors can reach")
-    own = tempfile.mkdtemp(prefix="loomwork-")
-    atexit.register(shutil.rmtree, own, ignore_errors=True)
-    spark.sparkContext.setCheckpointDir(own)
-    return spark.sparkContext.getCheckpointDir()
+    return f"{warehouse}/staging"
 
 
 def _staged_dir(spark: SparkSession) -> str:
     return f"{shared_dir(spark)}/staged/{spark.sparkContext.applicationId}"
 
 
+def _delete(spark: SparkSession, folder: str) -> None:
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def drop_staged(spark: SparkSession) -> None:
     """Remove every table this application staged; frames built on them can no longer be read."""
-    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_staged_dir(spark))
-    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    _delete(spark, _staged_dir(spark))
+
+
+_SCOPES: list[list[str]] = []
+
+
+@contextmanager
+def staging(spark: SparkSession) -> Iterator[None]:
+    """Free at the end whatever was staged inside, except tables handed out with ``keep``."""
+    _SCOPES.append([])
+    try:
+        yield
+    finally:
+        for path in _SCOPES.pop():
+            _delete(spark, path)
+
+
+def keep(df: DataFrame) -> DataFrame:
+    """Let a staged table outlive the current ``staging`` scope: it passes to the enclosing one."""
+    if _SCOPES:
+        path = _path_of(df)
+        if path in _SCOPES[-1]:
+            _SCOPES[-1].remove(path)
+            if len(_SCOPES) > 1:
+                _SCOPES[-2].append(path)
+    return df
+
+
+def unstage(df: DataFrame | None) -> None:
+    """Delete a staged table that nothing reads any more."""
+    path = None if df is None else _path_of(df)
+    if path:
+        _delete(df.sparkSession, path)
+        for scope in _SCOPES:
+            if path in scope:
+                scope.remove(path)
+
+
+def _path_of(df: DataFrame) -> str | None:
+    return getattr(df, "_staged_path", None)
 
 
 def stage(df: DataFrame, label: str) -> DataFrame:
@@ -50,7 +87,11 @@ def stage(df: DataFrame, label: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{_staged_dir(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    if _SCOPES:
+        _SCOPES[-1].append(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    table._staged_path = path
+    return table
 
 
 def shuffle_width(spark: SparkSession) -> int:
