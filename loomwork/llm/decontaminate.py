@@ -200,7 +200,7 @@ def benchmark_windows(items: DataFrame, item_col: str, text_col: str, size: int
 
 
 def contamination(docs: DataFrame, items: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text",
-                  size: int = WINDOW_WORDS, columns: list[str] | None = None) -> DataFrame:
+                  size: int = WINDOW_WORDS, columns: list[str] | None = None, list_items: bool = True) -> DataFrame:
     """``docs`` (all columns, or those named) with ``n_words``, ``n_hit`` (words inside any occurrence of an item window) and ``item_ids``.
 
     Words are runs of letters, digits and other non-ASCII characters of the lower-cased text. The tokens of a window
@@ -212,7 +212,7 @@ def contamination(docs: DataFrame, items: DataFrame, text_col: str = "text", ite
     The items' windows are taken in blocks of ``WINDOWS_PER_PASS``; a block is what travels to the tasks, so a
     benchmark of any size needs bounded memory, and texts are never shuffled. Null texts have no words. Items that
     are repeated, or share windows, are all reported; items with a null id are compared and counted as hits but
-    not listed. Empty documents or an empty benchmark give no hits. Columns of ``docs`` that clash with the result
+    not listed. Without ``list_items`` that column is left out, and rows pass without a shuffle. Empty documents or an empty benchmark give no hits. Columns of ``docs`` that clash with the result
     names are replaced.
     """
     spark = docs.sparkSession
@@ -235,7 +235,8 @@ def contamination(docs: DataFrame, items: DataFrame, text_col: str = "text", ite
     for i, block in enumerate(passes):
         with_text = text_col in kept or i + 1 < len(passes)
         spans = spans.mapInArrow(_match(block, with_text), T.StructType(spans.schema.fields[not with_text:]))
-    return _named(_counted(spans, source), names)
+    counted = _counted(spans, source)
+    return _named(counted, names) if list_items else counted.drop("_w")
 
 
 def _frequencies(texts: DataFrame, tokens: DataFrame) -> DataFrame:

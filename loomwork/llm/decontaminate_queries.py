@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 from loomwork.llm.decontaminate import contamination
 from loomwork.llm.registry import SQL_LOWER, SQL_PLAIN_WORD, query, table
 
-SQL_CONTAMINATION = f"""
-WITH d AS (SELECT doc_id, coalesce(regexp_extract_all({SQL_LOWER}, {SQL_PLAIN_WORD}), []) AS ws FROM documents),
+def contamination_sql(source: str) -> str:
+    return f"""WITH d AS (SELECT doc_id, coalesce(regexp_extract_all({SQL_LOWER}, {SQL_PLAIN_WORD}), []) AS ws FROM {source}),
 b AS (SELECT item_id, regexp_extract_all({SQL_LOWER}, {SQL_PLAIN_WORD}) AS ws FROM benchmark),
 i AS (SELECT DISTINCT item_id, least(10, len(ws)) AS n, array_to_string(ws[p:p + least(10, len(ws)) - 1], ' ') AS s
       FROM (SELECT item_id, ws, unnest(range(1, greatest(2, len(ws) - 8))) AS p FROM b WHERE len(ws) > 0)),
@@ -22,7 +22,7 @@ SELECT doc_id, len(ws) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(len(ids
 FROM d LEFT JOIN k USING (doc_id) LEFT JOIN m USING (doc_id)"""
 
 
-@query("op9_benchmark_decontamination", SQL_CONTAMINATION)
+@query("op9_benchmark_decontamination", contamination_sql("documents"))
 def benchmark_decontamination(spark, folder):
     found = contamination(table(spark, folder, "documents"), table(spark, folder, "benchmark"), columns=["doc_id"])
     return found.select("doc_id", "n_words", "n_hit", F.size("item_ids").cast("bigint").alias("n_items"),
