@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from loomwork.llm.chunks import repeated_passages
 from loomwork.llm.minhash import near_duplicates
 from loomwork.llm.registry import SQL_BLANK_WORD, SQL_LOWER, query, table
 
@@ -23,3 +24,8 @@ SELECT doc_id, n AS n_shingles, component_id, doc_id = component_id AS kept FROM
 @query("op5_minhash_near_dedup", components_sql("documents"))
 def minhash_near_dedup(spark, folder):
     return near_duplicates(table(spark, folder, "documents")).withColumn("kept", F.col("doc_id") == F.col("component_id"))
+
+
+@query("op3_chunk_dedup")
+def chunk_dedup(spark, folder):
+    return repeated_passages(table(spark, folder, "documents"))
