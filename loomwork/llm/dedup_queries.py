@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from loomwork.llm.chunks import repeated_passages
 from loomwork.llm.minhash import near_duplicates
 from loomwork.llm.registry import SQL_BLANK_WORD, SQL_LOWER, query, table
+from loomwork.llm.suffixes import repeated_spans
 
 def components_sql(source: str) -> str:
     return f"""WITH RECURSIVE w AS (SELECT doc_id, coalesce(regexp_extract_all({SQL_LOWER}, {SQL_BLANK_WORD}), []) AS ws FROM {source}),
@@ -29,3 +30,8 @@ def minhash_near_dedup(spark, folder):
 @query("op3_chunk_dedup")
 def chunk_dedup(spark, folder):
     return repeated_passages(table(spark, folder, "documents"))
+
+
+@query("op6_suffix_array_dedup")
+def suffix_array_dedup(spark, folder):
+    return repeated_spans(table(spark, folder, "documents"))
