@@ -156,7 +156,7 @@ w AS (SELECT *, n::DOUBLE / sum(n) OVER () AS s, floor(max(n) OVER () * 0.3::DOU
 r AS (SELECT rare, CASE WHEN s < 0.3 AND n < wanted THEN (wanted - n)::DOUBLE / n ELSE 0 END AS rate FROM w),
 x AS (SELECT d.*, (floor(rate) + CASE WHEN {sql_bucket('doc_id::VARCHAR', 12345)} < rate - floor(rate) THEN 1 ELSE 0 END)::INTEGER AS extra
       FROM {_RARE} d JOIN r USING (rare))
-SELECT doc_id, rare, n_chars, unnest(range(extra + 1))::INTEGER AS copy FROM x""")
+SELECT doc_id, rare, n_chars, unnest(range(extra + 1))::BIGINT AS copy FROM x""")
 def _(spark, sf):
     out = sp.oversample(rare_class(spark, sf), "rare", ["doc_id"], copy="copy")
     return out.select("doc_id", "rare", "n_chars", "copy")
@@ -279,10 +279,11 @@ def _(spark, sf):
     return spark.createDataFrame([(n,) for n in names], "feature string")
 
 
-@query("fsl5_selection_sample", "SELECT count(*) AS n FROM lineitem")
+@query("fsl5_selection_sample", "SELECT least(count(*), 20000) AS n, count(*) AS all_rows FROM lineitem")
 def _(spark, sf):
     t = table(spark, sf, "lineitem")
-    return fs.selection_sample(t, t.count()).agg(F.count(F.lit(1)).alias("n"))
+    whole = fs.fit_sample(t, None).agg(F.count(F.lit(1)).alias("all_rows"))
+    return fs.fit_sample(t, 20_000).agg(F.count(F.lit(1)).alias("n")).crossJoin(whole)
 
 
 @query("fsl6_regression_importances")

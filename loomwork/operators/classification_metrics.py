@@ -23,8 +23,8 @@ def accuracy(df: DataFrame, label: str = "label", prediction: str = "prediction"
 
 
 def _score_counts(df: DataFrame, label: str, score: str, groups: list[str], descending: bool) -> DataFrame:
-    """Positives and negatives per distinct score with running and whole totals of the group."""
-    counts = df.groupBy(*groups, F.col(score).alias("score")).agg(
+    """Positives and negatives per distinct score with running and whole totals of the group; rows without a label count as neither."""
+    counts = df.where(F.col(label).isNotNull()).groupBy(*groups, F.col(score).alias("score")).agg(
         F.sum(F.when(F.col(label) == 1, 1).otherwise(0)).alias("pos"),
         F.sum(F.when(F.col(label) == 1, 0).otherwise(1)).alias("neg"),
     )

@@ -22,12 +22,9 @@ from loomwork.operators.spatial import (SMALL_TABLE, build_leaves, descend, leaf
                                         named, packed, roll_up, square_distances)
 from loomwork.session import broadcast_if_small, stage
 
-# Parameter grids by number of rows, and the careful grid used when none of them works.
-GRID_SMALL = ([0.1, 0.2, 0.3, 0.5], [2, 3, 4])
-GRID_MEDIUM = ([0.1, 0.2, 0.3, 0.5, 0.7], [3, 4, 5, 7])
-GRID_LARGE = ([0.1, 0.3, 0.5, 0.7, 1.0], [3, 5, 7, 10])
+# The parameter grid, and the careful grid used when none of it works.
+GRID = ([0.1, 0.3, 0.5, 0.7, 1.0], [3, 5, 7, 10])
 GRID_CAREFUL = ([0.05, 0.1, 0.15, 0.2], [2, 3])
-SMALL_BELOW, MEDIUM_BELOW = 50, 200
 MOST_NOISE = 80.0
 
 
@@ -281,13 +278,6 @@ def dbscan(df: DataFrame, keys: list[str], eps: float, min_points: int, features
     return placed.select(*keys, "id").join(out, "id").drop("id")
 
 
-def grid_for(rows: int) -> tuple[list[float], list[int]]:
-    """Parameter grid by table size; neighbour counts larger than a tenth of the table are left out."""
-    eps, points = GRID_SMALL if rows < SMALL_BELOW else GRID_MEDIUM if rows < MEDIUM_BELOW else GRID_LARGE
-    most = min(max(points), max(3, rows // 10))
-    return eps, [p for p in points if p <= most]
-
-
 def dbscan_search(df: DataFrame, keys: list[str], features: str = "features", eps_values: list[float] | None = None,
                   min_points_values: list[int] | None = None) -> tuple[DataFrame, DataFrame]:
     """Best (keys..., prediction) over a parameter grid, and the table of all trials.
@@ -298,7 +288,7 @@ def dbscan_search(df: DataFrame, keys: list[str], features: str = "features", ep
     placed, width = _numbered_points(df, keys, features)
     tree = PointTree(placed.select("id", "x"), width)
     total = placed.count()
-    eps_grid, point_grid = grid_for(total)
+    eps_grid, point_grid = GRID
     raw = df.select(*keys, features)
 
     def attempt(eps: float, points: int):

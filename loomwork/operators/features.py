@@ -9,15 +9,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomwork.functions.columns import correlation
-from loomwork.operators.profile import SAMPLING, SMALL_ROWS, MEDIUM_ROWS
 
 # Variance floor and limits of the selection rules.
 VARIANCE_FLOOR = 1e-6
-WIDE_TABLE = 200
 CHUNK, KEEP_PER_CHUNK = 100, 30
 FALLBACK_TOP = 10
 SAVED_TOP, REPORT_TOP = 30, 10
-BIG_ROWS, BIG_SAMPLE_MIN, BIG_SAMPLE_MAX, BIG_SHARE = 5_000_000, 500_000, 1_000_000, 0.05
 
 
 def feature_variances(df: DataFrame, features: list[str]) -> DataFrame:
@@ -73,16 +70,11 @@ def report_top(importances: DataFrame, top: int = REPORT_TOP) -> DataFrame:
     return importances.orderBy(F.col("importance").desc(), "feature").limit(top)
 
 
-def selection_sample(df: DataFrame, rows: int, seed: int = 42) -> DataFrame:
-    """Rows used to rank features of very long tables: 5 %, but between half a million and a million."""
-    if rows <= BIG_ROWS:
+def fit_sample(df: DataFrame, max_fit_rows: int | None, seed: int = 42) -> DataFrame:
+    """All rows, or, where a bound is given, that many of them in the order of a hash of the whole row."""
+    if max_fit_rows is None:
         return df
-    target = min(BIG_SAMPLE_MAX, max(BIG_SAMPLE_MIN, int(rows * BIG_SHARE)))
-    return df.sample(False, target / rows, seed)
-
-
-def sampling_fraction(rows: int) -> float:
-    return SAMPLING["small" if rows < SMALL_ROWS else "medium" if rows < MEDIUM_ROWS else "large"]
+    return df.orderBy(F.xxhash64(F.lit(seed), *[F.col(c) for c in df.columns])).limit(max_fit_rows)
 
 
 def named_importances(model, features: list[str], spark) -> DataFrame:
@@ -97,28 +89,29 @@ def _forest(kind: str, **params):
 
 
 def forest_importances(df: DataFrame, features: list[str], target: str, kind: str = "classification",
-                       adaptive: bool = False, max_bins: int = 100, rows: int | None = None) -> DataFrame:
-    """Random-forest importances. The adaptive form sizes trees by the number of features."""
-    if adaptive:
+                       adaptive: bool = False, max_bins: int = 100, max_fit_rows: int | None = None) -> DataFrame:
+    """Random-forest importances from all rows, or for a classifier from at most ``max_fit_rows``.
+
+    The adaptive form sizes trees by the number of features.
+    """
+    if max_fit_rows is not None and kind != "classification":
+        raise ValueError("only a classifier may be fitted on a bounded sample")
+    if adaptive:  # fixed values: tree counts and depths
         params = dict(numTrees=min(10, max(5, 50 // max(1, len(features) // 50))),
                       maxDepth=min(10, max(3, 20 - len(features) // 20)),
                       subsamplingRate=0.8, featureSubsetStrategy="sqrt")
-        sample = df
     else:
-        rows = df.count() if rows is None else rows
-        fraction = sampling_fraction(rows)
-        sample = df if fraction >= 1.0 else df.sample(False, fraction, 42)
         params = dict(numTrees=10, maxDepth=5, maxBins=max_bins)
-    slim = sample.select(F.col(target).cast("double").alias("label"), *[F.col(f).cast("double").alias(f) for f in features])
+    slim = fit_sample(df.select(target, *features), max_fit_rows).select(F.col(target).cast("double").alias("label"), *[F.col(f).cast("double").alias(f) for f in features])
     data = VectorAssembler(inputCols=features, outputCol="features", handleInvalid="skip").transform(slim)
     model = _forest(kind, labelCol="label", **params).fit(data.select("label", "features"))
     return named_importances(model, features, df.sparkSession)
 
 
 def select_features(df: DataFrame, features: list[str], target: str, max_features: int,
-                    kind: str = "classification", threshold: float = 0.01) -> list[str]:
+                    kind: str = "classification", threshold: float = 0.01, max_fit_rows: int | None = None) -> list[str]:
     """Random-forest selection with importance threshold, cap and fallback."""
-    picked = top_by_importance(forest_importances(df, features, target, kind), max_features, threshold)
+    picked = top_by_importance(forest_importances(df, features, target, kind, max_fit_rows=max_fit_rows), max_features, threshold)
     return [r["feature"] for r in picked.orderBy("rank").collect()]
 
 

@@ -2,16 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.ml.feature import StringIndexer
+from dataclasses import dataclass
+
+from pyspark.ml.feature import StringIndexer, StringIndexerModel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from loomwork.functions.columns import is_missing, looks_like_date
 
-# Name fragments of date columns and how many values are inspected.
+# Name fragments of date columns.
 DATE_NAME_PARTS = ["date", "time", "dt_", "_dt", "timestamp"]
-DATE_SAMPLE = 5
 DATE_SHARE = 0.5
 
 # Row counts below which a table is small / medium, and the sampling fraction of each class.
@@ -76,7 +77,7 @@ def variable_types(df: DataFrame, columns: list[str] | None = None) -> tuple[lis
 def date_like_columns(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     """(column, reason) of columns that hold dates, by type or by name plus content.
 
-    Content is judged on a handful of values of name-matched columns, as the rule itself demands.
+    Content is judged by the share of date-like values among all non-null values of name-matched columns.
     """
     columns = columns or df.columns
     typed = [c for c in columns
@@ -87,7 +88,7 @@ def date_like_columns(df: DataFrame, columns: list[str] | None = None) -> DataFr
     if not named:
         return out
     share = {c: F.avg(F.when(F.col(c).isNotNull(), F.when(looks_like_date(F.col(c)), 1.0).otherwise(0.0))) for c in named}
-    judged = _long(df.select(*named).limit(DATE_SAMPLE), share, "column", "share")
+    judged = _long(df.select(*named), share, "column", "share")
     return out.unionByName(judged.where(F.col("share") > DATE_SHARE).select("column", F.lit("pattern").alias("reason")))
 
 
@@ -105,14 +106,43 @@ def clean_target(df: DataFrame, target: str) -> DataFrame:
     return df.where(~is_missing(target, df.schema[target].dataType)).withColumn(target, F.col(target).cast("double"))
 
 
-def numeric_or_indexed_target(df: DataFrame, target: str) -> DataFrame:
-    """``clean_target``, but a text target that holds no number at all is index-encoded by frequency."""
-    if isinstance(df.schema[target].dataType, T.StringType):
-        present = df.where(F.col(target).isNotNull() & (F.trim(target) != ""))
-        if present.where(F.col(target).try_cast("double").isNotNull()).isEmpty():
-            coded = StringIndexer(inputCol=target, outputCol="_index").fit(present).transform(present)
-            return coded.drop(target).withColumnRenamed("_index", target)
-    return clean_target(df, target)
+@dataclass
+class TargetCoder:
+    """How a regression target becomes a number; fitted on the training rows, applied alike to every dataset."""
+
+    target: str
+    index: StringIndexerModel | None
+
+    def apply(self, df: DataFrame) -> DataFrame:
+        """Rows with a usable target; a text target keeps its number or gets the index of its text."""
+        if self.index is None:
+            return clean_target(df, self.target)
+        present = df.where(F.col(self.target).isNotNull() & (F.trim(self.target) != ""))
+        return self.index.transform(present).drop(self.target).withColumnRenamed("_index", self.target)
+
+    def dropped(self, df: DataFrame) -> DataFrame:
+        """(rows, dropped): how many rows have no usable target."""
+        kept = self.apply(df).agg(F.count(F.lit(1)).alias("kept"))
+        return df.agg(F.count(F.lit(1)).alias("rows")).crossJoin(F.broadcast(kept)).select("rows", (F.col("rows") - F.col("kept")).alias("dropped"))
+
+
+def fit_target(df: DataFrame, target: str, most_lost: float = 0.5) -> TargetCoder:
+    """A text target is numeric unless more than ``most_lost`` of its values are no numbers; then it is indexed by frequency.
+
+    Values that the index has not seen are left out where it is applied; ``TargetCoder.dropped`` counts them.
+    """
+    if not isinstance(df.schema[target].dataType, T.StringType):
+        return TargetCoder(target, None)
+    present = df.where(F.col(target).isNotNull() & (F.trim(target) != ""))
+    lost = present.agg(F.avg(F.col(target).try_cast("double").isNull().cast("double"))).first()[0]
+    if lost is None or lost <= most_lost:
+        return TargetCoder(target, None)
+    return TargetCoder(target, StringIndexer(inputCol=target, outputCol="_index", handleInvalid="skip").fit(present))
+
+
+def numeric_or_indexed_target(df: DataFrame, target: str, most_lost: float = 0.5) -> DataFrame:
+    """The rows with a usable target, coded by themselves."""
+    return fit_target(df, target, most_lost).apply(df)
 
 
 def table_summary(df: DataFrame) -> DataFrame:

@@ -22,12 +22,12 @@ def class_neighbours(df: DataFrame, features: list[str], keys: list[str], k: int
 
 
 def synthetic_rows(df: DataFrame, features: list[str], keys: list[str], needed: int, k: int = NEIGHBOURS,
-                   seed: int = 42) -> DataFrame:
+                   seed: int = 42, key_tops: dict[str, int] | None = None) -> DataFrame:
     """``needed`` new rows: base + alpha * (neighbour - base); integer columns are rounded.
 
     Base row, neighbour and alpha of the j-th row come from the hash of j, so the result does not depend on
     the partitioning. Columns that are neither features nor keys are copied from the base row; key columns
-    of text type get ``#<j>`` appended, other key columns keep the base key.
+    of text type get ``#<j>`` appended, whole-number keys continue after the largest of ``key_tops``, so keys stay unique.
     """
     rows, near = class_neighbours(df, features, keys, k)
     near = stage(near.select("id", F.col("rank"), "neighbour"), "neighbours")
@@ -51,6 +51,8 @@ def synthetic_rows(df: DataFrame, features: list[str], keys: list[str], needed:
             return (F.rint(v) if isinstance(t, T.IntegralType) else v).cast(t).alias(c)
         if c in keys and isinstance(t, T.StringType):
             return F.concat(F.col(c), F.lit("#"), j.cast("string")).alias(c)
+        if c in keys and isinstance(t, T.IntegralType):
+            return (F.lit((key_tops or {}).get(c, 0)) + j).cast(t).alias(c)
         return F.col(c)
 
     return mixed.select(*[value(c) for c in df.columns])
@@ -60,17 +62,25 @@ def smote(df: DataFrame, target: str, features: list[str], keys: list[str], max_
           k: int = NEIGHBOURS, seed: int = 42) -> DataFrame:
     """The input plus synthetic rows so that every small class reaches ``max_ratio`` of the largest.
 
-    A class with fewer than ``k`` rows is repeated instead, as many whole times and rows as are needed.
+    A class with fewer rows than ``k`` uses the neighbours it has; a single row is repeated. Copies get keys of their own.
     """
+    whole = [c for c in keys if isinstance(df.schema[c].dataType, T.IntegralType)]
+    tops = df.agg(*[F.max(c).alias(c) for c in whole]).first().asDict() if whole else {}
     out = df
     for r in oversample_plan(df, target, max_ratio).where("extra > 0").collect():
         part = df.where(F.col(target).cast("string") == r["class"])
-        if r["count"] >= k and r["count"] > 1:
-            out = out.unionByName(synthetic_rows(part, features, keys, r["extra"], k, seed))
+        if r["count"] > 1:
+            out = out.unionByName(synthetic_rows(part, features, keys, r["extra"], min(k, r["count"] - 1), seed, tops))
         else:
-            # fewer than k rows: position decides which rows are repeated once more
-            placed = numbered(part, keys)
-            times = F.lit(r["extra"] // r["count"]) + F.when(F.col("id") <= r["extra"] % r["count"], 1).otherwise(0)
-            again = placed.where(times > 0).withColumn("_c", F.explode(F.sequence(F.lit(1), times.cast("int")))).drop("_c", "id")
-            out = out.unionByName(again)
+            numbers = df.sparkSession.range(1, r["extra"] + 1).withColumnRenamed("id", "_j")
+            single = numbers.crossJoin(F.broadcast(part))  # one row
+            out = out.unionByName(single.select(*[_copied_key(df, c, keys, tops) for c in df.columns]))
+        tops = {c: v + r["extra"] for c, v in tops.items()}
     return out
+
+
+def _copied_key(df: DataFrame, c: str, keys: list[str], tops: dict[str, int]) -> Column:
+    t = df.schema[c].dataType
+    if c in keys and isinstance(t, T.StringType):
+        return F.concat(F.col(c), F.lit("#"), F.col("_j").cast("string")).alias(c)
+    return (F.lit(tops[c]) + F.col("_j")).cast(t).alias(c) if c in tops else F.col(c)

@@ -48,7 +48,13 @@ def _box(width: int) -> list[Column]:
 
 
 def build_leaves(points: DataFrame, width: int, capacity: int) -> DataFrame:
-    """Add the column ``leaf``. ``points`` has an array column ``x`` of ``width`` finite doubles."""
+    """Add the column ``leaf``. ``points`` has an array column ``x`` of ``width`` finite doubles; others are an error.
+
+    NaN and infinity have no place in a box, and cutting would never end.
+    """
+    odd = points.where(F.exists("x", lambda v: v.isNull() | F.isnan(v) | (F.abs(v) == float("inf")))).count()
+    if odd:
+        raise ValueError(f"{odd} points have a coordinate that is null, NaN or infinite; impute or leave them out first")
     placed = stage(points.withColumn("leaf", F.lit("")).withColumn("done", F.lit(False)), "tree")
     while True:
         stats = placed.where(~F.col("done")).groupBy("leaf").agg(F.count(F.lit(1)).alias("n"), *_box(width))

@@ -9,9 +9,10 @@ from loomwork.functions.columns import key_bucket
 from loomwork.operators.profile import class_distribution
 from loomwork.session import broadcast_if_small, stage
 
-# Fewer rows than these ask for cross-validation.
+# Fixed value: fewer rows than this ask for cross-validation, unless the caller says otherwise.
 SMALL_FOR_SPLIT = 5_000
-SMALL_FOR_CLUSTER_SPLIT = 1_000
+#: Copies made by one step of ``repeat_rows``.
+_FAN = 4096
 
 
 def _cut(bucket: Column, shares: dict[str, float]) -> Column:
@@ -77,10 +78,29 @@ def oversample(df: DataFrame, target: str, keys: list[str], max_ratio: float = 0
     bucket = key_bucket([F.col(k) for k in keys], seed)
     extra = F.floor(rate) + F.when(bucket < rate - F.floor(rate), 1).otherwise(0)
     name = copy or "_copy"
-    out = tagged.withColumn(name, F.explode(F.sequence(F.lit(0), extra.cast("int")))).drop("_class", "_rate")
+    out = repeat_rows(tagged.withColumn("_extra", extra), "_extra", name).drop("_class", "_rate")
     return out if copy else out.drop(name)
 
 
+def repeat_rows(df: DataFrame, extra: str, name: str) -> DataFrame:
+    """Every row with its copies 1 to ``extra`` beside the original, numbered from 0 in ``name``; ``extra`` is dropped.
+
+    Copies come in three steps of at most 4096 each, and the first two are dealt out anew, so the copies of one row fill
+    many tasks and no row ever carries a long list.
+    """
+    wide = df.sparkSession.conf.get("spark.sql.shuffle.partitions")
+    e = F.col(extra).cast("bigint")
+    steps = df.withColumn("_high", F.explode(F.sequence(F.lit(0).cast("bigint"), F.expr(f"cast({extra} as bigint) div {_FAN * _FAN}"))))
+    left = F.least(e - F.col("_high") * _FAN * _FAN, F.lit(_FAN * _FAN - 1).cast("bigint"))
+    steps = steps.withColumn("_left", left).withColumn("_mid", F.explode(F.sequence(F.lit(0).cast("bigint"), F.expr(f"_left div {_FAN}"))))
+    many = steps.where(F.col(extra) >= _FAN).repartition(int(wide))
+    steps = steps.where(F.col(extra) < _FAN).unionByName(many)
+    low = F.least(F.col("_left") - F.col("_mid") * _FAN, F.lit(_FAN - 1).cast("bigint"))
+    out = steps.withColumn("_low", F.explode(F.sequence(F.lit(0).cast("bigint"), low)))
+    number = F.col("_high") * _FAN * _FAN + F.col("_mid") * _FAN + F.col("_low")
+    return out.withColumn("_number", number).drop("_high", "_left", "_mid", "_low", extra).withColumnRenamed("_number", name)
+
+
 def union_frames(frames: list[DataFrame]) -> DataFrame:
     """Bag union by column name."""
     out = frames[0]

@@ -4,12 +4,13 @@ from __future__ import annotations
 
 import itertools
 import json
+import math
 import random
+import statistics
 from multiprocessing.pool import ThreadPool
 
 from pyspark.ml.evaluation import (BinaryClassificationEvaluator, ClusteringEvaluator, MulticlassClassificationEvaluator,
                                    RegressionEvaluator)
-from pyspark.ml.tuning import CrossValidator
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -61,7 +62,6 @@ GRIDS = {
         "gaussian_mixture": {"k": [2, 3, 4, 5, 6, 7, 8, 9, 10], "maxIter": [50, 100, 200], "tol": [1e-5, 1e-4, 1e-3]},
     },
 }
-LARGEST_GRID = 100
 
 
 def evaluator_for(kind: str, metric: str | None = None, classes: int = 2):
@@ -79,8 +79,18 @@ def evaluator_for(kind: str, metric: str | None = None, classes: int = 2):
 
 
 def draw_params(space: dict, n: int, seed: int = 42) -> list[dict]:
-    """Up to ``n`` distinct random parameter sets; ranges are drawn uniformly in the type of their ends."""
+    """``n`` distinct random parameter sets, or all of a smaller space; ranges are drawn uniformly in the type of their ends."""
     rng, seen, out = random.Random(seed), set(), []
+    whole = {name: list(range(v[0], v[1] + 1)) if isinstance(v, tuple) and all(isinstance(x, int) for x in v) else v for name, v in space.items()}
+    if all(isinstance(v, list) for v in whole.values()):
+        total = math.prod(len(v) for v in whole.values())
+        for index in rng.sample(range(total), min(n, total)):
+            params = {}
+            for name, values in whole.items():
+                index, at = divmod(index, len(values))
+                params[name] = values[at]
+            out.append(params)
+        return out
 
     def one(values):
         if isinstance(values, tuple):
@@ -88,14 +98,12 @@ def draw_params(space: dict, n: int, seed: int = 42) -> list[dict]:
             return rng.randint(low, high) if isinstance(low, int) and isinstance(high, int) else rng.uniform(low, high)
         return rng.choice(values)
 
-    for _ in range(n * 20):
+    while len(out) < n:
         params = {name: one(values) for name, values in space.items()}
         text = json.dumps(params, sort_keys=True)
         if text not in seen:
             seen.add(text)
             out.append(params)
-        if len(out) == n:
-            break
     return out
 
 
@@ -142,11 +150,8 @@ def random_search(kind: str, name: str, train: DataFrame, valid: DataFrame | Non
 
 def grid_search(kind: str, name: str, train: DataFrame, valid: DataFrame | None = None, *, n: int = 10,
                 seed: int = 42, space: dict | None = None, **options) -> DataFrame:
-    """All combinations; above one hundred of them a random draw of ``n``."""
-    grid = grid_params(space or GRIDS[kind][name])
-    if len(grid) > LARGEST_GRID:
-        grid = draw_params(space or GRIDS[kind][name], n, seed)
-    return search(kind, name, train, valid, trials=grid, **options)
+    """All combinations, however many; ``n`` and ``seed`` belong to ``random_search``, which tries fewer."""
+    return search(kind, name, train, valid, trials=grid_params(space or GRIDS[kind][name]), **options)
 
 
 def best_params(results: DataFrame) -> dict:
@@ -154,9 +159,8 @@ def best_params(results: DataFrame) -> dict:
 
 
 def _fold_scores(est, tagged: DataFrame, ev, folds: int) -> tuple[float, float]:
-    cv = CrossValidator(estimator=est, estimatorParamMaps=[{}], evaluator=ev, numFolds=folds, foldCol="fold", parallelism=1)
-    fitted = cv.fit(tagged)
-    return float(fitted.avgMetrics[0]), float(fitted.stdMetrics[0])
+    scores = [float(ev.evaluate(est.fit(tagged.where(F.col("fold") != f)).transform(tagged.where(F.col("fold") == f)))) for f in range(folds)]
+    return statistics.fmean(scores), statistics.pstdev(scores)
 
 
 def cross_validate(kind: str, name: str, df: DataFrame, keys: list[str], *, params: dict | None = None, folds: int = 5,

@@ -26,7 +26,8 @@ from loomwork.sources.sinks import save_model
 class ClassificationRun:
     """Automatic classification of a table.
 
-    After ``fit``: ``metrics`` (model, variant, dataset, metric, value), ``decisions`` (default or tuned),
+    After ``fit``: ``metrics`` (model, variant, dataset, metric, value), ``unseen`` (hold-out rows of a class that the
+    training rows do not have, by dataset; they are not judged), ``decisions`` (default or tuned),
     ``ranking`` (champion first), ``model`` (encoder and champion as one fitted model).
     """
 
@@ -42,14 +43,19 @@ class ClassificationRun:
         holdouts = dict(holdouts or {})
         indexer = en.index_target(train.select(F.col(target).cast("string").alias(target)), target)
         self.labels = list(indexer.labels)
-        if not isinstance(train.schema[target].dataType, pf.T.StringType):
+        if isinstance(train.schema[target].dataType, pf.T.NumericType):
             # numeric classes keep their own order
             self.labels = sorted(self.labels, key=float)
+        elif not isinstance(train.schema[target].dataType, pf.T.StringType):
+            # false before true, dates in time
+            self.labels = sorted(self.labels)
         codes = F.create_map(*[x for i, v in enumerate(self.labels) for x in (F.lit(v), F.lit(float(i)))])
 
         def labelled(df: DataFrame) -> DataFrame:
             return df.withColumn("label", F.try_element_at(codes, F.col(target).cast("string"))).where(F.col("label").isNotNull())
 
+        self.unseen = {n: d.where(F.col(target).isNotNull() & F.try_element_at(codes, F.col(target).cast("string")).isNull()).count()
+                       for n, d in holdouts.items() if target in d.columns}
         self.classes = len(self.labels)
         self.criterion = s.criterion or ("ks" if self.classes <= 2 else "accuracy")
         if self.classes > 2 and self.criterion in ("ks", "roc"):
@@ -59,7 +65,7 @@ class ClassificationRun:
         self.prepared = prepare_rows(labelled(train), {n: labelled(d) if target in d.columns else d for n, d in holdouts.items()},
                                      target, keys, "classification", s, spec, self._rebalance())
         self.cross_validated = train.sparkSession.range(1).select(
-            use_cross_validation(F.lit(self.rows), s.cross_validation, bool(holdouts)).alias("cv")).first()["cv"]
+            use_cross_validation(F.lit(self.rows), s.cross_validation, bool(holdouts), s.cross_validate_below).alias("cv")).first()["cv"]
         self._fit_models()
         return self
 

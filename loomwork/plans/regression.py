@@ -34,15 +34,19 @@ class RegressionRun:
         if s.sample_fraction < 1.0:
             train = train.sample(False, s.sample_fraction, s.seed)
 
+        self.coder = pf.fit_target(train, target, s.most_lost_targets)
+
         def labelled(df: DataFrame) -> DataFrame:
-            return pf.numeric_or_indexed_target(df, target).withColumn("label", F.col(target))
+            return self.coder.apply(df).withColumn("label", F.col(target))
+
+        self.dropped = {n: self.coder.dropped(d).first()["dropped"] for n, d in {"train": train, **(holdouts or {})}.items() if target in d.columns}
 
         spec = feature_spec(train, target, keys, s)
         self.prepared = prepare_rows(labelled(train), {n: labelled(d) if target in d.columns else d for n, d in (holdouts or {}).items()},
                                      target, keys, "regression", s, spec)
         self.rows = train.count()
         self.cross_validated = train.sparkSession.range(1).select(
-            use_cross_validation(F.lit(self.rows), s.cross_validation, bool(holdouts)).alias("cv")).first()["cv"]
+            use_cross_validation(F.lit(self.rows), s.cross_validation, bool(holdouts), s.cross_validate_below).alias("cv")).first()["cv"]
         self._fit_models()
         return self
 
@@ -95,4 +99,5 @@ class RegressionRun:
 
     def save(self, path: str) -> None:
         save_model(self.model, path, {"kind": "regression", "spec": asdict(self.prepared.spec), "champion": self.champion,
-                                      "variant": self.variant, "features": self.prepared.features})
+                                      "variant": self.variant, "features": self.prepared.features,
+                                      "target_labels": list(self.coder.index.labels) if self.coder.index else None})

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from loomwork.operators import encode as en
 from loomwork.operators import features as fs
 from loomwork.operators import profile as pf
-from loomwork.operators.split import assign_split
+from loomwork.operators.split import SMALL_FOR_SPLIT, assign_split
 from loomwork.session import evenly, stage
 
 KEY = "_key"
@@ -40,12 +40,20 @@ class Settings:
     max_ratio: float = 0.3
     imbalance_threshold: float = 0.05
     name_rules: dict = field(default_factory=dict)
+    #: "forest", "statistical" or "sequential"; applied when there are more than ``max_features`` columns.
+    selection: str = "forest"
+    max_fit_rows: int | None = None
+    #: For ``cross_validation="auto"``: fewer training rows than this ask for it.
+    cross_validate_below: int = SMALL_FOR_SPLIT
+    max_encoded: int = 200
+    #: Share of unparsable values above which a text target of a regression is indexed.
+    most_lost_targets: float = 0.5
 
 
 def with_key(df: DataFrame, keys: list[str] | None) -> DataFrame:
     """One text key per row; without key columns the whole row is the key, so equal rows share a split."""
     cols = keys or df.columns
-    return df.withColumn(KEY, F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in cols]))
+    return df.withColumn(KEY, F.to_json(F.array(*[F.col(c).cast("string") for c in cols])))
 
 
 def feature_spec(df: DataFrame, target: str, keys: list[str], settings: Settings) -> en.FeatureSpec:
@@ -57,8 +65,10 @@ def feature_spec(df: DataFrame, target: str, keys: list[str], settings: Settings
     text, numeric = pf.variable_types(df, names)
     wide: set[str] = set()
     if text:
-        roles = pf.cardinality_roles(df, text, settings.max_categories)
-        wide = {r["column"] for r in roles.where("role = 'numeric'").collect()}
+        roles = pf.cardinality_roles(df, text, settings.max_categories, settings.max_encoded).collect()
+        wide = {r["column"] for r in roles if r["role"] == "numeric"}
+        unfit = {r["column"] for r in roles if r["role"] == "categorical" and not r["encodable"]}
+        text = [c for c in text if c not in unfit]
     return en.FeatureSpec(target, [c for c in text if c not in wide], [c for c in text if c in wide], numeric, settings.impute)
 
 
@@ -85,11 +95,14 @@ def narrow_features(ready: DataFrame, spec: en.FeatureSpec, label: str, kind: st
     coded = ready
     if spec.categorical:
         coded = en.index_categories(ready, spec.categorical).transform(ready)
-    if len(names) > fs.WIDE_TABLE:
-        kept = fs.statistical_filter(coded, names, label, 100)
-        names = [r["feature"] for r in kept.collect()]
+    if settings.selection == "statistical":
+        return [r["feature"] for r in fs.statistical_filter(coded, names, label, settings.max_features).collect()]
+    if settings.selection == "sequential":
         return fs.sequential_selection(coded, names, label, settings.max_features, kind)
-    return fs.select_features(coded, names, label, settings.max_features, kind, settings.importance_threshold)
+    if settings.selection != "forest":
+        raise ValueError(f"selection is forest, statistical or sequential, not {settings.selection}")
+    return fs.select_features(coded, names, label, settings.max_features, kind, settings.importance_threshold,
+                              settings.max_fit_rows if kind == "classification" else None)
 
 
 def prepare_rows(train: DataFrame, holdouts: dict[str, DataFrame], target: str, keys: list[str], kind: str,

@@ -18,7 +18,7 @@ from loomwork.operators import rank as rk
 from loomwork.operators import smote as sm
 from loomwork.operators import split as sp
 from loomwork.operators import tune as tn
-from loomwork.operators.dbscan import connected_components, dbscan, grid_for
+from loomwork.operators.dbscan import connected_components, dbscan
 from loomwork.operators.models import available_models, estimator, hidden_width
 from loomwork.operators.spatial import nearest_neighbours
 
@@ -177,11 +177,6 @@ def test_components_of_chain_and_star(spark):
     assert {r["v"]: r["root"] for r in got.collect()} == {v: 0 if v <= 40 else 500 if v == 500 else 100 for v in vertices}
 
 
-def test_density_grid_depends_on_size():
-    assert grid_for(30) == ([0.1, 0.2, 0.3, 0.5], [2, 3])
-    assert grid_for(1000) == ([0.1, 0.3, 0.5, 0.7, 1.0], [3, 5, 7, 10])
-
-
 def test_synthetic_rows_lie_between_parents(spark):
     rng = np.random.default_rng(8)
     rows = [(f"r{i}", float(rng.normal()), int(rng.integers(0, 50)), 1 if i < 12 else 0) for i in range(200)]
