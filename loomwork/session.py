@@ -53,8 +53,9 @@ def staging(spark: SparkSession) -> Iterator[None]:
             _delete(spark, path)
 
 
-def keep(df: DataFrame) -> DataFrame:
-    """Let a staged table outlive the current ``staging`` scope: it passes to the enclosing one."""
+def keep(df: DataFrame, staged: DataFrame | None = None) -> DataFrame:
+    """Let a staged table, or the one that ``df`` reads, outlive the current ``staging`` scope: it passes to the enclosing one."""
+    df._staged_path = _path_of(df if staged is None else staged)
     if _SCOPES:
         path = _path_of(df)
         if path in _SCOPES[-1]:
