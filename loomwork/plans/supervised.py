@@ -53,7 +53,8 @@ class Settings:
 def with_key(df: DataFrame, keys: list[str] | None) -> DataFrame:
     """One text key per row; without key columns the whole row is the key, so equal rows share a split."""
     cols = keys or df.columns
-    return df.withColumn(KEY, F.to_json(F.array(*[F.col(c).cast("string") for c in cols])))
+    text = [F.col(c).cast("string") for c in cols]
+    return df.withColumn(KEY, F.coalesce(text[0], F.lit("")) if len(cols) == 1 else F.to_json(F.array(*text)))
 
 
 def feature_spec(df: DataFrame, target: str, keys: list[str], settings: Settings) -> en.FeatureSpec:
