@@ -9,7 +9,7 @@ from loomwork.session import keep, stage, staging, unstage
 
 
 def lowest_reachable(links: DataFrame) -> DataFrame:
-    """(v, root) for every vertex in ``links`` (columns ``a``, ``b``): the lowest vertex it can reach.
+    """(v, root) for the vertices of ``links`` (columns ``a``, ``b``) that reach a lower one: the lowest. Roots have no row.
 
     Every round links each vertex to the lowest of its neighbourhood, first from its larger neighbours, then
     from its smaller ones; links turn into stars around the lowest vertices in a logarithmic number of rounds.
@@ -37,4 +37,4 @@ def lowest_reachable(links: DataFrame) -> DataFrame:
             if state == before:
                 break
             before = state
-        return keep(edges).select(F.col("a").alias("v"), F.col("b").alias("root"))
+        return keep(edges.select(F.col("a").alias("v"), F.col("b").alias("root")), edges)

@@ -6,26 +6,35 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomwork.llm.components import lowest_reachable
 from loomwork.llm.words import BLANK_WORDS, Block, blocks, constants, int_lists, mix, sequence_hash, shingles, signed, words
-from loomwork.session import keep, stage, staging, unstage
+from loomwork.session import broadcast_if_small, keep, stage, staging, unstage
 
 SHINGLE_WORDS = 5
 SIMILARITY = 0.75
 BANDS, ROWS_PER_BAND = 48, 5
 BINS = BANDS * ROWS_PER_BAND
-#: How many times more centres a bucket's members meet in each turn of the last stars.
-TURN_GROWTH = 16
-FILTER_PASSES = 2
-
-_EDGES = (np.array([-(-(j << 32) // BINS) for j in range(BINS)], np.uint64) << np.uint64(32))
-#: For each bin, the order in which an empty bin looks for a filled one: a fixed permutation of all bins.
-_PROBES = np.argsort(mix(np.arange(BINS * BINS, dtype=np.uint64) + np.uint64(9_000_000)).reshape(BINS, BINS), axis=1)
-_RANK = np.argsort(_PROBES, axis=1)
+#: Most ids that are sent to the tasks to pick their documents (of 8 bytes each).
+LOCAL_IDS = 4_000_000
+#: Bits of the finer sketch that open candidates are compared by, and how many may differ: similarity 0.75 differs in
+#: 256 of 2048 on average with a deviation of 15, so 333 leaves out a link with probability below 3e-7.
+BITS, MAX_DIFFERENT = 2048, 333
+
 _FAST_PROBES = 16
+_TABLES: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
+
+
+def _tables(bins: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Lower hash bound of every bin; for each bin, the fixed random order in which it looks for a filled one, if it is
+    empty; and the place of every bin in that order."""
+    if bins not in _TABLES:
+        edges = np.array([-(-(j << 32) // bins) for j in range(bins)], np.uint64) << np.uint64(32)
+        probes = np.argsort(mix(np.arange(bins * bins, dtype=np.uint64) + np.uint64(9_000_000)).reshape(bins, bins), axis=1).astype(np.int16)
+        _TABLES[bins] = edges, probes, np.argsort(probes, axis=1).astype(np.int16)
+    return _TABLES[bins]
 
 
 def shingle_sets(block: Block, size: int = SHINGLE_WORDS) -> list[np.ndarray]:
@@ -38,19 +47,20 @@ def shingle_sets(block: Block, size: int = SHINGLE_WORDS) -> list[np.ndarray]:
             for r in range(len(block))]
 
 
-def densified(sets: list[np.ndarray]) -> np.ndarray:
+def densified(sets: list[np.ndarray], bins: int = BINS) -> np.ndarray:
     """One-permutation sketch of each set: the least hash of every bin, empty bins filled by optimal densification.
 
     An empty bin copies the first filled bin of its own fixed random order, so two sets agree in a bin with a
     probability equal to their similarity, also for very small sets.
     """
+    edges, probes, rank = _tables(bins)
     sizes = np.array([len(s) for s in sets])
-    sketch = np.zeros((len(sets), BINS), np.uint64)
+    sketch = np.zeros((len(sets), bins), np.uint64)
     if not sizes.sum():
         return sketch
     flat = np.concatenate(sets)
     row = np.repeat(np.arange(len(sets)), sizes)
-    cell = row * BINS + (np.searchsorted(_EDGES, flat, "right") - 1)
+    cell = row * bins + (np.searchsorted(edges, flat, "right") - 1)
     first = np.flatnonzero(np.diff(cell, prepend=-1))
     filled = np.zeros(sketch.size, bool)
     filled[cell[first]] = True
@@ -59,13 +69,13 @@ def densified(sets: list[np.ndarray]) -> np.ndarray:
     open_ = ~filled & (sizes > 0)[:, None]
     for step in range(_FAST_PROBES):
         r, b = np.nonzero(open_)
-        source = _PROBES[b, step]
+        source = probes[b, step]
         hit = filled[r, source]
         sketch[r[hit], b[hit]] = sketch[r[hit], source[hit]]
         open_[r[hit], b[hit]] = False
     for r in np.flatnonzero(open_.any(axis=1)):
         have, empty = np.flatnonzero(filled[r]), np.flatnonzero(open_[r])
-        sketch[r, empty] = sketch[r, have[_RANK[np.ix_(empty, have)].argmin(axis=1)]]
+        sketch[r, empty] = sketch[r, have[rank[np.ix_(empty, have)].argmin(axis=1)]]
     return sketch
 
 
@@ -112,112 +122,94 @@ def _similar(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def confirm(edges: DataFrame, docs: DataFrame, id_type: str) -> DataFrame:
     """``edges`` (a, b) with ``near``: whether the whole shingle sets of the two documents are similar enough."""
     wanted = edges.select(F.col("a").alias("v")).unionByName(edges.select(F.col("b").alias("v"))).distinct()
-    sets = stage(docs.join(wanted, "v", "left_semi").mapInArrow(_sets, f"v {id_type}, members binary"), "sets")
+    sets = _those(docs, wanted).mapInArrow(_sets, f"v {id_type}, members binary")
     pairs = (
         edges.join(sets.select(F.col("v").alias("a"), F.col("members").alias("x")), "a")
         .join(sets.select(F.col("v").alias("b"), F.col("members").alias("y")), "b").select("a", "b", "x", "y")
     )
-    done = stage(pairs.mapInArrow(_similar, f"a {id_type}, b {id_type}, near boolean"), "confirmed")
-    unstage(sets)
-    return done
+    return stage(pairs.mapInArrow(_similar, f"a {id_type}, b {id_type}, near boolean"), "confirmed")
+
 
+def _those(rows: DataFrame, wanted: DataFrame, how: str = "left_semi") -> DataFrame:
+    """Rows whose ``v`` is wanted (or is not). Up to ``LOCAL_IDS`` ids, which are counted, go to the rows; beyond, both are shuffled."""
+    return rows.join(broadcast_if_small(stage(wanted, "wanted"), LOCAL_IDS), "v", how)
 
-def _shingle_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+
+def bits(sets: list[np.ndarray]) -> np.ndarray:
+    """A fine sketch of 2048 bins with one bit for each, packed: similar sets differ in few bits."""
+    sketch = densified(sets, BITS)
+    one = (mix(sketch ^ constants(BITS, 91)) & np.uint64(1)).astype(np.uint8)
+    return np.packbits(one, axis=1).view(np.int64)
+
+
+def _bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for block in blocks(batch.column(1)):
             sets = shingle_sets(block)
-            row = np.repeat(np.arange(len(block)), [len(s) for s in sets])
-            ids = batch.column(0).slice(block.first, len(block)).take(pa.array(row))
-            flat = np.concatenate(sets) if len(row) else np.zeros(0, np.uint64)
-            for at in range(0, len(row), 200_000):
-                yield pa.RecordBatch.from_arrays([ids.slice(at, 200_000), pa.array(signed(flat[at:at + 200_000]))], names=["v", "s"])
+            short = (band_keys(densified(sets)) >> np.uint64(32)).astype(np.uint32).view(np.int32)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0).slice(block.first, len(block)), int_lists(short.ravel(), np.arange(len(block) + 1) * BANDS),
+                 *map(pa.array, np.ascontiguousarray(bits(sets).T))], names=["v", "bands", *_WORDS])
 
 
-def _may_link(open_: DataFrame, docs: DataFrame, id_type: str) -> DataFrame:
-    """(v, fits) of the open documents that can still have a link among themselves.
+_WORDS = [f"w{i}" for i in range(BITS // 64)]
 
-    A shingle that no other open document has cannot be common. ``fits`` counts the rest of the n shingles; below
-    three quarters of n the document is similar enough to none. This is the prefix filter at its rarest end, and
-    exact; it is repeated among the documents that pass.
-    """
-    left = stage(open_.select("v", "n").distinct(), "may_link")
-    for _ in range(FILTER_PASSES):
-        rows = docs.join(left.select("v"), "v", "left_semi").mapInArrow(_shingle_rows, f"v {id_type}, s bigint")
-        alone = rows.groupBy("s").agg(F.count(F.lit(1)).alias("c"), F.min("v").alias("v")).where("c = 1")
-        alone = alone.groupBy("v").agg(F.count(F.lit(1)).alias("alone"))
-        left = stage(left.select("v", "n").join(alone, "v", "left").select(
-            "v", "n", (F.col("n") - F.coalesce("alone", F.lit(0))).alias("fits")).where("100 * fits >= 75 * n"), "may_link")
-    return left.select("v", "fits")
-
-
-def _open_buckets(members: DataFrame, labels: DataFrame) -> DataFrame:
-    """(key, v, n) of the buckets whose members are not yet in one component."""
-    labelled = members.join(labels, "v")
+
+def _open_buckets(members: DataFrame, roots: DataFrame) -> DataFrame:
+    """(key, band, v, n, root) of the buckets whose members are not yet in one component."""
+    labelled = members.drop("root").join(roots, "v", "left").withColumn("root", F.coalesce("root", "v"))
     open_ = labelled.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("key")
-    return labelled.join(open_, "key").select(*members.columns)
+    return stage(labelled.join(open_, "key"), "open")
 
 
 def _star(centres: DataFrame, members: DataFrame) -> DataFrame:
-    """Distinct edges (a, b) from the centre of a bucket to the members that fit it. ``centres``: key, a, n_a, fits_a.
-
-    Common shingles are at most ``fits`` of either side and, for a link, at least 3/7 of both sizes together.
-    """
-    return members.join(centres, "key").where("v <> a and 7 * least(fits, fits_a) >= 3 * (n + n_a)").select(
-        F.least("a", "v").alias("a"), F.greatest("a", "v").alias("b")).distinct()
+    """Distinct edges (a, b) from the centre of a bucket to its members of fitting size in other components."""
+    centres = centres.select("key", *[F.col(c).alias(f"{c}_a") for c in ("v", "n", "root")])
+    return members.join(centres, "key").where("root <> root_a and 100 * least(n, n_a) >= 75 * greatest(n, n_a)").select(
+        F.least("v_a", "v").alias("a"), F.greatest("v_a", "v").alias("b")).distinct()
 
 
-class _Links:
-    """Compared pairs so far, and the component of every member."""
+def _rest(members: DataFrame, texts: DataFrame, id_type: str) -> DataFrame:
+    """Distinct edges between bucket members of fitting size, in different components, that also look alike finely.
 
-    def __init__(self, members: DataFrame, texts: DataFrame, id_type: str):
-        self.texts, self.id_type = texts, id_type
-        self.vertices = stage(members.select("v").distinct(), "vertices")
-        self.compared, self.labels = None, self.vertices.select("v", F.col("v").alias("root"))
-
-    def near(self) -> DataFrame:
-        return self.compared.where("near").select("a", "b")
-
-    def compare(self, edges: DataFrame) -> None:
-        """Confirm the edges that are new and join two components, then find the components anew."""
-        roots = self.labels
-        edges = edges.join(roots.select(F.col("v").alias("a"), F.col("root").alias("ra")), "a").join(
-            roots.select(F.col("v").alias("b"), F.col("root").alias("rb")), "b").where("ra <> rb").select("a", "b")
-        if self.compared is not None:
-            edges = edges.join(self.compared.select("a", "b"), ["a", "b"], "left_anti")
-        edges = stage(edges, "edges")
-        fresh = confirm(edges, self.texts, self.id_type)
-        unstage(edges)
-        self.compared = fresh if self.compared is None else self.compared.unionByName(fresh)
-        if not fresh.where("near").isEmpty():
-            roots = lowest_reachable(self.near())
-            self.labels = stage(self.vertices.join(roots, "v", "left").select("v", F.coalesce("root", "v").alias("root")), "labels")
+    A pair leaves the join in the first band that the two share only.
+    """
+    fine = _those(texts, members.select("v").distinct()).mapInArrow(
+        _bits, f"v {id_type}, bands array<int>, " + ", ".join(f"{w} bigint" for w in _WORDS))
+    known = members.join(stage(fine, "bits"), "v")
+    other = known.drop("band").select("key", *[F.col(c).alias(f"{c}_a") for c in known.columns if c not in ("key", "band")])
+    different = " + ".join(f"bit_count({w} ^ {w}_a)" for w in _WORDS)
+    return known.join(other, "key").where(
+        f"v_a < v and root <> root_a and 100 * least(n, n_a) >= 75 * greatest(n, n_a) and {different} <= {MAX_DIFFERENT} "
+        "and not arrays_overlap(slice(bands, 1, band), slice(bands_a, 1, band))").select(F.col("v_a").alias("a"), F.col("v").alias("b")).distinct()
+
+
+def _compared(edges: DataFrame, before: DataFrame | None, texts: DataFrame, id_type: str) -> DataFrame:
+    """``before`` (a, b, near) and the edges that are not in it, confirmed."""
+    if before is not None:
+        edges = edges.join(before.select("a", "b"), ["a", "b"], "left_anti")
+    edges = stage(edges, "edges")
+    fresh = confirm(edges, texts, id_type)
+    unstage(edges)
+    return fresh if before is None else before.unionByName(fresh)
 
 
 def _bucket_links(members: DataFrame, texts: DataFrame, id_type: str) -> DataFrame:
     """(a, b): confirmed links that connect whatever bucket members are connected. See ``near_duplicates``."""
-    links = _Links(members, texts, id_type)
-    members = members.withColumn("fits", F.col("n"))
-    centre = [F.col("c.v").alias("a"), F.col("c.n").alias("n_a"), F.col("c.n").alias("fits_a")]
-    links.compare(_star(members.groupBy("key").agg(F.min(F.struct("v", "n")).alias("c")).select("key", *centre), members))
-    open_ = stage(_open_buckets(members, links.labels), "open")
+    members = members.select("key", "band", "v", "n", F.col("v").alias("root"))
+    lowest = members.groupBy("key").agg(F.min(F.struct("v", "n", "root")).alias("c")).select("key", "c.*")
+    done = _compared(_star(lowest, members), None, texts, id_type)
+    links = done.where("near").select("a", "b")
+    open_ = _open_buckets(members, lowest_reachable(links))
     if open_.isEmpty():
-        return links.near()
-    ends = links.near().select(F.col("a").alias("v")).unionByName(links.near().select(F.col("b").alias("v")))
-    met = open_.join(ends.groupBy("v").agg(F.count(F.lit(1)).alias("met")), "v", "left")
-    links.compare(_star(met.groupBy("key").agg(F.max(F.struct("met", "v", "n")).alias("c")).where("c.met is not null").select(
-        "key", *centre), open_))
-    open_ = _open_buckets(open_, links.labels)
-    open_ = _open_buckets(open_.drop("fits").join(_may_link(open_, texts, id_type), "v"), links.labels)
-    ranked = stage(open_.withColumn("at", F.row_number().over(Window.partitionBy("key").orderBy("v"))), "ranked")
-    largest = ranked.agg(F.max("at")).first()[0] or 0
-    low = 1
-    while low < largest:
-        high = low * TURN_GROWTH
-        centres = ranked.where((F.col("at") >= low) & (F.col("at") < high)).select(
-            "key", F.col("v").alias("a"), F.col("n").alias("n_a"), F.col("fits").alias("fits_a"))
-        links.compare(_star(centres, ranked.where(F.col("at") > low)))
-        low = high
-    return links.near()
+        return links
+    ends = links.select(F.col("a").alias("v")).unionByName(links.select(F.col("b").alias("v")))
+    met = open_.join(ends.groupBy("v").agg(F.count(F.lit(1)).alias("met")), "v")
+    most = met.groupBy("key").agg(F.max(F.struct("met", "v", "n", "root")).alias("c")).select("key", "c.*")
+    done = _compared(_star(most, open_), done, texts, id_type)
+    links = done.where("near").select("a", "b")
+    open_ = _open_buckets(open_, lowest_reachable(links))
+    return _compared(_rest(open_, texts, id_type), done, texts, id_type).where("near").select("a", "b")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -226,9 +218,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     Two documents are linked when 100 * common shingles >= 75 * all their shingles (five blank-separated words,
     A-Z lower-cased, whole texts). 48 bands of 5 bins miss a pair of similarity 0.75 with probability 2e-6.
     Equal sets are one vertex. In a bucket, candidates form stars: the first centre is the lowest id, the second
-    the document that most confirmed links meet. What is then still in several components and can be linked at
-    all (``_may_link``) meets in further stars, a growing number of centres at a time, until every member has met
-    every other that is not in its component. So no bucket is capped, and a group of near copies costs two stars.
+    the document that most confirmed links meet, which settles groups of near copies at two edges a member. Members
+    that are still in different components are compared by a fine sketch inside the join, and only pairs that look
+    alike there leave it. No bucket is capped.
 
     Null or wordless texts have no shingles and are linked with nothing; rows with a null id are returned with a
     null component. Rows that repeat an id share a vertex and a component. Other columns, whatever their names,
@@ -242,12 +234,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         sized = sketches.where("v is not null and n > 0")
         reps = sized.groupBy("d1", "d2", "n").agg(F.min("v").alias("rep"))
         same = stage(sized.select("v", "n", "d1", "d2").join(reps, ["d1", "d2", "n"]).select("v", "rep"), "same")
-        reps = same.where("v = rep").select("v").distinct()
-        members = sized.join(reps, "v", "left_semi").select("v", "n", F.explode("bands").alias("key"))
+        copies = same.groupBy("v").agg(F.bool_and(F.col("v") != F.col("rep")).alias("copy")).where("copy").select("v")
+        members = _those(sized, copies, "left_anti").select("v", "n", F.posexplode("bands").alias("band", "key"))
         shared = members.groupBy("key").agg(F.min("v").alias("lo"), F.max("v").alias("hi")).where("lo <> hi").select("key")
         members = stage(members.join(shared, "key"), "members")
         links = same.where("v <> rep").select(F.col("v").alias("a"), F.col("rep").alias("b"))
         links = links.unionByName(_bucket_links(members, docs.where("v is not null"), id_type))
-        result = sketches.select("v", "n").join(lowest_reachable(links), "v", "left").select(
+        roots = keep(lowest_reachable(links))
+        return keep(sketches).select("v", "n").join(roots, "v", "left").select(
             F.col("v").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("root", "v").alias("component_id"))
-        return keep(stage(result, "near_duplicates"))
