@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from loomwork.catalog.cluster_queries import vectors
 from loomwork.catalog.inputs import table
-from loomwork.catalog.model_queries import _binary, _classified, _part_vectors, _parts, _regression, BIN_KEY
+from loomwork.catalog.model_queries import _binary, _classified, _folder, _part_vectors, _parts, _regression, BIN_KEY
 from loomwork.catalog.prepare_queries import NUMERIC, _labelled
 from loomwork.catalog.profile_queries import _RARE, rare_class
 from loomwork.catalog.registry import query
@@ -235,6 +235,24 @@ def _(spark, sf):
     return run.prepared.rows.groupBy(part.alias("part")).agg(_n().alias("n")).crossJoin(champions)
 
 
+@query("snk1_saved_run_tables", "SELECT count(*) AS predictions, true AS metrics, 1::BIGINT AS champions FROM orders")
+def _(spark, sf):
+    run, _frames = _classified(spark, sf, models=["decision_tree"])
+    path = _folder(spark, "tables")
+    run.save(path)
+    read = {n: spark.read.parquet(f"{path}/{n}") for n in ("predictions", "metrics", "ranking")}
+    champions = read["ranking"].agg(F.count_if(F.col("rank") == 1).alias("champions"))
+    return read["predictions"].agg(_n().alias("predictions")).crossJoin(read["metrics"].agg((_n() > 0).alias("metrics"))).crossJoin(champions)
+
+
+@query("pipe3_holdout_without_column", "SELECT 'short' AS dataset, false AS usable, count(*) AS judged FROM customer UNION ALL SELECT 'whole', true, count(*) FROM customer")
+def _(spark, sf):
+    t = table(spark, sf, "customer").select("c_custkey", "c_mktsegment", "c_nationkey", "c_acctbal")
+    run = ClusteringRun(models=["kmeans"], ks=[2, 3]).fit(t, ["c_custkey"], {"short": t.drop("c_acctbal"), "whole": t})
+    judged = run.assignments.where("dataset = 'whole'").agg(_n().alias("judged"))
+    return run.holdout_report.select("dataset", "usable").crossJoin(judged)
+
+
 @query("pipe1_boolean_target", "SELECT (l_returnflag = 'R') AS predicted_of, count(*) AS n FROM lineitem GROUP BY 1")
 def _(spark, sf):
     t = table(spark, sf, "lineitem").withColumn("target", F.col("l_returnflag") == "R").withColumn("row", F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey"))

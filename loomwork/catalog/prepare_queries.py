@@ -38,6 +38,23 @@ def _(spark, sf):
     return en.index_categories(seen, ["o_orderpriority"]).transform(t).select("o_orderkey", "o_orderpriority_encoded")
 
 
+@query("enc1_index_dictionary", f"""WITH a AS ({_sql_index('c_name', 'customer')})
+SELECT 'c_name' AS "column", c_name::VARCHAR AS value, i::DOUBLE AS index FROM a
+UNION ALL SELECT 'l_partkey', value, (row_number() OVER (ORDER BY n DESC, value) - 1)::DOUBLE
+ FROM (SELECT l_partkey::VARCHAR AS value, count(*) AS n FROM lineitem GROUP BY 1)""")
+def _(spark, sf):
+    parts = [en.index_dictionary(table(spark, sf, t), c).select(F.lit(c).alias("column"), "value", "index") for t, c in (("customer", "c_name"), ("lineitem", "l_partkey"))]
+    return parts[0].unionByName(parts[1])
+
+
+@query("enc2_index_target_by_dictionary", f"""WITH a AS ({_sql_index('o_orderpriority', "(FROM orders WHERE o_orderpriority <> '2-HIGH')")})
+SELECT coalesce(i, -1)::DOUBLE AS label, count(*) AS n FROM orders LEFT JOIN a USING (o_orderpriority) GROUP BY 1""")
+def _(spark, sf):
+    t = table(spark, sf, "orders").select("o_orderpriority")
+    known = en.index_dictionary(t.where("o_orderpriority <> '2-HIGH'"), "o_orderpriority")
+    return en.index_by_dictionary(t, "o_orderpriority", known, "label", -1.0).groupBy("label").agg(F.count(F.lit(1)).alias("n"))
+
+
 @query("enc2_index_target", f"""WITH a AS ({_sql_index('o_orderstatus', 'orders')})
 SELECT i::DOUBLE AS label, count(*) AS n FROM orders JOIN a USING (o_orderstatus) GROUP BY 1""")
 def _(spark, sf):

@@ -11,6 +11,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from loomwork.functions.columns import hash_code, is_missing, text_to_number
+from loomwork.operators.rank import with_position
+from loomwork.session import broadcast_if_small
+
+#: Most values of a dictionary that is sent to the rows instead of being joined by shuffle.
+SMALL_DICTIONARY = 100_000
 
 # Fixed value: columns that are row numbers, never features of a clustering.
 ROW_ID_COLUMNS = ["id", "index", "row_id", "row_number"]
@@ -36,11 +41,30 @@ class FeatureSpec:
 
 
 def index_categories(df: DataFrame, columns: list[str]) -> StringIndexerModel:
-    """One multi-column indexer: most frequent value first, ties by value; unseen values get an extra index."""
+    """One multi-column indexer for columns of few values, as a stage of a saved model; ``index_dictionary`` has no such bound.
+
+    Most frequent value first, ties by value; unseen values get an extra index.
+    """
     return StringIndexer(inputCols=columns, outputCols=[f"{c}_encoded" for c in columns], handleInvalid="keep",
                          stringOrderType="frequencyDesc").fit(df)
 
 
+def index_dictionary(df: DataFrame, column: str) -> DataFrame:
+    """(value, index) of a column of any cardinality: most frequent value first, ties by value, from 0.
+
+    Values are counted with map-side combine and numbered by a range sort; the dictionary stays a table.
+    """
+    counts = df.where(F.col(column).isNotNull()).groupBy(F.col(column).cast("string").alias("value")).agg(F.count(F.lit(1)).alias("n"))
+    return with_position(counts, [F.col("n").desc(), F.col("value")], "at").select("value", (F.col("at") - 1).cast("double").alias("index"))
+
+
+def index_by_dictionary(df: DataFrame, column: str, dictionary: DataFrame, output: str, unseen: float | None = None) -> DataFrame:
+    """``df`` with the index of a column; null and unseen values get ``unseen``. Small dictionaries are sent to the rows."""
+    known = dictionary.select(F.col("value").alias("_value"), F.col("index").alias("_index"))
+    joined = df.join(broadcast_if_small(known, SMALL_DICTIONARY), F.col(column).cast("string") == F.col("_value"), "left")
+    return joined.withColumn(output, F.coalesce("_index", F.lit(unseen).cast("double"))).drop("_value", "_index")
+
+
 def index_target(df: DataFrame, target: str, output: str = "label") -> StringIndexerModel:
     return StringIndexer(inputCol=target, outputCol=output, handleInvalid="error").fit(df)
 

@@ -20,7 +20,7 @@ from loomwork.operators.smote import smote
 from loomwork.operators.split import oversample, use_cross_validation
 from loomwork.plans.supervised import KEY, Settings, feature_spec, prepare_rows
 from loomwork.session import stage
-from loomwork.sources.sinks import save_model
+from loomwork.sources.sinks import save_model, write_run
 
 
 class ClassificationRun:
@@ -138,5 +138,8 @@ class ClassificationRun:
         return out.withColumn("predicted_class", F.try_element_at(labels, F.col("prediction").cast("int") + 1))
 
     def save(self, path: str) -> None:
+        """Champion with its encoder, and the tables of the run: predictions of every model, metrics, decisions, ranking."""
+        write_run(path, {"predictions": self.scored, "metrics": self.metrics, "decisions": self.decisions, "ranking": self.ranking,
+                         "cross_validation": self.cross_validation, **{f"trials_{n}": t for n, t in self.trials.items()}})
         save_model(self.model, path, {"kind": "classification", "spec": asdict(self.prepared.spec), "labels": self.labels,
                                       "champion": self.champion, "variant": self.variant, "features": self.prepared.features})

@@ -20,7 +20,7 @@ from loomwork.operators.score import apply_model
 from loomwork.operators.split import assign_split
 from loomwork.plans.supervised import KEY, with_key
 from loomwork.session import evenly, stage
-from loomwork.sources.sinks import save_model
+from loomwork.sources.sinks import save_model, write_run
 
 INDICES = ["silhouette", "calinski_harabasz", "davies_bouldin", "inertia", "num_clusters"]
 # Fixed value: shares of the automatic split of a clustering input.
@@ -30,7 +30,7 @@ SHARES = {"train": 0.7, "validation": 0.15, "test": 0.15}
 class ClusteringRun:
     """Automatic clustering of a table.
 
-    After ``fit``: ``sweep`` (indices per model and k), ``metrics`` (model, dataset, metric, value), ``ranking``,
+    Hold-outs that lack a needed column are left out and named in ``holdout_report``. After ``fit``: ``sweep`` (indices per model and k), ``metrics`` (model, dataset, metric, value), ``ranking``,
     ``assignments`` (key, dataset, cluster) of the best model, and ``profile()``.
     """
 
@@ -51,7 +51,10 @@ class ClusteringRun:
         keyed = with_key(df, keys)
         self.input = keyed
         cols = [KEY, "dataset", *self.spec.raw]
+        self.holdout_report = en.holdout_report(holdouts, self.spec.raw, df.sparkSession) if holdouts else None
         if holdouts:
+            usable = {r["dataset"] for r in self.holdout_report.where("usable").collect()}
+            holdouts = {n: d for n, d in holdouts.items() if n in usable}
             whole = keyed.withColumn("dataset", F.lit("train")).select(*cols)
             for name, other in holdouts.items():
                 whole = whole.unionByName(with_key(other, keys).withColumn("dataset", F.lit(name)).select(*cols))
@@ -134,8 +137,15 @@ class ClusteringRun:
             return keyed.join(labels, KEY).drop(KEY)
         return apply_model(df, self.spec, self.model, "clustering")
 
+    def save_tables(self, path: str) -> None:
+        """Assignments, metrics, ranking, sweeps and profiles of the run."""
+        write_run(path, {"assignments": self.assignments, "metrics": self.metrics, "ranking": self.ranking,
+                         **{f"sweep_{n}": t for n, t in self.sweeps.items()}, **{f"profile_{n}": t for n, t in self.profile().items()}})
+
     def save(self, path: str) -> None:
+        """The tables of the run and its model."""
         if self.champion == "dbscan":
-            raise ValueError("a density clustering has no model to save; write its assignments instead")
+            raise ValueError("a density clustering has no model to save; use save_tables")
+        self.save_tables(path)
         save_model(self.model, path, {"kind": "clustering", "spec": asdict(self.spec), "champion": self.champion,
                                       "features": self.spec.encoded})

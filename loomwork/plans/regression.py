@@ -17,7 +17,7 @@ from loomwork.operators.score import apply_model
 from loomwork.operators.split import use_cross_validation
 from loomwork.plans.supervised import KEY, Settings, feature_spec, prepare_rows
 from loomwork.session import stage
-from loomwork.sources.sinks import save_model
+from loomwork.sources.sinks import save_model, write_run
 
 METRICS = ["rmse", "mae", "r2", "mse", "mape", "explained_variance"]
 
@@ -98,6 +98,9 @@ class RegressionRun:
         return apply_model(df, self.prepared.spec, self.model, "regression")
 
     def save(self, path: str) -> None:
+        """Champion with its encoder, and the tables of the run: predictions of every model, metrics, decisions, ranking."""
+        write_run(path, {"predictions": self.scored, "metrics": self.metrics, "decisions": self.decisions, "ranking": self.ranking,
+                         "cross_validation": self.cross_validation, **{f"trials_{n}": t for n, t in self.trials.items()}})
         save_model(self.model, path, {"kind": "regression", "spec": asdict(self.prepared.spec), "champion": self.champion,
                                       "variant": self.variant, "features": self.prepared.features,
                                       "target_labels": list(self.coder.index.labels) if self.coder.index else None})

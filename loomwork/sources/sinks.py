@@ -38,6 +38,13 @@ def save_model(model: PipelineModel, path: str, info: dict) -> None:
     spark.createDataFrame([(text,)], "info string").write.mode("overwrite").json(f"{path}/info")
 
 
+def write_run(path: str, tables: dict[str, DataFrame | None]) -> None:
+    """The result tables of a run as Parquet beside its model, one folder each; missing ones are left out."""
+    for name, df in tables.items():
+        if df is not None:
+            write_table(df, f"{path}/{name}")
+
+
 def load_model(spark: SparkSession, path: str) -> tuple[PipelineModel, dict]:
     info = spark.read.schema("info string").json(f"{path}/info").first()["info"]
     return PipelineModel.load(f"{path}/model"), json.loads(info)
