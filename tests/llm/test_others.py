@@ -10,6 +10,7 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from loomwork.llm import decontaminate as dc
 from loomwork.llm import mixing, quality_rules, warc
@@ -171,8 +172,8 @@ def test_line_quality_on_held_out_rows(spark):
 
 def test_toxicity_on_held_out_rows(spark):
     docs, labels, _ = labelled(spark, "toxic")
-    rows = toxicity(docs.join(labels.where("crc32(cast(doc_id as string)) % 5 = 0"), "doc_id"), fit_toxicity(docs, labels), columns=["doc_id", "toxic"])
-    rows = rows.join(labels, "doc_id").select("expected_severity", "grade", labels["toxic"].alias("truth")).toPandas()
+    truth = labels.where("crc32(cast(doc_id as string)) % 5 = 0").select("doc_id", F.col("toxic").alias("truth"))
+    rows = toxicity(docs.join(truth, "doc_id"), fit_toxicity(docs, labels), columns=["truth"]).select("expected_severity", "grade", "truth").toPandas()
     assert auc(rows["expected_severity"].to_numpy(), rows["truth"].to_numpy()) > 0.7
     assert rows[rows["truth"] == 0]["grade"].gt(0).mean() < 0.01
     empty = fit_toxicity(docs.limit(0), labels.limit(0))
