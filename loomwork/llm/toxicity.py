@@ -19,12 +19,12 @@ MAX_TRAINING_ROWS = 16000
 #: Word slots; a word's weight is shared by the words that fall into its slot.
 SLOTS = 1 << 18
 GRADES = 3
-#: A word takes part if this many training documents of a part have it and its share among toxic ones differs by this
-#: many standard deviations.
-MIN_DOCUMENTS, MIN_DEVIATIONS = 8, 5.0
+#: A word takes part if this many training documents of a part, and this share of them, have it and its share among toxic
+#: ones differs by this many standard deviations.
+MIN_DOCUMENTS, MIN_SHARE, MIN_DEVIATIONS = 8, 0.01, 5.0
 #: Toxic training rows with at least this many such words are of the upper grade.
 SEVERE_WORDS = 3
-STEPS, RATE, RIDGE = 300, 0.05, 1e-3
+STEPS, RATE, RIDGE = 300, 0.05, 1e-4
 
 
 def word_sets(block: Block) -> tuple[np.ndarray, np.ndarray]:
@@ -58,7 +58,7 @@ def _indicators(row: np.ndarray, slot: np.ndarray, toxic: np.ndarray) -> np.ndar
     base = toxic.mean()
     with np.errstate(divide="ignore", invalid="ignore"):
         z = (t - n * base) / np.sqrt(n * base * (1 - base))
-    return np.flatnonzero((n >= MIN_DOCUMENTS) & (np.abs(z) >= MIN_DEVIATIONS) & (base > 0) & (base < 1))
+    return np.flatnonzero((n >= max(MIN_DOCUMENTS, MIN_SHARE * len(toxic))) & (np.abs(z) >= MIN_DEVIATIONS) & (base > 0) & (base < 1))
 
 
 def grades(row: np.ndarray, slot: np.ndarray, toxic: np.ndarray, chosen: np.ndarray) -> np.ndarray:
