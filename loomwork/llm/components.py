@@ -19,8 +19,7 @@ def lowest_reachable(links: DataFrame) -> DataFrame:
     spark = links.sparkSession
     with staging(spark):
         edges = stage(links.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "links")
-        before = None
-        while True:
+        while not _stars(edges):
             both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
             low = both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("_a"), F.least("a", "m").alias("m"))
             large = both.join(low, F.col("a") == F.col("_a")).where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
@@ -31,10 +30,13 @@ def lowest_reachable(links: DataFrame) -> DataFrame:
                 small.where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")))
             following = stage(small.distinct(), "links")
             unstage(large)
-            state = following.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
             unstage(edges)
             edges = following
-            if state == before:
-                break
-            before = state
         return keep(edges.select(F.col("a").alias("v"), F.col("b").alias("root")), edges)
+
+
+def _stars(edges: DataFrame) -> bool:
+    """Whether every vertex has one edge to a lower one, or none and only edges from higher ones."""
+    ends = edges.select(F.col("a").alias("v"), F.lit(1).alias("down"), F.lit(0).alias("up")).unionByName(
+        edges.select(F.col("b").alias("v"), F.lit(0).alias("down"), F.lit(1).alias("up")))
+    return ends.groupBy("v").agg(F.sum("down").alias("down"), F.max("up").alias("up")).where("down > 1 or down > 0 and up > 0").isEmpty()

@@ -132,7 +132,7 @@ def confirm(edges: DataFrame, docs: DataFrame, id_type: str) -> DataFrame:
 
 def _those(rows: DataFrame, wanted: DataFrame, how: str = "left_semi") -> DataFrame:
     """Rows whose ``v`` is wanted (or is not). Up to ``LOCAL_IDS`` ids, which are counted, go to the rows; beyond, both are shuffled."""
-    return rows.join(broadcast_if_small(stage(wanted, "wanted"), LOCAL_IDS), "v", how)
+    return rows.join(broadcast_if_small(wanted, LOCAL_IDS), "v", how)
 
 
 def bits(sets: list[np.ndarray]) -> np.ndarray:
@@ -195,21 +195,24 @@ def _compared(edges: DataFrame, before: DataFrame | None, texts: DataFrame, id_t
 
 
 def _bucket_links(members: DataFrame, texts: DataFrame, id_type: str) -> DataFrame:
-    """(a, b): confirmed links that connect whatever bucket members are connected. See ``near_duplicates``."""
+    """(a, b): links that connect whatever bucket members confirmed links connect. See ``near_duplicates``."""
     members = members.select("key", "band", "v", "n", F.col("v").alias("root"))
     lowest = members.groupBy("key").agg(F.min(F.struct("v", "n", "root")).alias("c")).select("key", "c.*")
     done = _compared(_star(lowest, members), None, texts, id_type)
     links = done.where("near").select("a", "b")
-    open_ = _open_buckets(members, lowest_reachable(links))
+    roots = lowest_reachable(links)
+    open_ = _open_buckets(members, roots)
     if open_.isEmpty():
-        return links
+        return roots.select(F.col("v").alias("a"), F.col("root").alias("b"))
     ends = links.select(F.col("a").alias("v")).unionByName(links.select(F.col("b").alias("v")))
     met = open_.join(ends.groupBy("v").agg(F.count(F.lit(1)).alias("met")), "v")
     most = met.groupBy("key").agg(F.max(F.struct("met", "v", "n", "root")).alias("c")).select("key", "c.*")
+    known = roots.select(F.col("v").alias("a"), F.col("root").alias("b"))
     done = _compared(_star(most, open_), done, texts, id_type)
-    links = done.where("near").select("a", "b")
-    open_ = _open_buckets(open_, lowest_reachable(links))
-    return _compared(_rest(open_, texts, id_type), done, texts, id_type).where("near").select("a", "b")
+    roots = lowest_reachable(known.unionByName(done.where("near").select("a", "b")))
+    open_ = _open_buckets(open_, roots)
+    known = roots.select(F.col("v").alias("a"), F.col("root").alias("b"))
+    return known.unionByName(_compared(_rest(open_, texts, id_type), done, texts, id_type).where("near").select("a", "b"))
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
