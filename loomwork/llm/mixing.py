@@ -5,7 +5,7 @@ Built-in DataFrame functions only; cells and category factors stay in tables.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomwork.session import broadcast_if_small, keep, stage, staging
@@ -14,6 +14,7 @@ DIMENSIONS = ("source", "lang", "topic")
 #: Target share of a category: its tokens to this power, made to add up to 1. 1 keeps the corpus as it is.
 TEMPER = 0.9
 ROUNDS = 12
+ROUNDS_PER_STEP = 4
 #: Topics by rules on the text (SQL over ``text``), the first that holds; the rest is ``DEFAULT_TOPIC``.
 TOPICS = (
     ("legal", "contains(text, 'icense') or contains(text, 'opyright')"),
@@ -45,24 +46,25 @@ def raked(cells: DataFrame, targets: dict[str, DataFrame], rounds: int = ROUNDS)
     """``cells`` (one row per combination, ``tokens``) with ``weight``: factors that bring every margin to its target.
 
     A round scales each dimension in turn: every category by its target share of all tokens over its weighted tokens.
-    Categories without a target get weight 0, targets without tokens are left out and the rest is scaled up. Every
-    round is written, so the plan stays short.
+    Categories without a target get weight 0, targets without tokens are left out and the rest is scaled up. Cells are
+    sums already, one row per combination however many documents it has; a few rounds make a plan, then it is written.
     """
-    all_tokens = cells.agg(F.sum("tokens").cast("double").alias("all"))
-    goals = {}
+    all_tokens = F.broadcast(cells.agg(F.sum("tokens").cast("double").alias("_all")))
+    current = cells.withColumn("weight", F.lit(1.0))
     for d, table in targets.items():
         have = table.join(cells.select(F.col(d).alias("category")).distinct(), "category", "left_semi")
-        goals[d] = stage(have.crossJoin(F.broadcast(have.agg(F.sum("target").alias("_sum")))).crossJoin(F.broadcast(all_tokens)).select(
-            F.col("category").alias(f"_{d}"), (F.col("target") / F.col("_sum") * F.col("all")).alias("_goal")), "goals")
-    current = cells.withColumn("weight", F.lit(1.0))
-    for _ in range(rounds):
+        goal = have.crossJoin(F.broadcast(have.agg(F.sum("target").alias("_sum")))).crossJoin(all_tokens).select(
+            F.col("category").alias(d), (F.col("target") / F.col("_sum") * F.col("_all")).alias(f"_goal_{d}"))
+        current = current.join(goal, d, "left")
+    current = stage(current, "raked")
+    for done in range(1, rounds + 1):
         for d in targets:
-            margin = current.groupBy(F.col(d).alias(f"_{d}")).agg(F.sum(F.col("weight") * F.col("tokens")).alias("_have"))
-            factor = margin.join(goals[d], f"_{d}", "left").select(
-                f"_{d}", F.when(F.col("_have") > 0, F.coalesce("_goal", F.lit(0.0)) / F.col("_have")).otherwise(0.0).alias("_factor"))
-            current = current.join(factor, F.col(d) == F.col(f"_{d}")).select(*cells.columns, (F.col("weight") * F.col("_factor")).alias("weight"))
-        current = stage(current, "raked")
-    return current
+            margin = F.sum(F.col("weight") * F.col("tokens")).over(Window.partitionBy(d))
+            factor = F.when(F.col("_margin") > 0, F.coalesce(f"_goal_{d}", F.lit(0.0)) / F.col("_margin")).otherwise(0.0)
+            current = current.withColumn("_margin", margin).withColumn("weight", F.col("weight") * factor).drop("_margin")
+        if done % ROUNDS_PER_STEP == 0 and done < rounds:
+            current = stage(current, "raked")
+    return current.select(*cells.columns, "weight")
 
 
 def mixed(docs: DataFrame, key_col: str = "doc_id", text_col: str = "text", targets: dict[str, DataFrame] | None = None,
