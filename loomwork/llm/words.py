@@ -125,6 +125,17 @@ def words(block: Block, table: np.ndarray) -> Words:
     return Words(start, end, row, hash_pieces(data[inside], end - start), offsets)
 
 
+def prefix_hashes(block: Block, w: Words, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Words of ``n`` characters or more (their places) and the 64-bit hash of their first ``n`` characters."""
+    begins = np.append(np.flatnonzero((block.data & 0xC0) != 0x80), len(block.data))
+    after = np.minimum(np.searchsorted(begins, w.start) + n, len(begins) - 1)
+    end = begins[after]
+    at = np.flatnonzero(end <= w.end)
+    lengths = end[at] - w.start[at]
+    first = np.cumsum(lengths) - lengths
+    return at, hash_pieces(block.data[np.repeat(w.start[at] - first, lengths) + np.arange(lengths.sum())], lengths)
+
+
 def shingles(w: Words, k: int) -> tuple[np.ndarray, np.ndarray]:
     """Index of the first word and hash of every run of ``k`` words inside a row."""
     n = len(w.hash) - k + 1
