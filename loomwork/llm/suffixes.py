@@ -1,15 +1,16 @@
-"""Repeated passages by a sparse suffix array: suffixes at minimisers, sorted, neighbours compared and extended."""
+"""Repeated passages by a sparse suffix array: suffixes at minimisers, sorted, windows around equal anchors counted."""
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from loomwork.llm.words import BLANK_WORDS, blocks, shingles, signed, words
+from loomwork.llm.words import BLANK_WORDS, blocks, constants, mix, shingles, signed, words
 from loomwork.session import keep, stage, staging
 
 #: A passage has at least this many words.
@@ -83,60 +84,127 @@ def _matrix(column: pa.Array, n: int) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), ">u4").reshape(len(column), n)
 
 
-def _run_of_equal(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Number of leading columns in which the rows agree; missing words agree with nothing."""
-    different = (a != b) | (a == 0)
-    return np.where(different.any(axis=1), different.argmax(axis=1), a.shape[1])
+def _window_hashes(anchor: np.ndarray, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hash of each window of MIN_WORDS words that contains the anchor, by how many words it has before the anchor (a
+    column each), and whether the text has all of its words."""
+    before = np.zeros((len(anchor), LEFT + 1), np.uint64)
+    after = np.zeros((len(anchor), RIGHT + 1), np.uint64)
+    np.cumsum(left * constants(LEFT, 3000), axis=1, out=before[:, 1:])
+    np.cumsum(right * constants(RIGHT, 3100), axis=1, out=after[:, 1:])
+    whole = np.ones(before.shape, bool)
+    whole[:, 1:] = left != 0
+    whole[:, :-1] &= right[:, ::-1] != 0
+    return mix(anchor[:, None] + before + after[:, ::-1] + constants(LEFT + 1, 3200)), whole
+
+
+def _unpacked(rows: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Suffix and words before the anchor of every whole window, and its hash."""
+    left, right = _matrix(rows.column(2), LEFT)[:, ::-1], _matrix(rows.column(1), RIGHT)
+    window, whole = _window_hashes(rows.column(0).to_numpy().view(np.uint64), left.astype(np.uint64), right.astype(np.uint64))
+    suffix, back = np.nonzero(whole)
+    return suffix, back, window[suffix, back]
+
+
+def _shared(rows: pa.Table) -> pa.RecordBatch:
+    """Suffix rows of whole anchor groups -> the span of every suffix over its windows that another document holds too."""
+    suffix, back, window = _unpacked(rows)
+    code, ids = pd.factorize(rows.column(3).to_pandas(), sort=True)
+    order = np.argsort(window, kind="stable")
+    group = np.flatnonzero(np.diff(window[order], prepend=~window[order[:1]]))
+    sizes = np.diff(group, append=len(order))
+    v = code[suffix[order]]
+    lo, hi = (np.repeat(f.reduceat(v, group), sizes) if len(v) else v for f in (np.minimum, np.maximum))
+    at = np.flatnonzero(lo < hi)
+    suffix, back, other = suffix[order[at]], back[order[at]], np.where(lo[at] < v[at], lo[at], hi[at])
+    order = np.argsort(suffix, kind="stable")
+    suffix, back, other = suffix[order], back[order], other[order]
+    first = np.flatnonzero(np.diff(suffix, prepend=-1))
+    pos = rows.column(4).to_numpy()[suffix[first]]
+    # windows of one suffix all hold its anchor, so together they are one span
+    start, stop, other = (f.reduceat(x, first) if len(first) else x for f, x in ((np.maximum, back), (np.minimum, back), (np.minimum, other)))
+    return _spans(pa.array(ids[code[suffix[first]]], rows.schema.field(3).type), pos - start, pos - stop + MIN_WORDS,
+                  pa.array(ids[other], rows.schema.field(3).type))
+
+
+def _spans(v: pa.Array, start: np.ndarray, stop: np.ndarray, other: pa.Array) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.nulls(len(v), pa.int64()), pa.nulls(len(v), pa.binary()), pa.nulls(len(v), pa.binary()), v, pa.array(start),
+                                       pa.array(stop), other], names=_NAMES)
+
+
+_NAMES = ["anchor", "right", "left", "v", "pos", "stop", "other"]
 
 
 def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Sorted suffix rows -> a span for each side of every pair of neighbours that share a passage.
+    """Sorted suffix rows -> the spans of all anchor groups that lie inside the task.
 
-    The first and the last row of the task come out too, as rows without a span, to be compared with other tasks'.
+    Rows of the first and the last anchor of the task come out as they are, as other tasks may hold more of them.
     """
-    last = None
+    edge, held = None, []
     for batch in batches:
         if not len(batch):
             continue
-        held = batch if last is None else pa.Table.from_batches([last, batch]).combine_chunks().to_batches()[0]
-        anchor = held.column(0).to_numpy()
-        pair = np.flatnonzero(anchor[1:] == anchor[:-1])
-        ids = held.column(3)
-        left, right = _matrix(held.column(2), LEFT)[:, ::-1], _matrix(held.column(1), RIGHT)
-        pos = held.column(4).to_numpy()
-        back, ahead = _run_of_equal(left[pair], left[pair + 1]), _run_of_equal(right[pair], right[pair + 1])
-        long = back + ANCHOR_WORDS + ahead >= MIN_WORDS
-        pair, back, ahead = pair[long], back[long], ahead[long]
-        here, there = np.concatenate([pair, pair + 1]), np.concatenate([pair + 1, pair])
-        back, ahead = np.tile(back, 2), np.tile(ahead, 2)
-        spans = pa.RecordBatch.from_arrays(
-            [pa.nulls(len(here), pa.int64()), pa.nulls(len(here), pa.binary()), pa.nulls(len(here), pa.binary()), ids.take(pa.array(here)),
-             pa.array(pos[here] - back), pa.array(pos[here] + ANCHOR_WORDS + ahead), ids.take(pa.array(there))], names=_NAMES)
-        yield spans
-        if last is None:
-            yield _edge(batch.slice(0, 1))
-        last = batch.slice(len(batch) - 1, 1)
-    if last is not None:
-        yield _edge(last)
+        anchor = batch.column(0).to_numpy()
+        begins = int(np.searchsorted(anchor, anchor[-1]))
+        if edge is None:
+            edge = anchor[0]
+        inside = int(np.searchsorted(anchor, edge, "right"))
+        if inside:
+            yield _as_they_are(batch.slice(0, inside))
+        if anchor[-1] == edge:
+            continue
+        if not held or held[0].column(0)[0].as_py() != anchor[-1]:
+            whole = [*held, batch.slice(inside, begins - inside)]
+            whole = [x for x in whole if len(x)]
+            if whole:
+                yield _shared(pa.Table.from_batches(whole).combine_chunks())
+            held = []
+        held.append(batch.slice(max(begins, inside)))
+    for batch in held:
+        yield _as_they_are(batch)
 
 
-_NAMES = ["anchor", "right", "left", "v", "pos", "stop", "other"]
+def _as_they_are(rows: pa.RecordBatch) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([*rows.columns[:5], pa.nulls(len(rows), pa.int64()), pa.nulls(len(rows), rows.column(3).type)], names=_NAMES)
 
 
-def _edge(row: pa.RecordBatch) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([*row.columns[:5], pa.nulls(1, pa.int64()), pa.nulls(1, row.column(3).type)], names=_NAMES)
+def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(anchor, right, left, context, lo, hi) -> (window, context, back, lo, hi) of every whole window."""
+    for batch in batches:
+        suffix, back, window = _unpacked(pa.Table.from_batches([batch]))
+        at = pa.array(suffix)
+        yield pa.RecordBatch.from_arrays([pa.array(signed(window)), batch.column(3).take(at), pa.array(back), batch.column(4).take(at), batch.column(5).take(at)],
+                                         names=["window", "context", "back", "lo", "hi"])
+
+
+def _across(edges: DataFrame, kind: str) -> DataFrame:
+    """(v, start, stop, other) from the rows of anchors that several tasks may hold.
+
+    Rows with the same words around the anchor are one context; only contexts are spread over their windows.
+    """
+    known = stage(edges.withColumn("context", F.xxhash64("anchor", "right", "left")), "edges")
+    contexts = known.groupBy("context").agg(*[F.first(c).alias(c) for c in ("anchor", "right", "left")], F.min("v").alias("lo"), F.max("v").alias("hi"))
+    windows = stage(contexts.select("anchor", "right", "left", "context", "lo", "hi").mapInArrow(
+        _windows, f"window bigint, context bigint, back bigint, lo {kind}, hi {kind}"), "windows")
+    held = windows.groupBy("window").agg(F.min("lo").alias("first"), F.max("hi").alias("last")).where("first <> last")
+    reach = windows.join(held, "window").groupBy("context").agg(
+        F.max("back").alias("most"), F.min("back").alias("least"), F.min("first").alias("first"), F.min("last").alias("last"))
+    return known.join(reach, "context").select(
+        "v", (F.col("pos") - F.col("most")).alias("start"), (F.col("pos") - F.col("least") + MIN_WORDS).alias("stop"),
+        F.when(F.col("first") < F.col("v"), F.col("first")).otherwise(F.col("last")).alias("other"))
 
 
 def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, first_word, n_words, other_id): passages of ``MIN_WORDS`` words or more that another document holds too.
 
     Words are separated by blanks and compared as they stand. Retained suffixes whose first ``ANCHOR_WORDS`` words
-    occur once only are dropped by a count; of the rest, the words before and after the anchor are fetched from the
-    texts, the suffixes are sorted over all tasks in the order of their (hashed) words, neighbours are compared and
-    extended to both sides word by word, and a pair that reaches ``MIN_WORDS`` gives a span to both documents.
-    Overlapping spans of a document are one passage; ``other_id`` is the lowest of the neighbours' ids. A passage that
-    thousands of documents share spreads over as many tasks as its rows fill, as ids are part of the order; neighbours
-    in different tasks are compared at the end through the first and last row of each.
+    occur in one document only are dropped by a count; of the rest, the words before and after the anchor are fetched
+    from the texts and the suffixes are sorted over all tasks by anchor. Every window of ``MIN_WORDS`` words lies around
+    an anchor with the same words in all its holders, so in each group of equal anchors the windows are counted, and those
+    of two documents or more give a span to each holder: a passage is found whatever other texts hold parts of it.
+    Overlapping spans of a document are one passage; ``other_id`` is the lowest of the first holders of its windows, or
+    of the last ones where the document is the first itself. An anchor that thousands of documents share spreads over as
+    many tasks as its rows fill, as ids are part of the order; groups at the ends of a task are counted by window over
+    all tasks.
 
     Null and short texts and rows with a null id have no passages; repetitions inside one document only are not
     reported; rows that repeat an id are one document; other columns are not looked at; an empty table gives an empty
@@ -150,14 +218,14 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         twice = rows.groupBy("anchor").agg(F.min("v").alias("lo"), F.max("v").alias("hi")).where("lo <> hi").select("anchor")
         left = rows.join(twice, "anchor").groupBy("v").agg(F.sort_array(F.collect_set("pos")).alias("positions"))
         suffixes = texts.join(left, "v").select("v", "t", "positions").mapInArrow(_contexts, _ROW.format(kind=kind))
-        order = ["anchor", "right", "v", "pos"]
+        order = ["anchor", "v", "pos"]
         width = int(spark.conf.get("spark.sql.shuffle.partitions"))
         schema = f"{_ROW.format(kind=kind)}, stop bigint, other {kind}"
         ranged = suffixes.repartitionByRange(width, *order).sortWithinPartitions(*order)
         compared = stage(ranged.mapInArrow(_compare, schema), "compared")
         edges = compared.where("anchor is not null").select("anchor", "right", "left", "v", "pos")
-        across = edges.coalesce(1).sortWithinPartitions(*order).mapInArrow(_compare, schema)
-        spans = compared.unionByName(across).where("anchor is null and v <> other").select("v", F.col("pos").alias("start"), "stop", "other").distinct()
+        inside = compared.where("anchor is null").select("v", F.col("pos").alias("start"), "stop", "other")
+        spans = inside.unionByName(_across(edges, kind)).distinct()
         before = Window.partitionBy("v").orderBy("start", "stop", "other").rowsBetween(Window.unboundedPreceding, -1)
         here = Window.partitionBy("v").orderBy("start", "stop", "other")
         spans = spans.withColumn("fresh", F.coalesce((F.col("start") > F.max("stop").over(before)).cast("int"), F.lit(0)))

@@ -4,6 +4,7 @@ import random
 
 from pyspark.sql import functions as F
 
+from loomwork.llm.suffixes import repeated_spans
 from loomwork.llm.toxicity import fit_toxicity, toxicity
 
 
@@ -25,3 +26,22 @@ def test_stem_of_few_toxic_rows(spark):
     model = fit_toxicity(df.select("doc_id", "text"), df.select("doc_id", "toxic"))
     new = spark.createDataFrame([(1, " ".join(plain[:8]) + " бранноесловечко"), (2, " ".join(plain[:8]))], "doc_id long, text string")
     assert {r["doc_id"]: r["toxic"] for r in toxicity(new, model).collect()} == {1: True, 2: False}
+
+
+def passages_between(seed):
+    """A 51-word passage in two documents, and others that hold all but its first two words, then their own."""
+    rng = random.Random(seed)
+    new = lambda n: [f"{rng.choice('abcdefgh')}{rng.randint(0, 10**9)}" for _ in range(n)]
+    rows, wanted = [], {}
+    for p in range(20):
+        passage = new(51)
+        rows += [(1000 * p + k, " ".join(new(70) + passage + new(70))) for k in (1, 2)]
+        rows += [(1000 * p + 10 + k, " ".join(new(70) + passage[2:] + new(70))) for k in range(30)]
+        wanted |= {1000 * p + 1: (70, 51, 1000 * p + 2), 1000 * p + 2: (70, 51, 1000 * p + 1)}
+    return rows, wanted
+
+
+def test_truncated_holders_hide_no_passage(spark):
+    rows, wanted = passages_between(3)
+    found = repeated_spans(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r["doc_id"]: (r["first_word"], r["n_words"], r["other_id"]) for r in found} == wanted
