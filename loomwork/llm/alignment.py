@@ -2,24 +2,27 @@
 
 from __future__ import annotations
 
-import os
+import json
 from collections.abc import Iterator
 from dataclasses import dataclass
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from loomwork.llm.words import blocks
 from loomwork.session import stage
 
-#: One link of a text, and the groups of a text: the tokens of both sides between two common ends.
-_LINK = "struct<a_id:int,b_id:int>"
+#: The pairs of a text that end together, with how often they do; the tokens of both sides between two common ends.
+_LINKS = "array<struct<a_id:int,b_id:int,n:int>>"
 _GROUPS = "array<struct<a:array<int>,b:array<int>>>"
+#: Bytes of text that are encoded together; a longer text is encoded alone.
+ENCODE_BYTES = 1 << 18
+#: Fixed value: how byte-level vocabularies cut a text into pieces that no token crosses.
+PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Every FAN-th entry of a list is searched before those between, which then start where it was found.
 FAN = 8
 
@@ -55,31 +58,36 @@ def _piece_bytes(piece: str) -> bytes:
 
 
 class Encoders:
-    """Both tokenizers inside a task, made from the bytes of their files."""
+    """Both tokenizers inside a task, made from the bytes of their files.
+
+    The byte-level file is run by ``tiktoken``, which gives the same ids several times faster than its own library where
+    ids follow the order of the merges; another file is an error.
+    """
 
     def __init__(self, a_file: bytes, b_file: bytes):
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
+        import tiktoken
         from sentencepiece import SentencePieceProcessor
-        from tokenizers import Tokenizer
 
-        self.a = Tokenizer.from_str(a_file.decode())
-        self.a.encode_special_tokens = True
+        entries = json.loads(a_file)
+        vocab, merges, byte = entries["model"]["vocab"], entries["model"]["merges"], _byte_of_character()
+        merged = [vocab["".join(m.split(" ") if isinstance(m, str) else m)] for m in merges]
+        if entries["pre_tokenizer"]["type"] != "ByteLevel" or entries["normalizer"] or merged != list(range(256, 256 + len(merges))):
+            raise ValueError("the first tokenizer must be a plain byte-level vocabulary whose ids follow its merges")
+        ranks = {bytes(byte[c] for c in t): i for t, i in vocab.items() if i < 256 + len(merges)}
+        self.a = tiktoken.Encoding("a", pat_str=PIECES, mergeable_ranks=ranks, special_tokens={})
         self.b = SentencePieceProcessor(model_proto=b_file)
-        byte = _byte_of_character()
-        entries = {i: bytes(byte[c] for c in t) for t, i in self.a.get_vocab().items()}
-        self.a_vocabulary = Vocabulary.of([entries.get(i, b"") for i in range(max(entries) + 1)])
+        self.a_vocabulary = Vocabulary.of([t for t, _ in sorted(ranks.items(), key=lambda e: e[1])])
         self.b_vocabulary = Vocabulary.of([_piece_bytes(self.b.id_to_piece(i)) for i in range(self.b.get_piece_size())])
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Ids and numbers of tokens per text: of a blank and the text by A, of the text by B, which adds the blank."""
-        a = [e.ids for e in self.a.encode_batch_fast([" " + t for t in texts], add_special_tokens=False)]
-        b = self.b.encode(texts, num_threads=1)
+        a = [self.a.encode_to_numpy(" " + t, disallowed_special=()) for t in texts]
+        b = [np.array(x, np.int32) for x in self.b.encode(texts, num_threads=1)]
         return *_flat(a), *_flat(b)
 
 
-def _flat(lists: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
-    counts = np.array([len(x) for x in lists], np.int64)
-    return np.fromiter(chain.from_iterable(lists), np.int32, int(counts.sum())), counts
+def _flat(lists: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    return np.concatenate([np.zeros(0, np.int32), *lists]).astype(np.int32), np.array([len(x) for x in lists], np.int64)
 
 
 def _first(counts: np.ndarray) -> np.ndarray:
@@ -151,11 +159,64 @@ def _lists(values: np.ndarray, offsets: np.ndarray) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(values))
 
 
-def _aligned(shared):
+@dataclass
+class Alignment:
+    """Tokens of the texts of a block and the place of each group's last token; ``a_last`` and ``b_last`` are the links."""
+
+    a_ids: np.ndarray
+    b_ids: np.ndarray
+    a_last: np.ndarray
+    b_last: np.ndarray
+    text: np.ndarray  # of each group
+
+    def groups(self, n: np.ndarray) -> pa.Array:
+        """Groups as lists; ``n`` is the number of groups of every row."""
+        both = pa.StructArray.from_arrays([_lists(self.a_ids, np.append(0, self.a_last + 1)), _lists(self.b_ids, np.append(0, self.b_last + 1))], names=["a", "b"])
+        return pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(n)).astype(np.int32)), both)
+
+    def written(self, n: np.ndarray, table: pa.Array, a_size: int, b_size: int) -> pa.Array:
+        """Groups as text, ``a,a|b;a|b,b``: every token's text carries the sign that follows it, the last one's is cut off."""
+        groups = np.arange(len(self.text))
+        a_sizes, b_sizes = np.diff(self.a_last, prepend=-1), np.diff(self.b_last, prepend=-1)
+        piece = np.zeros(len(self.a_ids) + len(self.b_ids), np.int64)
+        a_code, b_code = self.a_ids.astype(np.int64), self.b_ids + np.int64(2 * a_size)
+        a_code[self.a_last] += a_size
+        b_code[self.b_last] += b_size
+        piece[np.arange(len(a_code)) + np.append(0, self.b_last + 1)[np.repeat(groups, a_sizes)]] = a_code
+        piece[np.arange(len(b_code)) + (self.a_last + 1)[np.repeat(groups, b_sizes)]] = b_code
+        chars = table.take(pa.array(piece))
+        data = np.frombuffer(chars.buffers()[2] or b"", np.uint8)
+        ends = np.frombuffer(chars.buffers()[1], np.int64)[:len(piece) + 1]
+        last = np.cumsum(n)[n > 0] - 1  # the last group of every text that has one
+        stops = ends[self.a_last[last] + self.b_last[last] + 2]
+        size = np.zeros(len(n), np.int64)
+        size[n > 0] = np.diff(stops, prepend=0) - 1
+        return pa.LargeStringArray.from_buffers(len(n), pa.py_buffer(np.append(0, np.cumsum(size))), pa.py_buffer(np.delete(data, stops - 1))).cast(pa.string())
+
+    def links(self, n_rows: int, b_size: int) -> pa.Array:
+        """The different pairs of each row with how many of its links hold them."""
+        pair = self.a_ids[self.a_last].astype(np.int64) * b_size + self.b_ids[self.b_last]
+        order = np.lexsort((pair, self.text))
+        pair, text = pair[order], self.text[order]
+        head = np.flatnonzero(np.append(True, (pair[1:] != pair[:-1]) | (text[1:] != text[:-1]))) if len(pair) else pair
+        a_id, b_id = np.divmod(pair[head], b_size)
+        n = np.diff(np.append(head, len(pair)))
+        fields = pa.StructArray.from_arrays([pa.array(x.astype(np.int32)) for x in (a_id, b_id, n)], names=["a_id", "b_id", "n"])
+        return pa.ListArray.from_arrays(pa.array(np.searchsorted(text[head], np.arange(n_rows + 1)).astype(np.int32)), fields)
+
+
+def _number_texts(encoders: Encoders) -> pa.Array:
+    sides = ((encoders.a_vocabulary, ",|"), (encoders.b_vocabulary, ",;"))
+    return pa.array([f"{i}{sign}" for v, signs in sides for sign in signs for i in range(len(v.lengths))], pa.large_string())
+
+
+def _aligned(shared, written: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoders = Encoders(*shared.value)
+        a_size, b_size = len(encoders.a_vocabulary.lengths), len(encoders.b_vocabulary.lengths)
+        table = _number_texts(encoders) if written else None
         for batch in batches:
-            for block in blocks(batch.column(0)):
+            for block in blocks(batch.column(0), ENCODE_BYTES):
                 rows = batch.slice(block.first, len(block))
                 body, at = block.data.tobytes(), block.offsets
                 some = np.flatnonzero(np.diff(at))
@@ -164,18 +225,21 @@ def _aligned(shared):
                 whole = _faithful(raw, encoders.a_vocabulary, a_ids, a_count) & _faithful(raw, encoders.b_vocabulary, b_ids, b_count)
                 a_ids, b_ids = a_ids[np.repeat(whole, a_count)], b_ids[np.repeat(whole, b_count)]
                 a_count, b_count, some = a_count[whole], b_count[whole], some[whole]
-                a_at, b_at = common_ends(np.cumsum(encoders.a_vocabulary.lengths[a_ids]), a_count, np.cumsum(encoders.b_vocabulary.lengths[b_ids]), b_count)
-                groups = pa.StructArray.from_arrays([_lists(a_ids, np.append(0, a_at + 1)), _lists(b_ids, np.append(0, b_at + 1))], names=["a", "b"])
+                a_last, b_last = common_ends(np.cumsum(encoders.a_vocabulary.lengths[a_ids]), a_count, np.cumsum(encoders.b_vocabulary.lengths[b_ids]), b_count)
                 n_a, n_b, n_groups = (np.zeros(len(block), np.int64) for _ in range(3))
                 n_a[some], n_b[some] = a_count, b_count
-                n_groups[some] = np.searchsorted(a_at, np.cumsum(a_count)) - np.searchsorted(a_at, _first(a_count))
-                offsets = pa.array(np.append(0, np.cumsum(n_groups)).astype(np.int32))
-                yield pa.RecordBatch.from_arrays([*rows.columns[1:], pa.array(n_a), pa.array(n_b), pa.ListArray.from_arrays(offsets, groups)],
-                                                 names=[*rows.schema.names[1:], "n_a", "n_b", "groups"])
+                n_groups[some] = np.searchsorted(a_last, np.cumsum(a_count)) - np.searchsorted(a_last, _first(a_count))
+                found = Alignment(a_ids, b_ids, a_last, b_last, np.repeat(np.arange(len(block)), n_groups))
+                groups = found.written(n_groups, table, a_size, b_size) if written else found.groups(n_groups)
+                yield pa.RecordBatch.from_arrays([*rows.columns[1:], *map(pa.array, (n_a, n_b, n_groups)), groups, found.links(len(block), b_size)],
+                                                 names=[*rows.schema.names[1:], *_RESULTS])
 
     return run
 
 
+_RESULTS = ["n_a", "n_b", "n_groups", "groups", "links"]
+
+
 def _faithful(raw: list[bytes], vocabulary: Vocabulary, ids: np.ndarray, counts: np.ndarray) -> np.ndarray:
     """Texts whose tokens give, joined, a blank and the text."""
     data = vocabulary.joined(ids)
@@ -183,27 +247,30 @@ def _faithful(raw: list[bytes], vocabulary: Vocabulary, ids: np.ndarray, counts:
     return np.array([data[ends[i]:ends[i + 1]] == b" " + x for i, x in enumerate(raw)], bool)
 
 
-def aligned(docs: DataFrame, a_path: str, b_path: str, text_col: str = "text", columns: list[str] | None = None) -> DataFrame:
-    """``docs`` (all columns, or those named) with ``n_a`` and ``n_b`` (numbers of tokens) and ``groups``.
+def aligned(docs: DataFrame, a_path: str, b_path: str, text_col: str = "text", columns: list[str] | None = None, written: bool = False) -> DataFrame:
+    """``docs`` (all columns, or those named) with ``n_a`` and ``n_b`` (tokens), ``n_groups``, ``groups`` and ``links``.
 
-    ``a_path`` is a byte-level vocabulary read by ``tokenizers``, ``b_path`` a model read by ``sentencepiece``; the driver
+    ``a_path`` is the JSON file of a byte-level vocabulary, ``b_path`` a model read by ``sentencepiece``; the driver
     reads both files and sends them to the tasks (a few MB whatever the input), so executors need no copy. Special tokens
     are never added, and their strings inside a text are ordinary text. A blank and the text is encoded by A, the text by
     B, which adds the blank itself. Byte offsets where a token of both ends are found by galloping: the shorter list of
     ends drives an exponential and then binary search in the longer. They cut both token lists into ``groups``, structs
-    ``a`` and ``b`` of the ids between two common ends; the sizes of the two lists are the differences of the ranks. Each
-    group's last tokens end together and are a link.
+    ``a`` and ``b`` of the ids between two common ends, or with ``written`` the text ``a1,a2|b1;a3|b2,b3``; the sizes of
+    the two lists are the differences of the ranks. Each group's last tokens end together and are a link; ``links`` lists
+    the pairs (a_id, b_id) of a row with ``n``, how many of its links hold them.
 
     Null and empty texts, and texts whose joined token bytes differ from the blank and the text (a model may change
-    characters), have no tokens: zeros and an empty list. Texts are encoded whole, about 1 MB at a time; a longer one is
-    encoded alone, so memory follows the longest text. Rows are judged one by one, so repeated rows and ids all stay, and
-    nothing is shuffled; columns that clash with the result names are replaced; an empty table gives an empty result.
+    characters), have no tokens: zeros and empty lists. Texts are encoded whole, about a quarter of a MB at a time; a
+    longer one is encoded alone, so memory follows the longest text. Rows are judged one by one, so repeated rows and ids all
+    stay, and nothing is shuffled; columns that clash with the result names are replaced; an empty table gives an empty
+    result.
     """
     shared = docs.sparkSession.sparkContext.broadcast((_read(a_path), _read(b_path)))
-    kept = [c for c in (docs.columns if columns is None else columns) if c not in ("n_a", "n_b", "groups")]
+    kept = [c for c in (docs.columns if columns is None else columns) if c not in _RESULTS]
     source = docs.select(F.col(f"`{text_col}`").alias("_text"), *[F.col(f"`{c}`").alias(f"_c{i}") for i, c in enumerate(kept)])
-    schema = T.StructType([*source.schema.fields[1:], *_schema(docs.sparkSession, f"n_a bigint, n_b bigint, groups {_GROUPS}")])
-    return source.mapInArrow(_aligned(shared), schema).toDF(*kept, "n_a", "n_b", "groups")
+    results = f"n_a bigint, n_b bigint, n_groups bigint, groups {'string' if written else _GROUPS}, links {_LINKS}"
+    schema = T.StructType([*source.schema.fields[1:], *T.StructType.fromDDL(results).fields])
+    return source.mapInArrow(_aligned(shared, written), schema).toDF(*kept, *_RESULTS)
 
 
 def _read(path: str) -> bytes:
@@ -211,15 +278,6 @@ def _read(path: str) -> bytes:
         return file.read()
 
 
-def _schema(spark: SparkSession, ddl: str) -> list[T.StructField]:
-    return T.StructType.fromDDL(ddl).fields
-
-
-def links(groups: str = "groups"):
-    """Column: the last tokens of both sides of every group, array of (a_id, b_id)."""
-    return F.transform(groups, lambda g: F.struct(F.element_at(g["a"], -1).alias("a_id"), F.element_at(g["b"], -1).alias("b_id")))
-
-
 def link_table(rows: DataFrame, links_col: str = "links") -> DataFrame:
     """(a_id, b_id, n, best): how many links of all rows hold a pair, and whether no pair of that b_id has more.
 
@@ -227,7 +285,7 @@ def link_table(rows: DataFrame, links_col: str = "links") -> DataFrame:
     (a byte may be two tokens of a vocabulary with byte fallback). So a vocabulary's bytes bound the number of pairs, some
     hundred thousand for 50,000 and 32,000 tokens, whatever the input; pairs are summed in the tasks before they travel.
     """
-    pairs = rows.select(F.explode(links_col).alias("l")).groupBy("l.a_id", "l.b_id").agg(F.count(F.lit(1)).alias("n"))
+    pairs = rows.select(F.explode(links_col).alias("l")).groupBy("l.a_id", "l.b_id").agg(F.sum("l.n").alias("n"))
     most = F.max("n").over(Window.partitionBy("b_id"))
     return pairs.withColumn("best", F.col("n") == most)
 
@@ -238,10 +296,10 @@ def _scored(shared):
         for batch in batches:
             lists = batch.column(0)
             flat = lists.flatten()
-            a, b = (pc.struct_field(flat, i).to_numpy(zero_copy_only=False).astype(np.int64) for i in (0, 1))
+            a, b, times = (pc.struct_field(flat, i).to_numpy(zero_copy_only=False).astype(np.int64) for i in range(3))
             at = np.searchsorted(code, a << 32 | b)
             offsets = lists.offsets.to_numpy() - lists.offsets[0].as_py()
-            sums = [np.diff(np.append(0, np.cumsum(x[at]))[offsets]) for x in (best, n)]
+            sums = [np.diff(np.append(0, np.cumsum(x[at] * times))[offsets]) for x in (best, n)]
             yield pa.RecordBatch.from_arrays([*batch.columns[1:], *map(pa.array, sums)], names=[*batch.schema.names[1:], "n_best", "count_sum"])
 
     return run
@@ -257,8 +315,8 @@ def link_scores(rows: DataFrame, table: DataFrame, links_col: str = "links") ->
                      np.int64).reshape(-1, 3)
     shared = rows.sparkSession.sparkContext.broadcast(tuple(known[np.argsort(known[:, 0])].T.copy()))
     kept = [c for c in rows.columns if c not in (links_col, "n_best", "count_sum")]
-    source = rows.select(F.col(links_col).cast(f"array<{_LINK}>").alias("_links"), *[F.col(f"`{c}`").alias(f"_c{i}") for i, c in enumerate(kept)])
-    schema = T.StructType([*source.schema.fields[1:], *_schema(rows.sparkSession, "n_best bigint, count_sum bigint")])
+    source = rows.select(F.col(links_col).cast(_LINKS).alias("_links"), *[F.col(f"`{c}`").alias(f"_c{i}") for i, c in enumerate(kept)])
+    schema = T.StructType([*source.schema.fields[1:], *T.StructType.fromDDL("n_best bigint, count_sum bigint").fields])
     return source.mapInArrow(_scored(shared), schema).toDF(*kept, "n_best", "count_sum")
 
 

@@ -8,12 +8,15 @@ from collections import Counter
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 from loomwork.llm import alignment as al
 from loomwork.llm.alignment_queries import TOKENIZERS
 from loomwork.llm.queries import QUERIES
 
 A_FILE, B_FILE = f"{TOKENIZERS}/byte_bpe_50k.json", f"{TOKENIZERS}/piece_bpe_32k.model"
+PLAIN = Tokenizer.from_file(A_FILE)
+PLAIN.encode_special_tokens = True
 TEXTS = [None, "", " ", "a", "Hello world, hello worlds!", "<|endoftext|> and <s>", "naïve café 日本語 🙂🙃", "tabs\tand\n\nnew  lines   ", "▁ a low line", "ﬁne",
          "zero\x00byte", "0123456789 " * 20, "antidisestablishmentarianism " * 3, "the the the the", "<0x41> A"]
 
@@ -27,7 +30,7 @@ def groups_of(encoders, text):
     """Groups by the intersection of two sets of ends; None where the tokens do not give the text back."""
     if not text:
         return None
-    a, b = encoders.a.encode(" " + text, add_special_tokens=False).ids, encoders.b.encode(text)
+    a, b = PLAIN.encode(" " + text, add_special_tokens=False).ids, encoders.b.encode(text)
     a_bytes = [encoders.a_vocabulary.pieces[i].as_py() for i in a]
     b_bytes = [encoders.b_vocabulary.pieces[i].as_py() for i in b]
     if not b"".join(a_bytes) == b"".join(b_bytes) == (" " + text).encode():
@@ -52,7 +55,8 @@ def test_groups(spark, encoders):
         r = got[i]
         assert r["text"] == t and r["_text"] == "x"
         assert [(list(g["a"]), list(g["b"])) for g in r["groups"]] == want, t and t[:80]
-        assert (r["n_a"], r["n_b"]) == (sum(len(g[0]) for g in want), sum(len(g[1]) for g in want))
+        assert (r["n_a"], r["n_b"], r["n_groups"]) == (sum(len(g[0]) for g in want), sum(len(g[1]) for g in want), len(want))
+        assert {(x["a_id"], x["b_id"]): x["n"] for x in r["links"]} == Counter((a[-1], b[-1]) for a, b in want)
     assert got[5]["n_a"] > 5 and got[0]["n_a"] == got[1]["n_a"] == 0
 
 
@@ -109,11 +113,11 @@ def test_query_on_all_documents(spark, data, encoders):
 def test_empty_table_and_rows_without_links(spark):
     df = spark.createDataFrame([], "doc_id long, text string, groups int")
     rows = al.aligned(df, A_FILE, B_FILE)
-    assert rows.columns == ["doc_id", "text", "n_a", "n_b", "groups"] and rows.collect() == []
-    scored = al.scored_alignment(rows.select("doc_id", al.links().alias("links")))
+    assert rows.columns == ["doc_id", "text", "n_a", "n_b", "n_groups", "groups", "links"] and rows.collect() == []
+    scored = al.scored_alignment(rows.select("doc_id", "links"))
     assert scored.columns == ["doc_id", "n_best", "count_sum"] and scored.collect() == []
     some = al.aligned(spark.createDataFrame([(1, None), (2, "")], "doc_id long, text string"), A_FILE, B_FILE)
-    some = al.scored_alignment(some.select("doc_id", F.lit(5).alias("n_best"), al.links().alias("links")))
+    some = al.scored_alignment(some.select("doc_id", F.lit(5).alias("n_best"), "links"))
     assert sorted(map(tuple, some.collect())) == [(1, 0, 0), (2, 0, 0)]
 
 
