@@ -18,6 +18,7 @@ from loomwork.operators import encode as en
 from loomwork.operators import explain as ex
 from loomwork.operators import regression_metrics as rm
 from loomwork.operators import tune as tn
+from loomwork.operators import vector_index as vi
 from loomwork.operators.dbscan import dbscan, dbscan_search
 from loomwork.operators.models import estimator
 from loomwork.operators.score import score
@@ -163,6 +164,33 @@ def _(spark, sf):
     return rounded(rounded(trials, 3, "silhouette"), 3, "noise_percentage")
 
 
+VECTOR_RECALL = 0.95
+
+
+def _vector_index(spark, sf):
+    """Index over all embeddings, its queries (every row whose id 100 divides) and the probes for the wanted recall."""
+    vectors = table(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").cast("array<double>").alias("x"))
+    index = vi.build_index(vectors, len(vectors.first()["x"]))
+    return index, vectors.where("id % 100 = 0"), vi.calibrated_probes(index, 10, VECTOR_RECALL)
+
+
+@query("joi4_index_exact_neighbours", """
+WITH e AS (SELECT vec_id, list_transform(embedding, lambda v: v::DOUBLE) AS x FROM embeddings)
+SELECT a.vec_id AS id, b.vec_id AS neighbour, round(list_distance(a.x, b.x), 6) AS distance,
+       row_number() OVER (PARTITION BY a.vec_id ORDER BY list_distance(a.x, b.x), b.vec_id)::INTEGER AS rank
+FROM e a JOIN e b ON a.vec_id <> b.vec_id WHERE a.vec_id % 100 = 0 QUALIFY rank <= 10""")
+def _(spark, sf):
+    index, asked, probes = _vector_index(spark, sf)
+    return vi.nearest(index, asked, 10, probes, exact=True).select("id", "neighbour", F.round(F.sqrt("d2"), 6).alias("distance"), "rank")
+
+
+@query("joi4_index_recall", "SELECT count(*) AS queries, true AS reached FROM embeddings WHERE vec_id % 100 = 0")
+def _(spark, sf):
+    index, asked, probes = _vector_index(spark, sf)
+    found = vi.recall(vi.nearest(index, asked, 10, probes), vi.nearest(index, asked, 10, probes, exact=True))
+    return found.select("queries", (F.col("recall") >= VECTOR_RECALL).alias("reached"))
+
+
 @query("joi4_nearest_neighbours", """
 SELECT a.p_partkey, b.p_partkey AS neighbour, row_number() OVER (PARTITION BY a.p_partkey ORDER BY (a.p_size - b.p_size)::DOUBLE ** 2
  + (a.p_retailprice - b.p_retailprice) ** 2, b.p_partkey)::INTEGER AS rank
