@@ -8,6 +8,8 @@ from pyspark.ml.clustering import BisectingKMeans, GaussianMixture, KMeans
 from pyspark.ml.regression import (DecisionTreeRegressor, FMRegressor, GBTRegressor, LinearRegression,
                                    RandomForestRegressor)
 
+from loomwork.operators.boosting import HistogramBoosting
+
 SEED = 42
 
 # Default parameters of every model.
@@ -17,6 +19,7 @@ CLASSIFIERS = {
     "gradient_boosting": (GBTClassifier, {"maxIter": 50, "maxDepth": 5, "maxBins": 64, "stepSize": 0.1, "seed": SEED}),
     "decision_tree": (DecisionTreeClassifier, {"maxDepth": 5, "maxBins": 32, "seed": SEED}),
     "neural_network": (MultilayerPerceptronClassifier, {"maxIter": 100, "blockSize": 512, "seed": SEED}),
+    "histogram_boosting": (HistogramBoosting, {"maxIter": 50, "maxDepth": 5, "maxBins": 64, "stepSize": 0.1}),
 }
 REGRESSORS = {
     "linear_regression": (LinearRegression, {"maxIter": 100, "regParam": 0.01, "elasticNetParam": 0.0}),
@@ -24,6 +27,7 @@ REGRESSORS = {
     "gradient_boosting": (GBTRegressor, {"maxIter": 50, "maxDepth": 5, "maxBins": 64, "stepSize": 0.1, "seed": SEED}),
     "decision_tree": (DecisionTreeRegressor, {"maxDepth": 5, "maxBins": 256, "seed": SEED}),
     "factorization_machine": (FMRegressor, {"factorSize": 8, "seed": SEED}),
+    "histogram_boosting": (HistogramBoosting, {"maxIter": 50, "maxDepth": 5, "maxBins": 64, "stepSize": 0.1}),
 }
 CLUSTERERS = {
     "kmeans": (KMeans, {"k": 3, "maxIter": 20, "tol": 1e-4, "initMode": "k-means||", "seed": SEED}),
@@ -59,12 +63,14 @@ def estimator(kind: str, name: str, params: dict | None = None, *, features: int
             raise ValueError("the neural network needs the number of features")
         hidden = chosen.pop("layers", None) or [hidden_width(features)]
         chosen["layers"] = [features, *hidden, classes]
+    if name == "histogram_boosting" and kind == "classification":
+        chosen |= {"objective": "logistic" if classes <= 2 else "softmax", "classes": classes}
     if kind != "clustering":
         chosen["labelCol"] = "label"
     return cls(featuresCol="features", **chosen)
 
 
 def available_models(kind: str, classes: int = 2) -> list[str]:
-    """Models that can be fitted; binary-only ones are left out for more than two classes."""
-    names = [n for n in REGISTRY[kind] if n != "factorization_machine"]
-    return names if classes <= 2 else [n for n in names if n not in BINARY_ONLY]
+    """Models that a run fits when none are named; for more than two classes histogram boosting takes the place of the binary-only one."""
+    names = [n for n in REGISTRY[kind] if n not in ("factorization_machine", "histogram_boosting")]
+    return names if classes <= 2 else [n for n in names if n not in BINARY_ONLY] + ["histogram_boosting"]

@@ -29,6 +29,7 @@ SPACES = {
         "gradient_boosting": {"maxIter": [5, 10], "maxDepth": [3, 5], "stepSize": [0.1]},
         "neural_network": {"layers": [[8], [16], [8, 4], [16, 8], [16, 8, 4]], "maxIter": [50, 100, 200],
                            "blockSize": [32, 64, 128]},
+        "histogram_boosting": {"maxIter": [5, 10, 20], "maxDepth": [3, 5], "stepSize": [0.1, 0.3], "regLambda": [1.0, 10.0]},
     },
     "regression": {
         "linear_regression": {"regParam": (0.001, 1.0), "elasticNetParam": (0.0, 1.0)},
@@ -38,6 +39,7 @@ SPACES = {
                               "subsamplingRate": (0.8, 1.0), "maxBins": (32, 64)},
         "decision_tree": {"maxDepth": (3, 5), "minInstancesPerNode": (1, 2), "minInfoGain": (0.0, 0.01),
                           "maxBins": (32, 64)},
+        "histogram_boosting": {"maxIter": (5, 20), "maxDepth": (3, 5), "stepSize": (0.1, 0.3), "regLambda": (1.0, 10.0)},
     },
     "clustering": {
         "kmeans": {"k": [2, 3, 4, 5, 6, 7, 8, 9, 10], "maxIter": (10, 100), "tol": (1e-6, 1e-2),
@@ -54,6 +56,7 @@ GRIDS = {
         "random_forest": {"numTrees": [5, 10], "maxDepth": [3, 5], "minInstancesPerNode": [1, 2]},
         "gradient_boosting": {"maxIter": [5, 10], "maxDepth": [3, 5], "stepSize": [0.1], "maxBins": [32, 64]},
         "decision_tree": {"maxDepth": [3, 5], "minInstancesPerNode": [1, 2]},
+        "histogram_boosting": {"maxIter": [5, 10, 20], "maxDepth": [3, 5], "stepSize": [0.1, 0.3]},
     },
     "clustering": {
         "kmeans": {"k": [2, 3, 4, 5, 6, 7, 8, 9, 10], "maxIter": [20, 50, 100], "initMode": ["k-means||", "random"]},
