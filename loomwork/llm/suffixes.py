@@ -105,92 +105,82 @@ def _unpacked(rows: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return suffix, back, window[suffix, back]
 
 
-def _shared(rows: pa.Table) -> pa.RecordBatch:
-    """Suffix rows of whole anchor groups -> the span of every suffix over its windows that another document holds too."""
+def _shared(rows: pa.Table, edge: bool) -> Iterator[pa.RecordBatch]:
+    """Suffix rows of whole anchor groups -> the span of every suffix over its windows that another document holds too.
+
+    Equal windows are neighbours once sorted. Of a group at an ``edge``, which other tasks may hold more of, the windows seen
+    come out too: one row for each that two documents here hold, and every place of the others.
+    """
     suffix, back, window = _unpacked(rows)
+    kind = rows.schema.field(3).type
     code, ids = pd.factorize(rows.column(3).to_pandas(), sort=True)
+    pos = rows.column(4).to_numpy()
     order = np.argsort(window, kind="stable")
     group = np.flatnonzero(np.diff(window[order], prepend=~window[order[:1]]))
     sizes = np.diff(group, append=len(order))
     v = code[suffix[order]]
-    lo, hi = (np.repeat(f.reduceat(v, group), sizes) if len(v) else v for f in (np.minimum, np.maximum))
+    lo, hi = (f.reduceat(v, group) if len(v) else v for f in (np.minimum, np.maximum))
+    if edge:
+        both, alone = np.flatnonzero(lo < hi), order[np.repeat(lo == hi, sizes)]
+        none = pa.nulls(len(both), pa.int64())
+        yield _found(ids[lo[both]], none, none, ids[hi[both]], window[order[group[both]]], kind)
+        start = pos[suffix[alone]] - back[alone]
+        yield _found(ids[code[suffix[alone]]], start, start + MIN_WORDS, None, window[alone], kind)
+    lo, hi = np.repeat(lo, sizes), np.repeat(hi, sizes)
     at = np.flatnonzero(lo < hi)
     suffix, back, other = suffix[order[at]], back[order[at]], np.where(lo[at] < v[at], lo[at], hi[at])
     order = np.argsort(suffix, kind="stable")
     suffix, back, other = suffix[order], back[order], other[order]
     first = np.flatnonzero(np.diff(suffix, prepend=-1))
-    pos = rows.column(4).to_numpy()[suffix[first]]
+    pos = pos[suffix[first]]
     # windows of one suffix all hold its anchor, so together they are one span
     start, stop, other = (f.reduceat(x, first) if len(first) else x for f, x in ((np.maximum, back), (np.minimum, back), (np.minimum, other)))
-    return _spans(pa.array(ids[code[suffix[first]]], rows.schema.field(3).type), pos - start, pos - stop + MIN_WORDS,
-                  pa.array(ids[other], rows.schema.field(3).type))
+    yield _found(ids[code[suffix[first]]], pos - start, pos - stop + MIN_WORDS, ids[other], None, kind)
 
 
-def _spans(v: pa.Array, start: np.ndarray, stop: np.ndarray, other: pa.Array) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.nulls(len(v), pa.int64()), pa.nulls(len(v), pa.binary()), pa.nulls(len(v), pa.binary()), v, pa.array(start),
-                                       pa.array(stop), other], names=_NAMES)
+def _found(v, start, stop, other, window, kind: pa.DataType) -> pa.RecordBatch:
+    n = len(v)
+    return pa.RecordBatch.from_arrays(
+        [pa.array(v, kind), pa.array(start, pa.int64()), pa.array(stop, pa.int64()), pa.nulls(n, kind) if other is None else pa.array(other, kind),
+         pa.nulls(n, pa.int64()) if window is None else pa.array(signed(window))], names=["v", "start", "stop", "other", "window"])
 
 
-_NAMES = ["anchor", "right", "left", "v", "pos", "stop", "other"]
+#: Suffixes of one anchor that are compared at once; a larger group is cut as if it went on in another task.
+GROUP_ROWS = 1 << 15
 
 
 def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Sorted suffix rows -> the spans of all anchor groups that lie inside the task.
-
-    Rows of the first and the last anchor of the task come out as they are, as other tasks may hold more of them.
-    """
-    edge, held = None, []
+    """Sorted suffix rows -> spans of all anchor groups, and the windows seen in the groups that go on elsewhere."""
+    edge, held, cut = None, [], False  # held: rows of the last anchor so far; cut: some of them came out already
     for batch in batches:
         if not len(batch):
             continue
         anchor = batch.column(0).to_numpy()
-        begins = int(np.searchsorted(anchor, anchor[-1]))
-        if edge is None:
-            edge = anchor[0]
-        inside = int(np.searchsorted(anchor, edge, "right"))
-        if inside:
-            yield _as_they_are(batch.slice(0, inside))
-        if anchor[-1] == edge:
-            continue
-        if not held or held[0].column(0)[0].as_py() != anchor[-1]:
-            whole = [*held, batch.slice(inside, begins - inside)]
-            whole = [x for x in whole if len(x)]
-            if whole:
-                yield _shared(pa.Table.from_batches(whole).combine_chunks())
-            held = []
-        held.append(batch.slice(max(begins, inside)))
-    for batch in held:
-        yield _as_they_are(batch)
-
-
-def _as_they_are(rows: pa.RecordBatch) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([*rows.columns[:5], pa.nulls(len(rows), pa.int64()), pa.nulls(len(rows), rows.column(3).type)], names=_NAMES)
-
-
-def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(anchor, right, left, context, lo, hi) -> (window, context, back, lo, hi) of every whole window."""
-    for batch in batches:
-        suffix, back, window = _unpacked(pa.Table.from_batches([batch]))
-        at = pa.array(suffix)
-        yield pa.RecordBatch.from_arrays([pa.array(signed(window)), batch.column(3).take(at), pa.array(back), batch.column(4).take(at), batch.column(5).take(at)],
-                                         names=["window", "context", "back", "lo", "hi"])
-
-
-def _across(edges: DataFrame, kind: str) -> DataFrame:
-    """(v, start, stop, other) from the rows of anchors that several tasks may hold.
-
-    Rows with the same words around the anchor are one context; only contexts are spread over their windows.
-    """
-    known = stage(edges.withColumn("context", F.xxhash64("anchor", "right", "left")), "edges")
-    contexts = known.groupBy("context").agg(*[F.first(c).alias(c) for c in ("anchor", "right", "left")], F.min("v").alias("lo"), F.max("v").alias("hi"))
-    windows = stage(contexts.select("anchor", "right", "left", "context", "lo", "hi").mapInArrow(
-        _windows, f"window bigint, context bigint, back bigint, lo {kind}, hi {kind}"), "windows")
-    held = windows.groupBy("window").agg(F.min("lo").alias("first"), F.max("hi").alias("last")).where("first <> last")
-    reach = windows.join(held, "window").groupBy("context").agg(
-        F.max("back").alias("most"), F.min("back").alias("least"), F.min("first").alias("first"), F.min("last").alias("last"))
-    return known.join(reach, "context").select(
-        "v", (F.col("pos") - F.col("most")).alias("start"), (F.col("pos") - F.col("least") + MIN_WORDS).alias("stop"),
-        F.when(F.col("first") < F.col("v"), F.col("first")).otherwise(F.col("last")).alias("other"))
+        edge = anchor[0] if edge is None else edge
+        if held and held[0].column(0)[0].as_py() == anchor[0]:
+            inside = int(np.searchsorted(anchor, anchor[0], "right"))
+            held, batch, anchor = [*held, batch.slice(0, inside)], batch.slice(inside), anchor[inside:]
+        if held and (len(anchor) or sum(map(len, held)) >= GROUP_ROWS):
+            last = held[0].column(0)[0].as_py()
+            cut = cut or not len(anchor)
+            yield from _shared(pa.Table.from_batches(held).combine_chunks(), cut or last == edge)
+            held, cut = [], not len(anchor)
+        if len(anchor):
+            first, begins = int(np.searchsorted(anchor, edge, "right")), int(np.searchsorted(anchor, anchor[-1]))
+            if min(first, begins):
+                yield from _shared(pa.Table.from_batches([batch.slice(0, min(first, begins))]).combine_chunks(), True)
+            if first < begins:
+                yield from _shared(pa.Table.from_batches([batch.slice(first, begins - first)]).combine_chunks(), False)
+            held = [batch.slice(begins)]
+    if held:
+        yield from _shared(pa.Table.from_batches(held).combine_chunks(), True)
+
+
+def _across(seen: DataFrame) -> DataFrame:
+    """(v, start, stop, other) of the windows that one document holds in a task and others hold elsewhere."""
+    held = seen.groupBy("window").agg(F.min("v").alias("first"), F.max(F.coalesce("other", "v")).alias("last"), F.max(F.col("start").isNotNull()).alias("alone"))
+    found = seen.where("start is not null").join(held.where("alone and first <> last"), "window")
+    return found.select("v", "start", "stop", F.when(F.col("first") < F.col("v"), F.col("first")).otherwise(F.col("last")).alias("other"))
 
 
 def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -201,10 +191,10 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     from the texts and the suffixes are sorted over all tasks by anchor. Every window of ``MIN_WORDS`` words lies around
     an anchor with the same words in all its holders, so in each group of equal anchors the windows are counted, and those
     of two documents or more give a span to each holder: a passage is found whatever other texts hold parts of it.
-    Overlapping spans of a document are one passage; ``other_id`` is the lowest of the first holders of its windows, or
-    of the last ones where the document is the first itself. An anchor that thousands of documents share spreads over as
-    many tasks as its rows fill, as ids are part of the order; groups at the ends of a task are counted by window over
-    all tasks.
+    Overlapping spans of a document are one passage; ``other_id`` is another holder of one of its windows. An anchor that
+    thousands of documents share spreads over as many tasks as its rows fill, as ids are part of the order, and a task
+    compares at most ``GROUP_ROWS`` of them at once; windows that such a part holds for one document only are looked up
+    among those that all parts have seen.
 
     Null and short texts and rows with a null id have no passages; repetitions inside one document only are not
     reported; rows that repeat an id are one document; other columns are not looked at; an empty table gives an empty
@@ -216,16 +206,15 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         texts = docs.where(F.col(id_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).alias("v"), F.col(text_col).alias("t"))
         rows = stage(texts.mapInArrow(_anchors, f"v {kind}, pos bigint, anchor bigint"), "anchors")
         twice = rows.groupBy("anchor").agg(F.min("v").alias("lo"), F.max("v").alias("hi")).where("lo <> hi").select("anchor")
-        left = rows.join(twice, "anchor").groupBy("v").agg(F.sort_array(F.collect_set("pos")).alias("positions"))
+        # written first, so that both sides of the join are plain shuffles and a hot anchor can be split
+        left = rows.join(stage(twice, "twice"), "anchor").groupBy("v").agg(F.sort_array(F.collect_set("pos")).alias("positions"))
         suffixes = texts.join(left, "v").select("v", "t", "positions").mapInArrow(_contexts, _ROW.format(kind=kind))
         order = ["anchor", "v", "pos"]
         width = int(spark.conf.get("spark.sql.shuffle.partitions"))
-        schema = f"{_ROW.format(kind=kind)}, stop bigint, other {kind}"
         ranged = suffixes.repartitionByRange(width, *order).sortWithinPartitions(*order)
-        compared = stage(ranged.mapInArrow(_compare, schema), "compared")
-        edges = compared.where("anchor is not null").select("anchor", "right", "left", "v", "pos")
-        inside = compared.where("anchor is null").select("v", F.col("pos").alias("start"), "stop", "other")
-        spans = inside.unionByName(_across(edges, kind)).distinct()
+        compared = stage(ranged.mapInArrow(_compare, f"v {kind}, start bigint, stop bigint, other {kind}, window bigint"), "compared")
+        inside = compared.where("window is null").select("v", "start", "stop", "other")
+        spans = inside.unionByName(_across(compared.where("window is not null"))).distinct()
         before = Window.partitionBy("v").orderBy("start", "stop", "other").rowsBetween(Window.unboundedPreceding, -1)
         here = Window.partitionBy("v").orderBy("start", "stop", "other")
         spans = spans.withColumn("fresh", F.coalesce((F.col("start") > F.max("stop").over(before)).cast("int"), F.lit(0)))

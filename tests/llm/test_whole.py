@@ -2,8 +2,11 @@
 
 import random
 
+import pytest
+
 from pyspark.sql import functions as F
 
+from loomwork.llm import suffixes
 from loomwork.llm.suffixes import repeated_spans
 from loomwork.llm.toxicity import fit_toxicity, toxicity
 
@@ -45,3 +48,22 @@ def test_truncated_holders_hide_no_passage(spark):
     rows, wanted = passages_between(3)
     found = repeated_spans(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert {r["doc_id"]: (r["first_word"], r["n_words"], r["other_id"]) for r in found} == wanted
+
+
+@pytest.mark.parametrize("most", [1 << 15, 40])
+def test_groups_over_many_tasks(spark, monkeypatch, most):
+    """A passage of a third of all rows, cut into parts; some rows share a longer passage with one other row far away."""
+    monkeypatch.setattr(suffixes, "GROUP_ROWS", most)
+    rng = random.Random(6)
+    new = lambda n: [f"{rng.choice('abcdefgh')}{rng.randint(0, 10**9)}" for _ in range(n)]
+    hot, rows = new(60), []
+    long = {k: new(20) for k in range(5)}
+    for i in range(300):
+        tail = long[i % 50] if i % 50 < 5 and i in range(50) or i >= 250 and i % 50 < 5 else new(20)
+        rows.append((i, " ".join(new(30) + hot + tail + new(30))))
+    rows += [(1000 + i, " ".join(new(100))) for i in range(300)]
+    for width in ("8", "31"):
+        spark.conf.set("spark.sql.shuffle.partitions", width)
+        found = {r["doc_id"]: (r["first_word"], r["n_words"]) for r in repeated_spans(spark.createDataFrame(rows, "doc_id long, text string").repartition(5)).collect()}
+        assert found == {i: (30, 80 if i % 50 < 5 and (i < 50 or i >= 250) else 60) for i in range(300)}
+    spark.conf.set("spark.sql.shuffle.partitions", "8")
