@@ -4,8 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from loomwork.llm.quality_rules import (BASE_FAILED, FEATURES, ITERATIONS, MIN_POSTERIOR, PRIOR_GOOD, PRIOR_WEIGHT, RULES, judged,
-                                        start_accuracy)
+from loomwork.llm.quality_rules import BASE_FAILED, FEATURES, ITERATIONS, MIN_POSTERIOR, PRIOR_GOOD, PRIOR_WEIGHT, RULES, START, judged
 from loomwork.llm.registry import SQL_BLANK_WORD, query, table
 
 
@@ -27,22 +26,24 @@ features AS (SELECT doc_id, len(w) AS n_words, length(array_to_string(w, '')) AS
 def judged_sql(source: str) -> str:
     """Common table expressions that end in ``judged``: features, votes, posterior and verdict by doc_id."""
     n = range(len(RULES))
+    w = PRIOR_WEIGHT
     cast = ", ".join(f"CASE WHEN {r.bad} THEN -1 WHEN {r.good} THEN 1 ELSE 0 END AS v{i}" for i, r in enumerate(RULES))
-    odds = "ln(good) - ln(1 - good)" + "".join(f" + v{i} * (ln(a{i}) - ln(1 - a{i}))" for i in n)
-    start = ", ".join(f"{start_accuracy(r)}::DOUBLE AS a{i}" for i, r in enumerate(RULES))
+    rates = ("bg", "gg", "bb", "gb")  # bad and good votes on good documents, then on bad ones
+    odds = "ln(good) - ln(1 - good)" + "".join(
+        f" + CASE v{i} WHEN -1 THEN least(0, ln(bg{i}) - ln(bb{i})) WHEN 1 THEN greatest(0, ln(gg{i}) - ln(gb{i})) "
+        f"ELSE ln(1 - bg{i} - gg{i}) - ln(1 - bb{i} - gb{i}) END" for i in n)
+    start = ", ".join(f"{x}::DOUBLE AS {r}{i}" for i in n for r, x in zip(rates, START))
     step = ", ".join(
-        f"least(greatest((sum(CASE v{i} WHEN 1 THEN pg WHEN -1 THEN n - pg ELSE 0 END) + {start_accuracy(r) * PRIOR_WEIGHT}::DOUBLE) / "
-        f"(sum(CASE WHEN v{i} <> 0 THEN n ELSE 0 END) + {PRIOR_WEIGHT}::DOUBLE), {r.bounds[0]}::DOUBLE), {r.bounds[1]}::DOUBLE)"
-        for i, r in enumerate(RULES))
+        f"(sum(CASE WHEN v{i} = {vote} THEN {share} ELSE 0 END) + {x * w}::DOUBLE) / (sum({share}) + {w}::DOUBLE)"
+        for i in n for x, vote, share in zip(START, (-1, 1, -1, 1), ("pg", "pg", "n - pg", "n - pg")))
     keys = ", ".join(f"v{i}" for i in n)
     return f"""{features_sql(source)},
-cast_votes AS (SELECT *, {cast} FROM features),
-patterns AS (SELECT {keys}, count(*) AS n FROM cast_votes GROUP BY ALL),
+cast_votes AS (SELECT *, {cast}, ({BASE_FAILED}) AS base_failed FROM features),
+patterns AS (SELECT {keys}, count(*) AS n FROM cast_votes WHERE NOT base_failed GROUP BY ALL),
 em AS (SELECT 0 AS it, {PRIOR_GOOD}::DOUBLE AS good, {start} UNION ALL
-       SELECT it + 1, (sum(pg) + {PRIOR_GOOD * PRIOR_WEIGHT}::DOUBLE) / (sum(n) + {PRIOR_WEIGHT}::DOUBLE), {step}
+       SELECT it + 1, (sum(pg) + {PRIOR_GOOD * w}::DOUBLE) / (sum(n) + {w}::DOUBLE), {step}
        FROM (SELECT *, n / (1 + exp(-({odds}))) AS pg FROM em, patterns WHERE it < {ITERATIONS}) GROUP BY it),
-judged AS (SELECT *, ({BASE_FAILED}) AS base_failed, 1 / (1 + exp(-({odds}))) AS posterior
-           FROM cast_votes, (SELECT * FROM em WHERE it = {ITERATIONS}))"""
+judged AS (SELECT *, 1 / (1 + exp(-({odds}))) AS posterior FROM cast_votes, (SELECT * FROM em WHERE it = {ITERATIONS}))"""
 
 
 _COLUMNS = ", ".join(FEATURES[:5])

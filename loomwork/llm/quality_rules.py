@@ -1,6 +1,6 @@
 """Weakly supervised document quality: rules vote or abstain, expectation maximisation weighs them.
 
-Everything here is built-in DataFrame functions; the only thing that reaches the driver is a row of sums.
+Everything here is built-in DataFrame functions; the only thing that reaches the driver is a few sums a rule.
 """
 
 from __future__ import annotations
@@ -16,37 +16,35 @@ from loomwork.session import keep, stage, staging
 
 @dataclass(frozen=True)
 class Rule:
-    """Votes bad or good where the condition (SQL over the feature columns) holds, abstains elsewhere; bad goes first.
-
-    ``bounds`` hold the estimated accuracy. A defect that only one rule sees says nothing about that rule's accuracy, so
-    a rule that is written for precision states its least accuracy, and weak evidence states its largest.
-    """
+    """Votes bad or good where the condition (SQL over the feature columns) holds, abstains elsewhere; bad goes first."""
 
     name: str
     bad: str
-    good: str = "false"
-    bounds: tuple[float, float] = (0.99, 0.999)
+    good: str
 
 
-WEAK = (0.5, 0.7)
-#: Conditions use integers only, so they mean the same in any SQL engine. Features: see ``with_features``.
+#: Conditions use integers only, so they mean the same in any SQL engine. Features: see ``with_features``. Rules look at
+#: overlapping evidence (symbols by words and by characters, repeats by words, lines and vocabulary), so that a rule's
+#: errors show where the others disagree with it.
 RULES = (
-    Rule("symbols", "100 * n_symbols > 10 * n_words"),
-    Rule("repeats", "100 * n_repeat_words > 15 * n_words"),
-    Rule("lines", "10 * n_dup_lines > 3 * n_lines"),
-    Rule("word_length", "word_chars > 12 * n_words or word_chars < 2 * n_words"),
-    Rule("capitals", "100 * n_capitals > 40 * word_chars"),
-    Rule("vocabulary", "n_words >= 20 and 100 * n_distinct_words < 25 * n_words"),
-    Rule("case", "400 * n_capitals < word_chars", "200 * n_capitals between word_chars and 20 * word_chars", WEAK),
-    Rule("length", "n_words < 20", "n_words >= 50", WEAK),
+    Rule("symbols", "100 * n_symbols > 10 * n_words", "100 * n_symbols <= 2 * n_words"),
+    Rule("symbol_chars", "100 * n_symbols > 4 * word_chars", "100 * n_symbols <= word_chars"),
+    Rule("repeats", "100 * n_repeat_words > 15 * n_words", "100 * n_repeat_words <= 5 * n_words"),
+    Rule("lines", "10 * n_dup_lines > 3 * n_lines", "n_dup_lines = 0 and n_lines >= 2"),
+    Rule("vocabulary", "n_words >= 20 and 100 * n_distinct_words < 30 * n_words", "100 * n_distinct_words >= 50 * n_words"),
+    Rule("word_length", "word_chars > 9 * n_words or word_chars < 2 * n_words", "word_chars between 3 * n_words and 8 * n_words"),
+    Rule("capitals", "100 * n_capitals > 30 * word_chars", "100 * n_capitals <= 15 * word_chars"),
+    Rule("case", "400 * n_capitals < word_chars", "200 * n_capitals between word_chars and 20 * word_chars"),
+    Rule("length", "n_words < 20", "n_words >= 50"),
 )
-#: A document below these fails whatever the rules say.
+#: A document below these fails whatever the rules say; the others are what the rules are weighed on.
 BASE_FAILED = "n_words < 10 or 100 * n_repeat_words > 20 * n_words"
 MIN_POSTERIOR = 0.5
 ITERATIONS = 20
-#: Where the share of good documents starts, and as how many documents the start keeps counting. Accuracies start in
-#: the middle of their bounds.
+#: Where the share of good documents starts, and as how many documents of each kind the start keeps counting.
 PRIOR_GOOD, PRIOR_WEIGHT = 0.9, 10.0
+#: How often a rule votes bad and good, on good and on bad documents, at the start.
+START = (0.01, 0.9, 0.4, 0.5)
 
 FEATURES = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_capitals", "n_distinct_words"]
 _WINDOW = 5
@@ -113,43 +111,55 @@ def votes(rules: tuple[Rule, ...] = RULES) -> list[Column]:
     return [F.expr(f"CASE WHEN {r.bad} THEN -1 WHEN {r.good} THEN 1 ELSE 0 END").alias(f"vote_{r.name}") for r in rules]
 
 
-def start_accuracy(rule: Rule) -> float:
-    return sum(rule.bounds) / 2
-
-
 @dataclass
 class VoteModel:
-    """Share of good documents, and how often each rule is right when it votes."""
+    """Share of good documents, and for each rule how often it votes (bad, good) on good and (bad, good) on bad documents."""
 
     good: float
-    accuracy: list[float]
+    rates: list[tuple[float, float, float, float]]
+
+    def weights(self) -> list[tuple[float, float, float]]:
+        """What a bad vote, an abstention and a good vote of each rule add to the log odds; no vote speaks against what it says."""
+        return [(min(0.0, math.log(bg) - math.log(bb)), math.log(1 - bg - gg) - math.log(1 - bb - gb), max(0.0, math.log(gg) - math.log(gb)))
+                for bg, gg, bb, gb in self.rates]
+
+    def accuracy(self) -> list[tuple[float, float]]:
+        """Share of right votes among those cast, on good and on bad documents."""
+        return [(gg / (bg + gg), bb / (bb + gb)) for bg, gg, bb, gb in self.rates]
 
     def log_odds(self, names: list[str]) -> Column:
-        """Logarithm of good to bad, from the votes cast; rules are taken as independent."""
-        total = F.lit(math.log(self.good) - math.log1p(-self.good))
-        for name, a in zip(names, self.accuracy):
-            total = total + F.col(name) * (math.log(a) - math.log1p(-a))
+        """Logarithm of good to bad; rules are taken as independent within each kind of document.
+
+        The weights are one array, which is data to the generated code: it is compiled once for all steps.
+        """
+        flat = [w for three in self.weights() for w in three] + [math.log(self.good) - math.log(1 - self.good)]
+        table = F.array(*[F.lit(w) for w in flat])
+        total = F.get(table, F.lit(len(flat) - 1))
+        for i, name in enumerate(names):
+            total = total + F.get(table, F.col(name) + F.lit(3 * i + 1))
         return total
 
     def posterior(self, names: list[str]) -> Column:
         return F.lit(1.0) / (F.lit(1.0) + F.exp(-self.log_odds(names)))
 
 
-def fit_votes(patterns: DataFrame, names: list[str], rules: tuple[Rule, ...] = RULES, iterations: int = ITERATIONS) -> VoteModel:
+def fit_votes(patterns: DataFrame, names: list[str], iterations: int = ITERATIONS) -> VoteModel:
     """Expectation maximisation over vote patterns (``names`` and ``n``, the documents with that pattern).
 
     There are at most 3 to the number of rules patterns whatever the number of documents; a step sums over them and
-    brings one row to the driver. The start counts as ``PRIOR_WEIGHT`` documents; without documents it is the result.
+    brings three rows a rule to the driver. The start counts as ``PRIOR_WEIGHT`` documents; without documents it is the result.
     """
-    model = VoteModel(PRIOR_GOOD, [start_accuracy(r) for r in rules])
+    model = VoteModel(PRIOR_GOOD, [START] * len(names))
     for _ in range(iterations):
-        p = model.posterior(names)
-        right = [F.sum(F.when(F.col(c) == 1, F.col("_g")).when(F.col(c) == -1, F.col("n") - F.col("_g")).otherwise(0.0)) for c in names]
-        cast = [F.sum(F.when(F.col(c) != 0, F.col("n")).otherwise(0)) for c in names]
-        good, n, *each = [x or 0.0 for x in patterns.withColumn("_g", p * F.col("n")).agg(F.sum("_g"), F.sum("n"), *right, *cast).first()]
-        model = VoteModel((good + PRIOR_GOOD * PRIOR_WEIGHT) / (n + PRIOR_WEIGHT), [
-            min(max((a + start_accuracy(r) * PRIOR_WEIGHT) / (v + PRIOR_WEIGHT), r.bounds[0]), r.bounds[1])
-            for r, a, v in zip(rules, each[:len(names)], each[len(names):])])
+        cast = patterns.select((model.posterior(names) * F.col("n")).alias("_g"), "n", F.posexplode(F.array(*names)).alias("rule", "vote"))
+        sums = {(r["rule"], r["vote"]): (r["g"], r["n"]) for r in cast.groupBy("rule", "vote").agg(F.sum("_g").alias("g"), F.sum("n").alias("n")).collect()}
+        seen = [[sums.get((i, v), (0.0, 0)) for v in (-1, 0, 1)] for i in range(len(names))]  # three votes a rule
+        good, n = (float(sum(x[k] for x in seen[0])) for k in (0, 1))
+        rates = []
+        for bad_vote, _, good_vote in seen:
+            each = (bad_vote[0], good_vote[0], bad_vote[1] - bad_vote[0], good_vote[1] - good_vote[0])
+            rates.append(tuple((x + s * PRIOR_WEIGHT) / (w + PRIOR_WEIGHT) for x, s, w in zip(each, START, (good, good, n - good, n - good))))
+        model = VoteModel((good + PRIOR_GOOD * PRIOR_WEIGHT) / (n + PRIOR_WEIGHT), rates)
     return model
 
 
@@ -158,18 +168,23 @@ def judged(docs: DataFrame, text_col: str = "text", columns: list[str] | None =
     """``docs`` (all columns, or those named) with features, votes, ``base_failed``, ``posterior`` and ``kept``.
 
     Texts are read once: features and the wanted columns are written, the rules vote on the features, expectation
-    maximisation over all documents gives the accuracies, and a document is kept when it passes the base conditions
-    and its posterior probability of being good is at least ``MIN_POSTERIOR``. Nulls in other columns do not matter;
-    a null or empty text has no words and fails; repeated rows are judged alike; an empty table gives an empty
-    result. Columns of ``docs`` that clash with result names are replaced.
+    maximisation over all documents that pass the base conditions estimates how often each rule is right, and a document
+    is kept when it passes them and its posterior probability of being good is at least ``MIN_POSTERIOR``; no single vote
+    decides. Nulls in other columns do not matter; a null or empty text has no words and fails; a text is read whole
+    however long, and its words are held in memory at once; ties of votes are settled by their weights; repeated rows are
+    judged alike; an empty table gives an empty result. Columns of ``docs`` that clash with result names are replaced;
+    any other name may be used.
     """
     names = [f"vote_{r.name}" for r in rules]
     made = {*FEATURES, *names, "base_failed", "posterior", "kept"}
     wanted = [c for c in (docs.columns if columns is None else columns) if c not in made]
+    given = [f"_c{i}" for i in range(len(wanted))]
     with staging(docs.sparkSession):
-        slim = docs.select(*[F.col(f"`{c}`") for c in wanted], F.col(f"`{text_col}`").alias("_text"))
+        slim = docs.select(*[F.col(f"`{c}`").alias(g) for c, g in zip(wanted, given)], F.col(f"`{text_col}`").alias("_text"))
         seen = keep(stage(with_features(slim, "_text").drop("_text"), "features"))
-        patterns = stage(seen.select(*votes(rules)).groupBy(*names).agg(F.count(F.lit(1)).alias("n")), "patterns")
-        model = fit_votes(patterns, names, rules, iterations)
+        patterns = stage(seen.where(f"not ({BASE_FAILED})").select(*votes(rules)).groupBy(*names).agg(F.count(F.lit(1)).alias("n")), "patterns")
+        model = fit_votes(patterns, names, iterations)
     scored = seen.select("*", *votes(rules)).withColumns({"base_failed": F.expr(BASE_FAILED), "posterior": model.posterior(names)})
-    return scored.withColumn("kept", ~F.col("base_failed") & (F.col("posterior") >= MIN_POSTERIOR))
+    scored = scored.withColumn("kept", ~F.col("base_failed") & (F.col("posterior") >= MIN_POSTERIOR))
+    results = [c for c in scored.columns if c not in given]
+    return scored.select(*given, *results).toDF(*wanted, *results)

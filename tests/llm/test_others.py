@@ -88,9 +88,54 @@ def test_rules(spark):
 
 def test_posterior_is_what_the_votes_say(spark):
     names = [f"vote_{r.name}" for r in quality_rules.RULES]
-    model = quality_rules.VoteModel(0.8, [0.9] * len(names))
+    model = quality_rules.VoteModel(0.8, [(0.1, 0.6, 0.5, 0.2)] * len(names))
     row = spark.createDataFrame([[-1, 1] + [0] * (len(names) - 2)], names).select(model.posterior(names).alias("p")).first()
-    assert row["p"] == pytest.approx(0.8)
+    good, bad = 0.8 * 0.1 * 0.6 * 0.3 ** 7, 0.2 * 0.5 * 0.2 * 0.3 ** 7
+    assert row["p"] == pytest.approx(good / (good + bad))
+    assert model.accuracy()[0] == pytest.approx((6 / 7, 5 / 7))
+
+
+def test_expectation_maximisation_finds_the_accuracies(spark):
+    """Votes drawn from known rates: rates, share and kinds are found again although no document says what it is."""
+    rng = random.Random(3)
+    rates = [(0.02, 0.9, 0.6, 0.2), (0.05, 0.7, 0.8, 0.1), (0.1, 0.5, 0.4, 0.3), (0.02, 0.6, 0.7, 0.2), (0.04, 0.8, 0.5, 0.4)]
+    names, counts = [f"v{i}" for i in range(5)], {}
+    for _ in range(20_000):
+        good = rng.random() < 0.7
+        pattern = tuple(rng.choices((-1, 1, 0), (b, g, 1 - b - g))[0] for b, g in ((r[:2] if good else r[2:]) for r in rates))
+        counts[pattern] = counts.get(pattern, 0) + 1
+    model = quality_rules.fit_votes(spark.createDataFrame([(*p, n) for p, n in counts.items()], [*names, "n"]), names, 60)
+    assert model.good == pytest.approx(0.7, abs=0.02)
+    assert np.allclose(model.rates, rates, atol=0.04)
+
+
+def test_the_posterior_decides_not_one_vote(spark):
+    """Kept differs from all-must-pass in both directions: a bad vote is outvoted, and bad evidence below no single threshold adds up."""
+    rng = random.Random(4)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(rng.randint(3, 7)))
+    line = lambda n: "The " + " ".join(word() for _ in range(n)) + "."
+    good = ["\n".join(line(20) for _ in range(6)) for _ in range(200)]
+    junk = [" ".join(word() + "###" for _ in range(80)) for _ in range(20)]
+    again = line(9)
+    one_bad = ["\n".join([line(40), line(40), again, again])]  # a third of the lines are copies, all else is well
+    rows = [(i, t) for i, t in enumerate(good + junk + one_bad)]
+    got = {r["doc_id"]: r for r in judged(spark.createDataFrame(rows, "doc_id long, text string"), columns=["doc_id"]).collect()}
+    votes = {i: [r[f"vote_{x.name}"] for x in quality_rules.RULES] for i, r in got.items()}
+    assert all(got[i]["kept"] for i in range(200)) and not any(got[200 + i]["kept"] for i in range(20))
+    assert -1 in votes[220] and got[220]["kept"] and not got[220]["base_failed"]
+    # abstentions weigh too: with no bad vote at all, a document that few rules vouch for may go
+    model = quality_rules.VoteModel(0.6, [(0.01, 0.95, 0.3, 0.2)] * 9)
+    names = [f"v{i}" for i in range(9)]
+    row = spark.createDataFrame([[0] * 9], names).select(model.posterior(names).alias("p")).first()
+    assert row["p"] < 0.5
+
+
+def test_rules_keep_foreign_columns(spark):
+    df = spark.createDataFrame([(1, "a b", "x", [1], "y", "z")], "doc_id long, text string, _text string, _words array<int>, _lines string, _packed string")
+    row = judged(df).first()
+    assert (row["doc_id"], row["text"], row["_text"], row["_words"], row["_lines"], row["_packed"]) == (1, "a b", "x", [1], "y", "z")
+    long = spark.createDataFrame([(1, "word " * 400_000)], "doc_id long, text string")
+    assert [(r["n_words"], r["base_failed"]) for r in judged(long, columns=["doc_id"]).collect()] == [(400_000, True)]
 
 
 def test_shards(spark):
