@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from loomwork.llm.words import PLAIN_WORDS, blocks, int_lists, signed, words
-from loomwork.session import keep, stage, staging
+from loomwork.session import keep, stage, staging, unstage
 
 WINDOW_WORDS = 10
 #: Shingles that are ordered by rarity; a window of fewer words is ordered by its words.
@@ -209,8 +209,9 @@ def contamination(docs: DataFrame, items: DataFrame, text_col: str = "text", ite
     if it holds that token; length and position must leave room for the window inside the text, and the window's
     words are then compared one by one. ``item_ids`` lists the items with an occurring window as sorted strings.
 
-    The items' windows are taken in blocks of ``WINDOWS_PER_PASS``; a block is what travels to the tasks, so a
-    benchmark of any size needs bounded memory, and texts are never shuffled. Null texts have no words. Items that
+    The items' windows are taken in blocks of ``WINDOWS_PER_PASS``; a block is what travels to the tasks. After each
+    block but the last the rows are written, so a task holds one block however large the benchmark is, and texts are
+    never shuffled. Texts are read whole, about 1 MB at a time; a longer one alone. Null texts have no words. Items that
     are repeated, or share windows, are all reported; items with a null id are compared and counted as hits but
     not listed. Without ``list_items`` that column is left out, and rows pass without a shuffle. Empty documents or an empty benchmark give no hits. Columns of ``docs`` that clash with the result
     names are replaced.
@@ -231,10 +232,15 @@ def contamination(docs: DataFrame, items: DataFrame, text_col: str = "text", ite
     source = {c: "_text" if c == text_col else f"_c{i}" for i, c in enumerate(kept)}
     spans = docs.select(F.col(text_col).alias("_text"), F.lit(0).cast("bigint").alias("_n"), *[F.lit(None).cast("array<bigint>").alias(c) for c in ("_from", "_to", "_w")],
                         *[F.col(f"`{c}`").alias(s) for c, s in source.items() if s != "_text"])
-    passes = list(_blocks(chosen))
-    for i, block in enumerate(passes):
-        with_text = text_col in kept or i + 1 < len(passes)
+    written = None
+    for block, last in _blocks(chosen):
+        with_text = text_col in kept or not last
         spans = spans.mapInArrow(_match(block, with_text), T.StructType(spans.schema.fields[not with_text:]))
+        if not last:
+            # written, so that a task holds one block at a time
+            spans, before = stage(spans, "pass"), written
+            unstage(before)
+            written = spans
     counted = _counted(spans, source)
     return _named(counted, names) if list_items else counted.drop("_w")
 
@@ -246,19 +252,19 @@ def _frequencies(texts: DataFrame, tokens: DataFrame) -> DataFrame:
     total, passes = distinct.count(), None
     n = max(1, -(-total // (4 * WINDOWS_PER_PASS)))
     for i in range(n):
-        part = distinct.where(F.pmod("token", F.lit(n)) == i).toPandas()["token"].to_numpy(np.int64)
+        part = np.array([r[0] for r in distinct.where(F.pmod("token", F.lit(n)) == i).collect()], np.int64)
         counted = texts.mapInArrow(_count_tokens(spark.sparkContext.broadcast(part.view(np.uint64))), "token bigint, n bigint")
         passes = counted if passes is None else passes.unionByName(counted)
     return passes.groupBy("token").agg(F.sum("n").alias("n"))
 
 
 def _blocks(chosen: DataFrame):
-    """Broadcasts of at most about ``WINDOWS_PER_PASS`` chosen windows each."""
+    """Broadcasts of at most about ``WINDOWS_PER_PASS`` chosen windows each, one after the other, and whether it is the last."""
     spark = chosen.sparkSession
     n = max(1, -(-chosen.count() // WINDOWS_PER_PASS))
     for i in range(n):
         rows = chosen.where(F.pmod("w", F.lit(n)) == i).select("w", "window", "token", "offset").collect()
-        yield spark.sparkContext.broadcast([(r[0], bytes(r[1]), r[2], r[3]) for r in rows])
+        yield spark.sparkContext.broadcast([(r[0], bytes(r[1]), r[2], r[3]) for r in rows]), i + 1 == n
 
 
 def _counted(spans: DataFrame, source: dict[str, str]) -> DataFrame:

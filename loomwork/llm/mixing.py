@@ -5,7 +5,7 @@ Built-in DataFrame functions only; cells and category factors stay in tables.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loomwork.session import broadcast_if_small, keep, stage, staging
@@ -14,7 +14,6 @@ DIMENSIONS = ("source", "lang", "topic")
 #: Target share of a category: its tokens to this power, made to add up to 1. 1 keeps the corpus as it is.
 TEMPER = 0.9
 ROUNDS = 12
-ROUNDS_PER_STEP = 4
 #: Topics by rules on the text (SQL over ``text``), the first that holds; the rest is ``DEFAULT_TOPIC``.
 TOPICS = (
     ("legal", "contains(text, 'icense') or contains(text, 'opyright')"),
@@ -39,7 +38,7 @@ def tokens(text: Column) -> Column:
 def tempered(cells: DataFrame, dimension: str, power: float = TEMPER) -> DataFrame:
     """(category, target): target shares from the corpus itself, flattened by ``power``."""
     sizes = cells.groupBy(F.col(dimension).alias("category")).agg(F.pow(F.sum("tokens").cast("double"), F.lit(power)).alias("p"))
-    return sizes.crossJoin(F.broadcast(sizes.agg(F.sum("p").alias("all")))).select("category", (F.col("p") / F.col("all")).alias("target"))
+    return sizes.select("category", (F.col("p") / sizes.agg(F.sum("p")).scalar()).alias("target"))
 
 
 def raked(cells: DataFrame, targets: dict[str, DataFrame], rounds: int = ROUNDS) -> DataFrame:
@@ -47,23 +46,22 @@ def raked(cells: DataFrame, targets: dict[str, DataFrame], rounds: int = ROUNDS)
 
     A round scales each dimension in turn: every category by its target share of all tokens over its weighted tokens.
     Categories without a target get weight 0, targets without tokens are left out and the rest is scaled up. Cells are
-    sums already, one row per combination however many documents it has; a few rounds make a plan, then it is written.
+    sums already, one row per combination however many documents it has. A margin is summed in the tasks before it is
+    shuffled, so no task gathers the cells of a category, and every round is written.
     """
-    all_tokens = F.broadcast(cells.agg(F.sum("tokens").cast("double").alias("_all")))
+    all_tokens = cells.agg(F.sum("tokens").cast("double")).scalar()
     current = cells.withColumn("weight", F.lit(1.0))
     for d, table in targets.items():
         have = table.join(cells.select(F.col(d).alias("category")).distinct(), "category", "left_semi")
-        goal = have.crossJoin(F.broadcast(have.agg(F.sum("target").alias("_sum")))).crossJoin(all_tokens).select(
-            F.col("category").alias(d), (F.col("target") / F.col("_sum") * F.col("_all")).alias(f"_goal_{d}"))
+        goal = have.select(F.col("category").alias(d), (F.col("target") / have.agg(F.sum("target")).scalar() * all_tokens).alias(f"_goal_{d}"))
         current = current.join(goal, d, "left")
     current = stage(current, "raked")
-    for done in range(1, rounds + 1):
+    for _ in range(rounds):
         for d in targets:
-            margin = F.sum(F.col("weight") * F.col("tokens")).over(Window.partitionBy(d))
+            margin = current.groupBy(d).agg(F.sum(F.col("weight") * F.col("tokens")).alias("_margin"))
             factor = F.when(F.col("_margin") > 0, F.coalesce(f"_goal_{d}", F.lit(0.0)) / F.col("_margin")).otherwise(0.0)
-            current = current.withColumn("_margin", margin).withColumn("weight", F.col("weight") * factor).drop("_margin")
-        if done % ROUNDS_PER_STEP == 0 and done < rounds:
-            current = stage(current, "raked")
+            current = current.join(margin, d).withColumn("weight", F.col("weight") * factor).drop("_margin")
+        current = stage(current, "raked")
     return current.select(*cells.columns, "weight")
 
 
@@ -90,9 +88,8 @@ def mixed(docs: DataFrame, key_col: str = "doc_id", text_col: str = "text", targ
         if targets is None:
             targets = {d: tempered(cells, d) for d in DIMENSIONS}
         weights = raked(cells, targets, rounds)
-        largest = weights.agg(F.max("weight").alias("_largest"))
-        weights = weights.crossJoin(F.broadcast(largest)).select(
-            *DIMENSIONS, "weight", F.when(F.col("_largest") > 0, F.col("weight") / F.col("_largest")).otherwise(0.0).alias("probability"))
+        largest = weights.agg(F.max("weight")).scalar()
+        weights = weights.select(*DIMENSIONS, "weight", F.when(largest > 0, F.col("weight") / largest).otherwise(0.0).alias("probability"))
         weights = keep(stage(weights, "weights"))
     return cell.join(broadcast_if_small(weights, 20_000), list(DIMENSIONS)).select(
         *[F.col(f"_c{i}").alias(c) for i, c in enumerate(wanted)], "topic", "tokens", "weight", "probability",

@@ -116,7 +116,7 @@ def indicators(rows: DataFrame) -> pd.DataFrame:
     counts = rows.select("text", "label").mapInArrow(_counted, "piece bigint, level tinyint, n bigint, t bigint").groupBy("piece", "level").agg(
         F.sum("n").alias("n"), F.sum("t").alias("t"))
     chosen = counts.where(F.col("n") * (part(p, b) + part(1 - p, 1 - b)) >= MIN_EVIDENCE).select("piece", "level", (p > b).alias("toxic_side"))
-    return chosen.toPandas()
+    return pd.DataFrame(chosen.collect(), columns=chosen.columns).astype({"piece": np.int64, "level": np.int8, "toxic_side": bool})
 
 
 def _features(known: np.ndarray, strong: np.ndarray):
