@@ -19,29 +19,50 @@ DOCUMENTS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that pass the base conditions and that the weighed rules hold for good."""
+    """Documents that pass the base conditions and that the weighed rules hold for good.
+
+    Null and empty texts go. Texts are judged whole; equal texts fare alike; nulls elsewhere and an empty table do not matter.
+    """
     return judged(docs).where("kept").select(*docs.columns)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates, the one with the lowest id; documents without an id stay."""
+    """One document of each group of near duplicates, the one with the lowest id.
+
+    Rows that repeat an id are one document: of those with the same text one stays. Rows without an id are linked with
+    nothing and stay. Texts without words stay, texts are compared whole, an empty table gives an empty one.
+    """
     surplus = near_duplicates(docs).where("doc_id <> component_id").select("doc_id").distinct()
-    return docs.join(surplus, "doc_id", "left_anti").select(*docs.columns)
+    kept = docs.join(surplus, "doc_id", "left_anti").select(*docs.columns)
+    again = stage(docs.groupBy("doc_id").count().where("count > 1 and doc_id is not null").select("doc_id"), "repeated")
+    once = kept.join(again, "doc_id", "left_anti").select(*docs.columns)
+    return once.unionByName(kept.join(again, "doc_id", "left_semi").select(*docs.columns).dropDuplicates(["doc_id", "text"]))
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a window of a benchmark item."""
+    """Documents without a window of a benchmark item.
+
+    Null and empty texts and rows without an id stay; texts are read whole; repeated rows fare alike; an empty benchmark keeps all.
+    """
     items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
     return contamination(docs, items, list_items=False).where("n_hit = 0").select(*docs.columns)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """A sample in which sources, languages and topics have their target shares."""
+    """A sample in which sources, languages and topics have their target shares.
+
+    A missing source or language is a category of its own, a null text counts one token; equal ids draw alike, so repeated
+    rows stay or go together; only the length of a text matters; an empty table gives an empty one.
+    """
     return mixed(docs).where("sampled").select(*docs.columns)
 
 
 def shard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents with their shard and their place in it."""
+    """The documents with their shard and their place in it.
+
+    A null id is a key of its own, equal ids share a shard, ties of places are settled by the row; a null text has 16 bytes; an
+    empty table gives an empty one.
+    """
     return shards(docs).drop("text_crc32")
 
 

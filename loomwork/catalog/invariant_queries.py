@@ -24,6 +24,7 @@ from loomwork.operators.smote import smote
 from loomwork.plans.classification import ClassificationRun
 from loomwork.plans.clustering import ClusteringRun
 from loomwork.plans.regression import RegressionRun
+from loomwork.session import with_row
 from loomwork.sources import readers
 
 
@@ -50,7 +51,7 @@ def _(spark, sf):
 def _(spark, sf):
     o = table(spark, sf, "orders")
     a, b = o.sample(False, 0.2, 42), o.sample(False, 0.2, 42)
-    both = a.join(b, "o_orderkey").agg(_n().alias("both")).crossJoin(a.agg(_n().alias("one"))).crossJoin(o.agg(_n().alias("all")))
+    both = with_row(with_row(a.join(b, "o_orderkey").agg(_n().alias("both")), a.agg(_n().alias("one"))), o.agg(_n().alias("all")))
     return both.select((F.col("both") == F.col("one")).alias("repeats"), (F.abs(F.col("one") / F.col("all") - 0.2) < 0.05).alias("share_near"))
 
 
@@ -59,7 +60,7 @@ def _(spark, sf):
     spec = readers.ReadSpec(select=["o_orderkey", "o_totalprice"], where="o_totalprice > 1000", sample_percent=50.0)
     part = spec.apply(table(spark, sf, "orders"))
     strange = part.join(table(spark, sf, "orders").where("o_totalprice > 1000").select("o_orderkey"), "o_orderkey", "left_anti").agg(_n().alias("strange"))
-    return part.agg(_n().alias("n")).crossJoin(strange).select((F.col("strange") == 0).alias("inside"), (F.col("n") > 0).alias("some"))
+    return with_row(part.agg(_n().alias("n")), strange).select((F.col("strange") == 0).alias("inside"), (F.col("n") > 0).alias("some"))
 
 
 @query("agg2_approx_distinct_counts_near", "SELECT 'c_name' AS \"column\", true AS near FROM customer UNION SELECT 'c_mktsegment', true FROM customer")
@@ -79,8 +80,8 @@ def _(spark, sf):
     kinds = {"fsl1": fs.forest_importances(t, NUMERIC, "label"), "fsl2": fs.forest_importances(t, NUMERIC, "label", adaptive=True),
              "fsl6": fs.forest_importances(t, ["l_quantity", "l_discount", "l_tax", "l_linenumber"], "l_extendedprice", "regression")}
     whole = fs.fit_sample(t, None).agg(_n().alias("n"))
-    return _stack([i.agg(_n().cast("int").alias("features"), (F.abs(F.sum("importance") - 1) < 1e-6).alias("sums_to_one")).select(
-        F.lit(k).alias("kind"), "features", "sums_to_one") for k, i in kinds.items()]).crossJoin(whole)
+    return with_row(_stack([i.agg(_n().cast("int").alias("features"), (F.abs(F.sum("importance") - 1) < 1e-6).alias("sums_to_one")).select(
+        F.lit(k).alias("kind"), "features", "sums_to_one") for k, i in kinds.items()]), whole)
 
 
 @query("fsl3_sequential_selection_holds", "SELECT 2::BIGINT AS kept, true AS known FROM lineitem LIMIT 1")
@@ -161,7 +162,7 @@ def _(spark, sf):
             own = F.array(*far)[F.col("prediction")]
             inside = F.avg(own) <= F.max("spread") * (1 + 1e-9)
             nearest = F.bool_and(own <= F.least(*far) + 1e-9) if name == "kmeans" else nearest
-        parts.append(out.crossJoin(F.broadcast(total)).agg(_n().alias("n"), F.bool_and(numbered).alias("numbered"), nearest.alias("nearest"), inside.alias("within")).select(
+        parts.append(with_row(out, total).agg(_n().alias("n"), F.bool_and(numbered).alias("numbered"), nearest.alias("nearest"), inside.alias("within")).select(
             F.lit(name).alias("model"), "n", "numbered", "nearest", "within"))
     return _stack(parts)
 
@@ -170,7 +171,7 @@ def _(spark, sf):
 def _(spark, sf):
     best, trials = dbscan_search(_part_vectors(spark, sf), ["p_partkey"], eps_values=[0.1, 0.3], min_points_values=[5])
     clusters = best.agg(_n().alias("n"), F.count_distinct(F.when(F.col("prediction") != NOISE, F.col("prediction"))).alias("k"))
-    return trials.agg(_n().alias("trials")).crossJoin(clusters).select("trials", "n", (F.col("k") >= 2).alias("best_is_valid"))
+    return with_row(trials.agg(_n().alias("trials")), clusters).select("trials", "n", (F.col("k") >= 2).alias("best_is_valid"))
 
 
 @query("bal2_smote_keys_unique", f"""
@@ -222,7 +223,7 @@ def _(spark, sf):
     x = v.select(vector_to_array("features").alias("x"))
     spread = x.agg(*[F.var_samp(F.col("x")[i]).alias(f"v{i}") for i in range(64)]).select(sum((F.col(f"v{i}") for i in range(1, 64)), F.col("v0")).alias("spread"))
     p = cu.project_2d(v, ["vec_id"]).agg(_n().alias("n"), F.covar_samp("x", "y").alias("c"), F.var_samp("x").alias("vx"), F.var_samp("y").alias("vy"))
-    return p.crossJoin(F.broadcast(spread)).select("n", (F.abs("c") < 1e-6 * F.col("vx")).alias("uncorrelated"), (F.col("vx") >= F.col("vy")).alias("ordered"),
+    return with_row(p, spread).select("n", (F.abs("c") < 1e-6 * F.col("vx")).alias("uncorrelated"), (F.col("vx") >= F.col("vy")).alias("ordered"),
                                                    (F.col("vx") + F.col("vy") <= F.col("spread") * (1 + 1e-9)).alias("bounded"))
 
 
@@ -232,7 +233,7 @@ def _(spark, sf):
     run, _frames = _classified(spark, sf, models=["logistic", "decision_tree"])
     part = F.when(F.col("dataset").isin("train", "valid", "test"), "split").otherwise(F.col("dataset"))
     champions = run.ranking.agg(F.count_if(F.col("rank") == 1).alias("champions"))
-    return run.prepared.rows.groupBy(part.alias("part")).agg(_n().alias("n")).crossJoin(champions)
+    return with_row(run.prepared.rows.groupBy(part.alias("part")).agg(_n().alias("n")), champions)
 
 
 @query("snk1_saved_run_tables", "SELECT count(*) AS predictions, true AS metrics, 1::BIGINT AS champions FROM orders")
@@ -242,7 +243,7 @@ def _(spark, sf):
     run.save(path)
     read = {n: spark.read.parquet(f"{path}/{n}") for n in ("predictions", "metrics", "ranking")}
     champions = read["ranking"].agg(F.count_if(F.col("rank") == 1).alias("champions"))
-    return read["predictions"].agg(_n().alias("predictions")).crossJoin(read["metrics"].agg((_n() > 0).alias("metrics"))).crossJoin(champions)
+    return with_row(with_row(read["predictions"].agg(_n().alias("predictions")), read["metrics"].agg((_n() > 0).alias("metrics"))), champions)
 
 
 @query("pipe3_holdout_without_column", "SELECT 'short' AS dataset, false AS usable, count(*) AS judged FROM customer UNION ALL SELECT 'whole', true, count(*) FROM customer")
@@ -250,7 +251,7 @@ def _(spark, sf):
     t = table(spark, sf, "customer").select("c_custkey", "c_mktsegment", "c_nationkey", "c_acctbal")
     run = ClusteringRun(models=["kmeans"], ks=[2, 3]).fit(t, ["c_custkey"], {"short": t.drop("c_acctbal"), "whole": t})
     judged = run.assignments.where("dataset = 'whole'").agg(_n().alias("judged"))
-    return run.holdout_report.select("dataset", "usable").crossJoin(judged)
+    return with_row(run.holdout_report.select("dataset", "usable"), judged)
 
 
 @query("pipe1_boolean_target", "SELECT (l_returnflag = 'R') AS predicted_of, count(*) AS n FROM lineitem GROUP BY 1")
@@ -274,7 +275,7 @@ def _(spark, sf):
     t = table(spark, sf, "part").select("p_partkey", "p_brand", "p_size", "p_retailprice")
     run = RegressionRun(models=["linear_regression", "decision_tree"]).fit(t, "p_retailprice", ["p_partkey"])
     champions = run.ranking.agg(F.count_if(F.col("rank") == 1).alias("champions"))
-    return run.prepared.rows.agg(_n().alias("n")).crossJoin(champions).withColumn("dropped", F.lit(run.dropped["train"]).cast("bigint"))
+    return with_row(run.prepared.rows.agg(_n().alias("n")), champions).withColumn("dropped", F.lit(run.dropped["train"]).cast("bigint"))
 
 
 @query("pipe3_clustering_run_holds", "SELECT count(*) AS n, true AS whole FROM customer")

@@ -11,6 +11,7 @@ from loomwork.catalog.registry import query
 from loomwork.operators import encode as en
 from loomwork.operators import features as fs
 from loomwork.operators import split as sp
+from loomwork.session import with_row
 
 NUMERIC = ["l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_linenumber"]
 
@@ -300,7 +301,7 @@ def _(spark, sf):
 def _(spark, sf):
     t = table(spark, sf, "lineitem")
     whole = fs.fit_sample(t, None).agg(F.count(F.lit(1)).alias("all_rows"))
-    return fs.fit_sample(t, 20_000).agg(F.count(F.lit(1)).alias("n")).crossJoin(whole)
+    return with_row(fs.fit_sample(t, 20_000).agg(F.count(F.lit(1)).alias("n")), whole)
 
 
 @query("fsl6_regression_importances")

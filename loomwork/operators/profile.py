@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from loomwork.functions.columns import is_missing, looks_like_date
+from loomwork.session import with_row
 
 # Name fragments of date columns.
 DATE_NAME_PARTS = ["date", "time", "dt_", "_dt", "timestamp"]
@@ -123,7 +124,7 @@ class TargetCoder:
     def dropped(self, df: DataFrame) -> DataFrame:
         """(rows, dropped): how many rows have no usable target."""
         kept = self.apply(df).agg(F.count(F.lit(1)).alias("kept"))
-        return df.agg(F.count(F.lit(1)).alias("rows")).crossJoin(F.broadcast(kept)).select("rows", (F.col("rows") - F.col("kept")).alias("dropped"))
+        return with_row(df.agg(F.count(F.lit(1)).alias("rows")), kept).select("rows", (F.col("rows") - F.col("kept")).alias("dropped"))
 
 
 def fit_target(df: DataFrame, target: str, most_lost: float = 0.5) -> TargetCoder:

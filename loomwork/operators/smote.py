@@ -9,7 +9,7 @@ from pyspark.sql import types as T
 from loomwork.functions.columns import key_bucket
 from loomwork.operators.spatial import nearest_neighbours, numbered
 from loomwork.operators.split import oversample_plan
-from loomwork.session import stage
+from loomwork.session import stage, with_row
 
 NEIGHBOURS = 5
 
@@ -73,7 +73,7 @@ def smote(df: DataFrame, target: str, features: list[str], keys: list[str], max_
             out = out.unionByName(synthetic_rows(part, features, keys, r["extra"], min(k, r["count"] - 1), seed, tops))
         else:
             numbers = df.sparkSession.range(1, r["extra"] + 1).withColumnRenamed("id", "_j")
-            single = numbers.crossJoin(F.broadcast(part))  # one row
+            single = with_row(numbers, part)
             out = out.unionByName(single.select(*[_copied_key(df, c, keys, tops) for c in df.columns]))
         tops = {c: v + r["extra"] for c, v in tops.items()}
     return out

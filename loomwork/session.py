@@ -118,3 +118,9 @@ def join_small(df: DataFrame, small: DataFrame, keys: list[str], max_rows: int =
     small = stage(small, "per_key").withColumnsRenamed({k: f"_k_{k}" for k in keys})
     same = [F.col(k).eqNullSafe(F.col(f"_k_{k}")) for k in keys]
     return df.join(broadcast_if_small(small, max_rows), same).drop(*[f"_k_{k}" for k in keys])
+
+
+def with_row(df: DataFrame, row: DataFrame) -> DataFrame:
+    """``df`` with the columns of a one-row table on every row; the row is a subquery, so nothing is joined."""
+    held = row.select(F.struct(*[F.col(f"`{c}`") for c in row.columns]).alias("r")).scalar()
+    return df.select("*", held.alias("_row")).select(*[F.col(f"`{c}`") for c in df.columns], *[F.col(f"_row.`{c}`") for c in row.columns])

@@ -72,10 +72,26 @@ def test_balanced_run_adds_synthetic_rows_over_categories(spark, orders):
 
 
 def test_library_stays_on_executors():
-    """No whole-table transfer to the driver, no cross join, no local checkpoint anywhere in the package."""
+    """No whole-table transfer to the driver, no cross join, no local checkpoint, no row-at-a-time code in the package."""
     import pathlib
 
     import loomwork
     text = "".join(p.read_text() for p in pathlib.Path(loomwork.__file__).parent.rglob("*.py"))
     for word in ("toPandas", "crossJoin", "localCheckpoint", ".rdd"):
         assert word not in text, word
+
+
+def test_plans_join_by_keys(spark, data):
+    """No product of two tables in the plans of queries that put tables side by side or compare rows."""
+    import __spark_entry__ as entry
+    for name in ("fsl5_selection_sample", "joi4_index_exact_neighbours", "joi4_nearest_neighbours", "tun4_cross_validation_holds", "prj1_missing_counts"):
+        if name in entry.queries():
+            plan = entry.queries()[name](spark, data)._jdf.queryExecution().executedPlan().toString()
+            assert "CartesianProduct" not in plan and "NestedLoopJoin" not in plan, name
+
+
+def test_row_beside_a_table(spark):
+    from loomwork.session import with_row
+    df = spark.createDataFrame([(1, "a"), (2, "b")], "x int, `odd.name` string")
+    row = df.agg({"x": "max"}).withColumnRenamed("max(x)", "most")
+    assert sorted(map(tuple, with_row(df, row).collect())) == [(1, "a", 2), (2, "b", 2)]
