@@ -29,6 +29,7 @@ from loomwork.plans.clustering import ClusteringRun
 from loomwork.plans.regression import RegressionRun
 from loomwork.session import evenly, shared_dir, stage
 from loomwork.sources import readers, sinks
+from loomwork.streaming.arrivals import score_arrivals
 
 NUMERIC = ["l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_linenumber"]
 SPLIT = {"train": 0.6, "valid": 0.2, "test": 0.2}
@@ -411,3 +412,20 @@ def _(spark, sf):
     run.save(path)
     out = score(path, t)
     return out.agg(F.count(F.lit(1)).alias("rows"), F.count("residual").alias("residuals"), F.count_if(F.col("absolute_error") >= 0).alias("errors"))
+
+
+@query("sco2_arriving_files", """SELECT count(*) FILTER (o_orderkey % 2 = 0) AS first, 0::BIGINT AS again, count(*) FILTER (o_orderkey % 2 = 1) AS later,
+ count(*) AS written, true AS once FROM orders""")
+def _(spark, sf):
+    """Rows scored by a first call over some files, a second over the same, a third after more arrived; each key is written once."""
+    t = table(spark, sf, "orders").select("o_orderkey", "o_totalprice", "o_orderpriority", F.when(F.col("o_orderstatus") == "F", 1).otherwise(0).alias("target"))
+    folder = _folder(spark, "arrivals")
+    ClassificationRun(models=["logistic"]).fit(t, "target", ["o_orderkey"]).save(f"{folder}/run")
+    rows, n = t.drop("target"), []
+    rows.where("o_orderkey % 2 = 0").write.parquet(f"{folder}/inbox")
+    for call in range(3):
+        if call == 2:
+            rows.where("o_orderkey % 2 = 1").write.mode("append").parquet(f"{folder}/inbox")
+        n.append(score_arrivals(spark, f"{folder}/run", f"{folder}/inbox", rows.schema, f"{folder}/scored", f"{folder}/seen"))
+    written = spark.read.parquet(f"{folder}/scored").agg(F.count(F.lit(1)).alias("written"), (F.count_distinct("o_orderkey") == F.count(F.lit(1))).alias("once"))
+    return written.select(*[F.lit(x).cast("bigint").alias(c) for c, x in zip(("first", "again", "later"), n)], "written", "once")

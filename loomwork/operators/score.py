@@ -29,14 +29,19 @@ def apply_model(df: DataFrame, spec: FeatureSpec, model, kind: str) -> DataFrame
     return with_residuals(result) if kind == "regression" else result
 
 
-def score(path: str, df: DataFrame, output: str | None = None) -> DataFrame:
-    """Load a saved run, score ``df`` and optionally write the result as Parquet."""
-    model, info = load_model(df.sparkSession, path)
-    spec = FeatureSpec(**info["spec"])
-    scored = apply_model(df, spec, model, info["kind"])
+def scored_rows(df: DataFrame, model, info: dict) -> DataFrame:
+    """``df`` scored by a loaded run; every step works row by row, so ``df`` may also be a stream."""
+    scored = apply_model(df, FeatureSpec(**info["spec"]), model, info["kind"])
     if info.get("labels"):
         labels = F.array(*[F.lit(v) for v in info["labels"]])
         scored = scored.withColumn("predicted_class", F.try_element_at(labels, F.col("prediction").cast("int") + 1))
+    return scored
+
+
+def score(path: str, df: DataFrame, output: str | None = None) -> DataFrame:
+    """Load a saved run, score ``df`` and optionally write the result as Parquet."""
+    model, info = load_model(df.sparkSession, path)
+    scored = scored_rows(df, model, info)
     if output:
         scored.write.mode("overwrite").parquet(output)
         return df.sparkSession.read.parquet(output)

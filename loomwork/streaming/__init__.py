@@ -1 +1 @@
-"""No streaming operator: every table this package models is bounded, so there is nothing to add here."""
+"""Structured Streaming."""
