@@ -48,7 +48,8 @@ def shards(docs: DataFrame, key_col: str = "doc_id", text_col: str = "text", n:
     shard's rows from 0 in the order of key and checksum; rows equal in both take the slots in any order. Slots come
     from a range sort in which a shard spans many tasks. Rows with a null key have neither shard nor slot numbers of
     their own: they get the shard of the empty key. An empty table gives an empty result; columns of ``docs`` that
-    clash with result names are replaced.
+    clash with result names are replaced, any other name may be used; only the length and checksum of a text are kept,
+    however long it is.
     """
     weights = [1.0] * n if weights is None else weights
     made = ("size", "text_crc32", "law", "shard", "slot", "grown_shard")
@@ -57,8 +58,8 @@ def shards(docs: DataFrame, key_col: str = "doc_id", text_col: str = "text", n:
     text = F.col(f"`{text_col}`")
     wanted = [c for c in (docs.columns if columns is None else columns) if c not in made]
     rows = docs.select(
-        *[F.col(f"`{c}`") for c in wanted], (F.coalesce(F.octet_length(text), F.lit(0)) + 16).cast("bigint").alias("size"),
+        *[F.col(f"`{c}`").alias(f"_c{i}") for i, c in enumerate(wanted)], (F.coalesce(F.octet_length(text), F.lit(0)) + 16).cast("bigint").alias("size"),
         F.crc32(text.cast("binary")).alias("text_crc32"), F.lit("key").alias("law"),
         rendezvous(key, weights).alias("shard"), rendezvous(key, grown).alias("grown_shard"), key.alias("_key"))
     placed = with_group_position(rows, ["shard"], [F.col("_key"), F.col("text_crc32")], name="_place", total="_in_shard")
-    return placed.select(*wanted, "size", "text_crc32", "law", "shard", (F.col("_place") - 1).cast("bigint").alias("slot"), "grown_shard")
+    return placed.select(*[F.col(f"_c{i}").alias(c) for i, c in enumerate(wanted)], "size", "text_crc32", "law", "shard", (F.col("_place") - 1).cast("bigint").alias("slot"), "grown_shard")

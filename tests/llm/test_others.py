@@ -152,6 +152,12 @@ def test_shards(spark):
     assert shards(df.limit(0)).collect() == []
 
 
+def test_shards_keep_foreign_columns(spark):
+    df = spark.createDataFrame([(i, "t", i, i + 1, i + 2, i + 3) for i in range(50)], "doc_id long, text string, _key long, _id long, _part long, `_at` long")
+    got = shards(df, n=4).collect()
+    assert len(got) == 50 and all((r["_key"], r["_id"], r["_part"], r["_at"]) == (r["doc_id"], r["doc_id"] + 1, r["doc_id"] + 2, r["doc_id"] + 3) for r in got)
+
+
 def test_mixing(spark):
     rng = random.Random(8)
     rows = [(i, "x" * rng.randint(50, 150), rng.choice(["a", "a", "a", "b"]), rng.choice(["en", "en", None]), 1) for i in range(4000)] + [(None, None, None, "en", 1)]
