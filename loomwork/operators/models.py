@@ -9,6 +9,7 @@ from pyspark.ml.regression import (DecisionTreeRegressor, FMRegressor, GBTRegres
                                    RandomForestRegressor)
 
 from loomwork.operators.boosting import HistogramBoosting
+from loomwork.operators.mixture import RegularisedMixture
 
 SEED = 42
 
@@ -33,6 +34,7 @@ CLUSTERERS = {
     "kmeans": (KMeans, {"k": 3, "maxIter": 20, "tol": 1e-4, "initMode": "k-means||", "seed": SEED}),
     "bisecting_kmeans": (BisectingKMeans, {"k": 3, "maxIter": 20, "minDivisibleClusterSize": 1.0, "seed": SEED}),
     "gaussian_mixture": (GaussianMixture, {"k": 3, "maxIter": 100, "tol": 1e-4, "seed": SEED}),
+    "regularised_mixture": (RegularisedMixture, {"k": 3, "maxIter": 100, "tol": 1e-4, "regParam": 0.01, "seed": SEED}),
 }
 REGISTRY = {"classification": CLASSIFIERS, "regression": REGRESSORS, "clustering": CLUSTERERS}
 BINARY_ONLY = {"gradient_boosting"}
