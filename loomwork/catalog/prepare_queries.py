@@ -137,6 +137,28 @@ def _(spark, sf):
 _B = sql_bucket("o_orderkey::VARCHAR")
 
 
+@query("set2_balanced_folds", f"""
+WITH t AS (SELECT *, floor({sql_bucket('doc_id::VARCHAR')} * 3)::INTEGER AS home FROM {_RARE}),
+d AS (SELECT fold::INTEGER AS fold, t.* FROM t, range(3) f(fold) WHERE home <> fold), c AS (SELECT fold, rare, count(*) AS n FROM d GROUP BY 1, 2),
+w AS (SELECT *, n::DOUBLE / sum(n) OVER (PARTITION BY fold) AS s, floor(max(n) OVER (PARTITION BY fold) * 0.3::DOUBLE)::BIGINT AS wanted FROM c),
+r AS (SELECT fold, rare, CASE WHEN s < 0.3 AND n < wanted THEN (wanted - n)::DOUBLE / n ELSE 0 END AS rate FROM w),
+x AS (SELECT fold, rare, count(*) AS documents, sum(1 + floor(rate) + CASE WHEN {sql_bucket('doc_id::VARCHAR', 12345)} < rate - floor(rate) THEN 1 ELSE 0 END)::BIGINT
+      AS fitted FROM d JOIN r USING (fold, rare) GROUP BY 1, 2)
+SELECT fold, rare, fitted, documents, (SELECT count(*) FROM t WHERE home = x.fold AND t.rare = x.rare) AS judged, 0::BIGINT AS shared FROM x""")
+def _(spark, sf):
+    """Copies are made of a fold's own rows to fit; what is judged is neither copied nor fitted."""
+    from loomwork.operators.tune import fold_parts
+    parts = fold_parts(rare_class(spark, sf), ["doc_id"], 3, lambda fitted: sp.oversample(fitted, "rare", ["doc_id"]))
+    out = []
+    for f, (fitted, judged) in enumerate(parts):
+        both = fitted.select("rare", "doc_id", F.lit(0).alias("held")).unionByName(judged.select("rare", "doc_id", F.lit(1).alias("held")))
+        each = both.groupBy("rare", "doc_id").agg(F.sum(1 - F.col("held")).alias("fitted"), F.sum("held").alias("judged"))
+        out.append(each.groupBy("rare").agg(
+            F.sum("fitted").alias("fitted"), F.count_if(F.col("fitted") > 0).alias("documents"), F.sum("judged").alias("judged"),
+            F.count_if((F.col("fitted") > 0) & (F.col("judged") > 0)).alias("shared")).withColumn("fold", F.lit(f)))
+    return sp.union_frames(out)
+
+
 @query("spl2_key_hash_split", f"""SELECT o_orderkey, CASE WHEN b < 0.4 THEN 'train' WHEN b < 0.7 THEN 'valid' ELSE 'test' END AS dataset
  FROM (SELECT o_orderkey, {_B} AS b FROM orders)""")
 def _(spark, sf):

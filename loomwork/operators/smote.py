@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -79,6 +80,15 @@ def smote(df: DataFrame, target: str, features: list[str], keys: list[str], max_
     return out
 
 
+def smote_vectors(df: DataFrame, target: str, vector: str, keys: list[str], width: int, max_ratio: float = 0.3,
+                  k: int = NEIGHBOURS, seed: int = 42) -> DataFrame:
+    """``smote`` on a vector column of ``width`` features; returns keys, target and vector."""
+    names = [f"_x{i}" for i in range(width)]
+    x = vector_to_array(vector)
+    flat = stage(df.select(*keys, target, *[x[i].alias(n) for i, n in enumerate(names)]), "coordinates")
+    return smote(flat, target, names, keys, max_ratio, k, seed).select(*keys, target, array_to_vector(F.array(*names)).alias(vector))
+
+
 def _copied_key(df: DataFrame, c: str, keys: list[str], tops: dict[str, int]) -> Column:
     t = df.schema[c].dataType
     if c in keys and isinstance(t, T.StringType):

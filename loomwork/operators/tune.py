@@ -7,6 +7,7 @@ import json
 import math
 import random
 import statistics
+from collections.abc import Callable
 from multiprocessing.pool import ThreadPool
 
 from pyspark.ml.evaluation import (BinaryClassificationEvaluator, ClusteringEvaluator, MulticlassClassificationEvaluator,
@@ -47,6 +48,7 @@ SPACES = {
         "bisecting_kmeans": {"k": [2, 3, 4, 5, 6, 7, 8, 9, 10], "maxIter": (10, 100),
                              "minDivisibleClusterSize": (0.5, 5.0)},
         "gaussian_mixture": {"k": [2, 3, 4, 5, 6, 7, 8, 9, 10], "maxIter": (50, 300), "tol": (1e-6, 1e-3)},
+        "regularised_mixture": {"k": [2, 3, 4, 5, 6, 7, 8, 9, 10], "maxIter": (50, 300), "tol": (1e-6, 1e-3), "regParam": [0.001, 0.01, 0.1]},
     },
 }
 GRIDS = {
@@ -63,6 +65,7 @@ GRIDS = {
         "bisecting_kmeans": {"k": [2, 3, 4, 5, 6, 7, 8, 9, 10], "maxIter": [20, 50, 100],
                              "minDivisibleClusterSize": [1.0, 2.0, 3.0]},
         "gaussian_mixture": {"k": [2, 3, 4, 5, 6, 7, 8, 9, 10], "maxIter": [50, 100, 200], "tol": [1e-5, 1e-4, 1e-3]},
+        "regularised_mixture": {"k": [2, 3, 4, 5, 6, 7, 8, 9, 10], "maxIter": [100], "tol": [1e-4], "regParam": [0.001, 0.01, 0.1]},
     },
 }
 
@@ -116,18 +119,18 @@ def grid_params(space: dict) -> list[dict]:
 
 def search(kind: str, name: str, train: DataFrame, valid: DataFrame | None = None, *, trials: list[dict],
            metric: str | None = None, features: int | None = None, classes: int = 2, keys: list[str] | None = None,
-           folds: int = 3, parallelism: int = 4) -> DataFrame:
+           folds: int = 3, parallelism: int = 4, balance: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """(trial, params, score, best): every parameter set fitted on train and scored on held-out rows.
 
-    Held-out rows are ``valid``, else key-hash folds of train. Clusterings have no label to leak and are
-    scored on the rows they were fitted on.
+    Held-out rows are ``valid``, else key-hash folds of train, whose training rows ``balance`` may change. Clusterings have
+    no label to leak and are scored on the rows they were fitted on.
     """
     ev = evaluator_for(kind, metric, classes)
     if kind != "clustering" and valid is None:
-        tagged = stage(assign_fold(train, keys, folds), "folds")
+        parts = fold_parts(train, keys, folds, balance)
 
         def score(params: dict) -> float:
-            return _fold_scores(estimator(kind, name, params, features=features, classes=classes), tagged, ev, folds)[0]
+            return _fold_scores(estimator(kind, name, params, features=features, classes=classes), parts, ev)[0]
     else:
         judged = train if valid is None else valid
 
@@ -161,18 +164,32 @@ def best_params(results: DataFrame) -> dict:
     return json.loads(results.where("best").first()["params"])
 
 
-def _fold_scores(est, tagged: DataFrame, ev, folds: int) -> tuple[float, float]:
-    scores = [float(ev.evaluate(est.fit(tagged.where(F.col("fold") != f)).transform(tagged.where(F.col("fold") == f)))) for f in range(folds)]
+def fold_parts(df: DataFrame, keys: list[str], folds: int, balance: Callable[[DataFrame], DataFrame] | None = None) -> list[tuple[DataFrame, DataFrame]]:
+    """(rows to fit, rows to judge) of every key-hash fold.
+
+    ``balance`` changes the rows to fit of each fold by themselves, so no copy or mixture of a judged row is ever fitted; the
+    judged rows stay as they are.
+    """
+    tagged = stage(assign_fold(df, keys, folds), "folds")
+    parts = [(tagged.where(F.col("fold") != f).drop("fold"), tagged.where(F.col("fold") == f).drop("fold")) for f in range(folds)]
+    return parts if balance is None else [(stage(balance(fitted), "balanced"), judged) for fitted, judged in parts]
+
+
+def _fold_scores(est, parts: list[tuple[DataFrame, DataFrame]], ev) -> tuple[float, float]:
+    scores = [float(ev.evaluate(est.fit(fitted).transform(judged))) for fitted, judged in parts]
     return statistics.fmean(scores), statistics.pstdev(scores)
 
 
 def cross_validate(kind: str, name: str, df: DataFrame, keys: list[str], *, params: dict | None = None, folds: int = 5,
-                   metric: str | None = None, features: int | None = None, classes: int = 2) -> DataFrame:
-    """(folds, mean, std) of the metric over key-hash folds of un-balanced rows."""
-    tagged = stage(assign_fold(df, keys, folds), "folds")
-    mean, std = _fold_scores(estimator(kind, name, params, features=features, classes=classes), tagged,
-                             evaluator_for(kind, metric, classes), folds)
-    return df.sparkSession.createDataFrame([(folds, mean, std)], "folds int, mean double, std double")
+                   metric: str | None = None, features: int | None = None, classes: int = 2,
+                   balance: Callable[[DataFrame], DataFrame] | None = None, parts: list[tuple[DataFrame, DataFrame]] | None = None) -> DataFrame:
+    """(folds, mean, std) of the metric over key-hash folds of un-balanced rows.
+
+    ``balance`` sees the rows to fit of a fold only; ``parts`` are folds made before, for several models.
+    """
+    parts = parts or fold_parts(df, keys, folds, balance)
+    mean, std = _fold_scores(estimator(kind, name, params, features=features, classes=classes), parts, evaluator_for(kind, metric, classes))
+    return df.sparkSession.createDataFrame([(len(parts), mean, std)], "folds int, mean double, std double")
 
 
 def sweep_k(name: str, df: DataFrame, ks: list[int], params: dict | None = None) -> tuple[DataFrame, dict]:

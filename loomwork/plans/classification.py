@@ -16,7 +16,7 @@ from loomwork.operators import profile as pf
 from loomwork.operators import tune as tn
 from loomwork.operators.models import available_models, estimator
 from loomwork.operators.score import apply_model
-from loomwork.operators.smote import smote
+from loomwork.operators.smote import smote, smote_vectors
 from loomwork.operators.split import oversample, use_cross_validation
 from loomwork.plans.supervised import KEY, Settings, feature_spec, prepare_rows
 from loomwork.session import stage
@@ -83,11 +83,28 @@ class ClassificationRun:
 
         return add_rows
 
+    def _balance_fold(self, width: int):
+        """What cross-validation does to the rows to fit of each fold: the same balancing, judged on the fold's own classes."""
+        s = self.settings
+        if not s.balance:
+            return None
+
+        def add_rows(fitted: DataFrame) -> DataFrame:
+            if not pf.imbalance(fitted, "label", s.imbalance_threshold).first()["imbalanced"]:
+                return fitted
+            if s.balance == "smote":
+                return smote_vectors(fitted, "label", "features", [KEY], width, s.max_ratio, seed=s.seed)
+            return oversample(fitted, "label", [KEY], s.max_ratio, s.seed)
+
+        return add_rows
+
     def _fit_models(self) -> None:
         s, p = self.settings, self.prepared
         names = s.models or available_models("classification", self.classes)
         sizes = dict(features=len(p.features), classes=self.classes)
         self.fitted, scored, cv_rows, self.trials = {}, None, [], {}
+        whole = p.rows.where(F.col("dataset").isin(*s.shares))
+        folds = tn.fold_parts(whole, [KEY], s.folds, self._balance_fold(len(p.features))) if self.cross_validated else None
         for name in names:
             variants = {"default": {}}
             if s.tune:
@@ -103,8 +120,7 @@ class ClassificationRun:
                     vector_to_array("probability")[1].alias("score"))
                 scored = part if scored is None else scored.unionByName(part)
                 if self.cross_validated:
-                    whole = p.rows.where(F.col("dataset").isin(*s.shares))
-                    cv = tn.cross_validate("classification", name, whole, [KEY], params=params, folds=s.folds, **sizes)
+                    cv = tn.cross_validate("classification", name, whole, [KEY], params=params, parts=folds, **sizes)
                     cv_rows.append(cv.select(F.lit(name).alias("model"), F.lit(variant).alias("variant"), "folds", "mean", "std"))
         scored = stage(scored, "scored")
         groups = ["model", "variant", "dataset"]
