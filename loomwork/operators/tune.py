@@ -117,33 +117,45 @@ def grid_params(space: dict) -> list[dict]:
     return [dict(zip(space, values)) for values in itertools.product(*space.values())]
 
 
-def search(kind: str, name: str, train: DataFrame, valid: DataFrame | None = None, *, trials: list[dict],
-           metric: str | None = None, features: int | None = None, classes: int = 2, keys: list[str] | None = None,
-           folds: int = 3, parallelism: int = 4, balance: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
-    """(trial, params, score, best): every parameter set fitted on train and scored on held-out rows.
-
-    Held-out rows are ``valid``, else key-hash folds of train, whose training rows ``balance`` may change. Clusterings have
-    no label to leak and are scored on the rows they were fitted on.
-    """
+def scorer(kind: str, name: str, train: DataFrame, valid: DataFrame | None = None, *, metric: str | None = None, features: int | None = None,
+           classes: int = 2, keys: list[str] | None = None, folds: int = 3,
+           balance: Callable[[DataFrame], DataFrame] | None = None) -> tuple[Callable[..., float], bool]:
+    """(score, larger is better): ``score(params, narrow)`` fits on train, cut by ``narrow`` if given, and judges all held-out rows."""
     ev = evaluator_for(kind, metric, classes)
+
+    def whole(df: DataFrame) -> DataFrame:
+        return df
+
     if kind != "clustering" and valid is None:
         parts = fold_parts(train, keys, folds, balance)
 
-        def score(params: dict) -> float:
-            return _fold_scores(estimator(kind, name, params, features=features, classes=classes), parts, ev)[0]
+        def score(params: dict, narrow: Callable[[DataFrame], DataFrame] = whole) -> float:
+            return _fold_scores(estimator(kind, name, params, features=features, classes=classes), [(narrow(f), j) for f, j in parts], ev)[0]
     else:
         judged = train if valid is None else valid
 
-        def score(params: dict) -> float:
-            model = estimator(kind, name, params, features=features, classes=classes).fit(train)
+        def score(params: dict, narrow: Callable[[DataFrame], DataFrame] = whole) -> float:
+            model = estimator(kind, name, params, features=features, classes=classes).fit(narrow(train))
             predictions = model.transform(judged)
             if kind == "clustering" and predictions.select("prediction").distinct().limit(2).count() < 2:
                 return -1.0
             return float(ev.evaluate(predictions))
 
+    return score, ev.isLargerBetter()
+
+
+def search(kind: str, name: str, train: DataFrame, valid: DataFrame | None = None, *, trials: list[dict],
+           metric: str | None = None, features: int | None = None, classes: int = 2, keys: list[str] | None = None,
+           folds: int = 3, parallelism: int = 4, balance: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+    """(trial, params, score, best): every parameter set fitted on train and scored on held-out rows.
+
+    Held-out rows are ``valid``, else key-hash folds of train, whose training rows ``balance`` may change. Clusterings have
+    no label to leak and are scored on the rows they were fitted on.
+    """
+    score, larger = scorer(kind, name, train, valid, metric=metric, features=features, classes=classes, keys=keys, folds=folds, balance=balance)
     with ThreadPool(min(parallelism, max(1, len(trials)))) as pool:
         scores = pool.map(score, trials)
-    best = (max if ev.isLargerBetter() else min)(range(len(trials)), key=lambda i: scores[i]) if trials else -1
+    best = (max if larger else min)(range(len(trials)), key=lambda i: scores[i]) if trials else -1
     rows = [(i, json.dumps(p, sort_keys=True), scores[i], i == best) for i, p in enumerate(trials)]
     return train.sparkSession.createDataFrame(rows, "trial int, params string, score double, best boolean")
 

@@ -14,6 +14,7 @@ from loomwork.operators import classification_metrics as cm
 from loomwork.operators import encode as en
 from loomwork.operators import profile as pf
 from loomwork.operators import tune as tn
+from loomwork.operators.adaptive import SEARCHES
 from loomwork.operators.models import available_models, estimator
 from loomwork.operators.score import apply_model
 from loomwork.operators.smote import smote, smote_vectors
@@ -108,8 +109,8 @@ class ClassificationRun:
         for name in names:
             variants = {"default": {}}
             if s.tune:
-                run = tn.random_search if s.tune == "random" else tn.grid_search
-                self.trials[name] = run("classification", name, p.train, p.dataset("valid"), n=s.trials, seed=s.seed, **sizes)
+                run = SEARCHES[s.tune]
+                self.trials[name] = run("classification", name, p.train, p.dataset("valid"), n=s.trials, seed=s.seed, keys=[KEY], **sizes)
                 variants["tuned"] = tn.best_params(self.trials[name])
             for variant, params in variants.items():
                 model = estimator("classification", name, params, **sizes).fit(p.train)

@@ -14,6 +14,7 @@ from loomwork.operators import clustering_metrics as cu
 from loomwork.operators import encode as en
 from loomwork.operators import profile as pf
 from loomwork.operators import tune as tn
+from loomwork.operators.adaptive import SEARCHES
 from loomwork.operators.dbscan import dbscan, dbscan_search
 from loomwork.operators.models import estimator
 from loomwork.operators.score import apply_model
@@ -75,8 +76,7 @@ class ClusteringRun:
             else:
                 params = {}
                 if self.tune:
-                    run = tn.random_search if self.tune == "random" else tn.grid_search
-                    params = tn.best_params(run("clustering", name, train, n=self.trials, seed=self.seed))
+                    params = tn.best_params(SEARCHES[self.tune]("clustering", name, train, n=self.trials, seed=self.seed, keys=[KEY]))
                     params.pop("k", None)
                 self.sweeps[name], fitted = tn.sweep_k(name, train, self.ks, params)
                 k = self._best_k(self.sweeps[name])

@@ -12,6 +12,7 @@ from loomwork.operators import choose as ch
 from loomwork.operators import profile as pf
 from loomwork.operators import regression_metrics as rm
 from loomwork.operators import tune as tn
+from loomwork.operators.adaptive import SEARCHES
 from loomwork.operators.models import available_models, estimator
 from loomwork.operators.score import apply_model
 from loomwork.operators.split import use_cross_validation
@@ -56,8 +57,8 @@ class RegressionRun:
         for name in s.models or available_models("regression"):
             variants = {"default": {}}
             if s.tune:
-                run = tn.random_search if s.tune == "random" else tn.grid_search
-                self.trials[name] = run("regression", name, p.train, p.dataset("valid"), n=s.trials, seed=s.seed)
+                run = SEARCHES[s.tune]
+                self.trials[name] = run("regression", name, p.train, p.dataset("valid"), n=s.trials, seed=s.seed, keys=[KEY])
                 variants["tuned"] = tn.best_params(self.trials[name])
             for variant, params in variants.items():
                 model = estimator("regression", name, params).fit(p.train)
