@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 import numpy as np
-from pyspark.ml.functions import vector_to_array
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import functions as F
 
 from loomwork.catalog.inputs import rounded, table
 from loomwork.catalog.model_queries import _part_vectors, _parts
 from loomwork.catalog.registry import query
 from loomwork.operators.agreement import MEASURES, agreement, cluster_stability
+from loomwork.operators.euclidean_silhouette import euclidean_silhouette
 from loomwork.operators.mixture import Mixture, MixtureModel, RegularisedMixture, em_step, table_prior
 
 #: Fixed start of the one-step query: means of size and price.
@@ -83,3 +84,19 @@ def _(spark, sf):
     out = cluster_stability("kmeans", _parts(spark, sf), ["p_partkey"], {"k": 3}, folds=3)
     return out.select("first", "second", "rows", F.greatest("rand", "adjusted_rand", "adjusted_mutual_information").between(-1, 1 + 1e-9).alias("within"),
                       ((F.col("adjusted_rand") > 0.05) & (F.col("adjusted_mutual_information") > 0.05)).alias("better_than_chance"))
+
+
+_GROUPED = "SELECT p_partkey AS id, p_size::DOUBLE AS a, p_retailprice AS b, (p_partkey % 400) // 100 + 4 * (p_size // 30) AS c FROM part"
+
+
+@query("cum10_euclidean_silhouettes", f"""
+WITH t AS ({_GROUPED}), z AS (SELECT c, count(*) AS n FROM t GROUP BY 1),
+d AS (SELECT u.id, u.c, v.c AS o, sum(sqrt((u.a - v.a) ** 2 + (u.b - v.b) ** 2)) AS s FROM t u, t v GROUP BY 1, 2, 3),
+m AS (SELECT id, max(CASE WHEN d.c = o THEN s / (n - 1) END) AS x, min(CASE WHEN d.c <> o THEN s / n END) AS y FROM d JOIN z ON o = z.c GROUP BY id)
+SELECT count(*) AS rows, round(avg((y - x) / greatest(x, y)), 2) AS silhouette, true AS within FROM m""")
+def _(spark, sf):
+    """With ever more cells the bounds close on the mean over all pairs of rows."""
+    t = table(spark, sf, "part").select("p_partkey", F.expr("(p_partkey % 400) div 100 + 4 * (p_size div 30)").alias("prediction"),
+                                        array_to_vector(F.array(F.col("p_size").cast("double"), F.col("p_retailprice"))).alias("features"))
+    out = euclidean_silhouette(t, tolerance=0.002, cells=1024)
+    return out.select("rows", F.round("silhouette", 2).alias("silhouette"), (F.col("high") - F.col("low") <= 0.01).alias("within"))

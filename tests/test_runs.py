@@ -32,6 +32,17 @@ def test_classification_run(spark, orders, tmp_path):
     assert {r["o_orderkey"]: r["predicted_class"] for r in again.collect()} == live
 
 
+@pytest.mark.parametrize("balance, tune", [("oversample", "halving"), ("smote", "adaptive")])
+def test_balanced_run_judges_untouched_folds(spark, orders, balance, tune):
+    rare = orders.where("target = 'final' or o_orderkey % 25 = 0")  # few open orders
+    run = ClassificationRun(models=["decision_tree"], tune=tune, trials=3, balance=balance, imbalance_threshold=0.2, cross_validation="always", folds=2).fit(
+        rare.drop("o_orderdate"), "target", ["o_orderkey"])
+    whole = run.prepared.rows.where(F.col("dataset").isin("train", "valid", "test"))
+    assert run.prepared.train.count() > whole.where("dataset = 'train'").count()
+    assert run.cross_validation.count() == 2 and run.cross_validation.where("folds = 2 and mean between 0 and 1").count() == 2
+    assert run.trials["decision_tree"].where("best").count() == 1
+
+
 def test_regression_run(spark, data):
     part = table(spark, data, "part")
     run = RegressionRun(models=["linear_regression", "decision_tree"]).fit(part, "p_retailprice", ["p_partkey"])
