@@ -13,8 +13,8 @@ from loomwork.operators.agreement import MEASURES, agreement, cluster_stability
 from loomwork.operators.euclidean_silhouette import euclidean_silhouette
 from loomwork.operators.mixture import Mixture, MixtureModel, RegularisedMixture, em_step, table_prior
 
-#: Fixed start of the one-step query: means of size and price.
-_START = [[10.0, 1000.0], [30.0, 1200.0], [45.0, 1400.0]]
+#: Fixed start of the one-step query: means of size and price inside the prices of every scale, so that no component is empty.
+_START = [[10.0, 905.0], [30.0, 910.0], [45.0, 915.0]]
 _SHARE = 0.05
 
 
