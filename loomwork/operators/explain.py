@@ -16,6 +16,9 @@ from loomwork.functions.columns import key_bucket
 from loomwork.operators.rank import with_position
 from loomwork.session import stage
 
+#: Numbers of a background that may travel to every task; the draws of all rows never do.
+BACKGROUND_DOUBLES = 1_000_000
+
 
 def model_score(df: DataFrame, probability: bool = True) -> Column:
     """Probability of the positive class where there is one, else the prediction."""
@@ -43,7 +46,9 @@ def background_draws(rows: DataFrame, background: DataFrame, features: list[str]
     start = F.floor(key_bucket([F.col(k) for k in keys], seed) * total)
     picks = rows.select(*keys, numbers(rows).alias("x"), start.alias("_start"), F.explode(F.sequence(F.lit(0), F.lit(draws - 1))).alias("b"))
     place = (F.col("_start") + F.floor(F.col("b") * F.lit(total) / F.lit(draws))) % F.lit(total) + 1
-    return picks.withColumn("at", place).join(table, "at").select(*keys, "x", "b", "bg")
+    # a table of draws looks small to the planner, which does not count what explode makes of it
+    placed = F.broadcast(table) if total * len(features) <= BACKGROUND_DOUBLES else table.hint("merge")
+    return picks.withColumn("at", place).join(placed, "at").select(*keys, "x", "b", "bg")
 
 
 def shapley_values(model: Transformer, rows: DataFrame, background: DataFrame, features: list[str], keys: list[str],
