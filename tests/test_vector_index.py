@@ -66,3 +66,30 @@ def test_odd_inputs(spark):
     for bad in ([1.0, float("nan"), 0.0], [1.0], None):
         with pytest.raises(ValueError):
             vi.build_index(spark.createDataFrame([(1, bad)], "id long, x array<double>"), 3)
+
+
+def test_groups_of_bounded_size(spark, cloud, monkeypatch):
+    """Parts of the index meet parts of the queries: no group holds all of either, and a query is sent once to a part."""
+    monkeypatch.setattr(vi, "BLOCK_DOUBLES", 24 * 20)
+    monkeypatch.setattr(vi, "STORED_DOUBLES", 24 * 200)
+    monkeypatch.setattr(vi, "QUERY_DOUBLES", 24 * 10)
+    index = vi.build_index(points(spark, cloud), 24, bits=6)
+    asked = spark.createDataFrame([(i, [float(v) for v in cloud[i]], float("inf")) for i in range(0, 1200, 30)], "loc long, x array<double>, reach double")
+    held, searched = spark.sparkContext.accumulator(0), vi._searched
+
+    def counted(*settings):
+        run = searched(*settings)
+
+        def inner(some, stored):
+            held.add(some.num_rows)
+            assert some.num_rows <= 30 and sum(len(x) for x in stored["locs"]) <= 600
+            return run(some, stored)
+
+        return inner
+
+    monkeypatch.setattr(vi, "_searched", counted)
+    found = vi._nearest_vectors(index, asked, 3, 0).collect()
+    assert held.value == 40 * 5  # five parts of the index
+    for r in (r for r in found if r["rank"] == 1):
+        assert r["d2"] == 0.0
+    assert len(found) == 40 * 3
