@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomwork.functions.columns import correlation
+from loomwork.session import spread
 
 # Variance floor and limits of the selection rules.
 VARIANCE_FLOOR = 1e-6
@@ -135,7 +136,7 @@ def forest_importances(df: DataFrame, features: list[str], target: str, kind: st
         params = dict(numTrees=10, maxDepth=5, maxBins=max_bins)
     slim = fit_sample(df.select(target, *features), max_fit_rows).select(F.col(target).cast("double").alias("label"), *[F.col(f).cast("double").alias(f) for f in features])
     data = VectorAssembler(inputCols=features, outputCol="features", handleInvalid="skip").transform(slim)
-    model = _forest(kind, labelCol="label", **params).fit(data.select("label", "features"))
+    model = _forest(kind, labelCol="label", **params).fit(spread(data.select("label", "features")))
     return named_importances(model, features, df.sparkSession)
 
 
