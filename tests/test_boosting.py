@@ -1,6 +1,7 @@
 """Histogram boosting against a plain exact booster, and its model's round trip."""
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.ml import PipelineModel
 from pyspark.ml.functions import array_to_vector, vector_to_array
@@ -99,3 +100,19 @@ def test_odd_inputs(spark):
     assert {round(r["probability"][1], 3) for r in bo.HistogramBoosting(objective="logistic", maxIter=2).fit(one).transform(one).collect()} == {1.0}
     with pytest.raises(ValueError):
         bo.HistogramBoosting(objective="softmax", classes=2).fit(frame(spark, np.zeros((3, 1)), [0, 1, 2]))
+
+
+def test_walk_over_bins_reaches_the_same_nodes():
+    from loomwork.operators.boosting import MISSING, Tree, _matrix, _walk
+    rng = np.random.default_rng(4)
+    tree = Tree.root(0, 0)
+    for node, feature, cut, lost in ((0, 1, 7, True), (1, 0, 3, False), (4, 2, 250, True)):
+        tree.left[node], tree.right[node] = tree.leaf(1.0), tree.leaf(2.0)
+        tree.feature[node], tree.bin[node], tree.missing_left[node] = feature, cut, lost
+    bins = rng.integers(0, 12, size=(500, 3)).astype(np.uint8)
+    bins[rng.random(bins.shape) < 0.1] = MISSING
+    assert (_walk(tree)(bins) == tree.places(bins, bins == MISSING, tree.bin)).all()
+    assert (_walk(Tree.root(0, 0))(bins) == 0).all()
+    column = pa.array([r.tobytes() for r in bins], pa.binary())
+    assert (_matrix(column, 3, np.uint8) == bins).all() and (_matrix(column[100:300], 3, np.uint8) == bins[100:300]).all()
+    assert _matrix(column[:0], 3, np.uint8).shape == (0, 3)
