@@ -176,13 +176,14 @@ def best_params(results: DataFrame) -> dict:
     return json.loads(results.where("best").first()["params"])
 
 
-def fold_parts(df: DataFrame, keys: list[str], folds: int, balance: Callable[[DataFrame], DataFrame] | None = None) -> list[tuple[DataFrame, DataFrame]]:
-    """(rows to fit, rows to judge) of every key-hash fold.
+def fold_parts(df: DataFrame, keys: list[str], folds: int, balance: Callable[[DataFrame], DataFrame] | None = None,
+               columns: list[str] | None = None) -> list[tuple[DataFrame, DataFrame]]:
+    """(rows to fit, rows to judge) of every key-hash fold, with the given or all columns.
 
     ``balance`` changes the rows to fit of each fold by themselves, so no copy or mixture of a judged row is ever fitted; the
     judged rows stay as they are.
     """
-    tagged = stage(assign_fold(df, keys, folds), "folds")
+    tagged = stage(assign_fold(df, keys, folds).select(*(columns or df.columns), "fold"), "folds")
     parts = [(tagged.where(F.col("fold") != f).drop("fold"), tagged.where(F.col("fold") == f).drop("fold")) for f in range(folds)]
     return parts if balance is None else [(stage(balance(fitted), "balanced"), judged) for fitted, judged in parts]
 
@@ -199,7 +200,7 @@ def cross_validate(kind: str, name: str, df: DataFrame, keys: list[str], *, para
 
     ``balance`` sees the rows to fit of a fold only; ``parts`` are folds made before, for several models.
     """
-    parts = parts or fold_parts(df, keys, folds, balance)
+    parts = parts or fold_parts(df, keys, folds, balance, ["label", "features"] if balance is None else None)
     mean, std = _fold_scores(estimator(kind, name, params, features=features, classes=classes), parts, evaluator_for(kind, metric, classes))
     return df.sparkSession.createDataFrame([(len(parts), mean, std)], "folds int, mean double, std double")
 
