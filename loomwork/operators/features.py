@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import math
+from multiprocessing.pool import ThreadPool
+
+import numpy as np
+from pyspark import inheritable_thread_target
 from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import RandomForestRegressor
@@ -9,7 +14,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomwork.functions.columns import correlation
-from loomwork.session import spread
+from loomwork.operators import cells as ce
+from loomwork.session import spread, staging
 
 # Variance floor and limits of the selection rules.
 VARIANCE_FLOOR = 1e-6
@@ -117,14 +123,67 @@ def named_importances(model, features: list[str], spark) -> DataFrame:
 
 def _forest(kind: str, **params):
     cls = RandomForestClassifier if kind == "classification" else RandomForestRegressor
-    return cls(featuresCol="features", seed=42, **params)
+    return cls(featuresCol="features", **{"seed": 42, **params})
+
+
+#: Trees on cells that are fitted at the same time.
+TREES_AT_ONCE = 4
+
+
+def _poisson(u: Column, rate: float) -> Column:
+    """The Poisson number that belongs to ``u``, which is even in [0, 1)."""
+    k, chance = 0, math.exp(-rate)
+    below, draw = chance, F.when(u < chance, 0)
+    while below < 1 - 1e-12:
+        k, chance = k + 1, chance * rate / (k + 1)
+        below += chance
+        draw = draw.when(u < below, k)
+    return draw.otherwise(k + 1)
+
+
+def _importances_from_cells(data: DataFrame, total: int, kind: str, numTrees: int, subsamplingRate: float = 1.0,  # noqa: N803
+                            featureSubsetStrategy: str = "auto", **params) -> np.ndarray | None:  # noqa: N803
+    """Importances of a forest whose trees read cells; None if the rows make too many.
+
+    Every row is drawn a Poisson number of times for every tree, as in Spark's forests; a cell's weight in a tree is the sum of
+    these draws, so each tree is a single one fitted by Spark on weights of its own.
+    """
+    strategy = {"classification": "sqrt", "regression": "onethird"}[kind] if featureSubsetStrategy == "auto" else featureSubsetStrategy
+    each = range(numTrees)
+    keys = ["label"] if kind == "classification" else []
+
+    def summed(rows: DataFrame, by: list[str]) -> DataFrame:
+        drawn = rows.select("*", F.explode(F.array(*[F.lit(t) for t in each])).alias("tree")).withColumn("u", F.rand(42))
+        drawn = drawn.withColumn("draws", _poisson(F.col("u"), subsamplingRate)).where("draws > 0")
+        sums = drawn.groupBy(*by, "tree").agg(F.sum("draws").cast("double").alias("w"), *[] if keys else [F.sum(F.col("draws") * F.col("label")).alias("y")])
+        mean = [] if keys else [F.max(F.when(F.col("tree") == t, F.col("y") / F.col("w"))).alias(f"y{t}") for t in each]
+        return sums.groupBy(*by).agg(*[F.max(F.when(F.col("tree") == t, F.col("w"))).alias(f"w{t}") for t in each], *mean)
+
+    with staging(data.sparkSession):
+        table = ce.cells(data, total, params.get("maxBins", 32), keys, summed)
+        if table is None:
+            return None
+        table = table.cache()
+
+        def share(t: int) -> np.ndarray:
+            tree = _forest(kind, numTrees=1, bootstrap=False, featureSubsetStrategy=strategy, labelCol="label" if kind == "classification" else f"y{t}",
+                           weightCol=f"w{t}", **{**params, "seed": 42 + t})
+            return tree.fit(table.where(F.col(f"w{t}") > 0)).featureImportances.toArray()
+
+        try:
+            with ThreadPool(TREES_AT_ONCE) as pool:
+                shares = sum(pool.map(inheritable_thread_target(data.sparkSession)(share), each))
+        finally:
+            table.unpersist()
+    return shares / shares.sum() if shares.sum() > 0 else shares
 
 
 def forest_importances(df: DataFrame, features: list[str], target: str, kind: str = "classification",
                        adaptive: bool = False, max_bins: int = 100, max_fit_rows: int | None = None) -> DataFrame:
     """Random-forest importances from all rows, or for a classifier from at most ``max_fit_rows``.
 
-    The adaptive form sizes trees by the number of features.
+    The adaptive form sizes trees by the number of features. From a million rows on, trees are fitted on cells of rows where these
+    are few (``cells``).
     """
     if max_fit_rows is not None and kind != "classification":
         raise ValueError("only a classifier may be fitted on a bounded sample")
@@ -136,7 +195,13 @@ def forest_importances(df: DataFrame, features: list[str], target: str, kind: st
         params = dict(numTrees=10, maxDepth=5, maxBins=max_bins)
     slim = fit_sample(df.select(target, *features), max_fit_rows).select(F.col(target).cast("double").alias("label"), *[F.col(f).cast("double").alias(f) for f in features])
     data = VectorAssembler(inputCols=features, outputCol="features", handleInvalid="skip").transform(slim)
-    model = _forest(kind, labelCol="label", **params).fit(spread(data.select("label", "features")))
+    data = data.select("label", "features")
+    total, labelled = data.agg(F.count(F.lit(1)), F.count("label")).first()
+    if total >= ce.CELL_ROWS and labelled == total:
+        shares = _importances_from_cells(data, total, kind, **params)
+        if shares is not None:
+            return df.sparkSession.createDataFrame(list(zip(features, shares.tolist())), "feature string, importance double")
+    model = _forest(kind, labelCol="label", **params).fit(spread(data))
     return named_importances(model, features, df.sparkSession)
 
 

@@ -8,9 +8,14 @@ from pyspark.ml.regression import GBTRegressor
 from pyspark.sql import functions as F
 
 from loomwork.operators import cells as ce
+from loomwork.operators import features as fs
 from loomwork.operators.models import estimator
 
 
+def _counted(rows, by):
+    return rows.groupBy(*by).agg(F.count(F.lit(1)).alias("n"))
+
+
 @pytest.fixture(scope="module")
 def rows(spark):
     rng = np.random.default_rng(3)
@@ -51,7 +56,7 @@ def test_boosters_that_draw_rows_or_find_none_alike_read_all_rows(rows, monkeypa
 
 def test_rows_lie_in_the_cell_where_the_cuts_put_them(spark):
     df = spark.range(5000).select(F.lit(1.0).alias("label"), array_to_vector(F.array((F.col("id") * 0.37) % 91, F.col("id") % 4 * 1.0)).alias("features"))
-    out = ce.cells(df, 5000, 8, ["label"], [F.count(F.lit(1)).alias("n")])
+    out = ce.cells(df, 5000, 8, ["label"], _counted)
     found = [(r["features"].toArray(), r["n"]) for r in out.collect()]
     assert len(found) <= 32 and sum(n for _, n in found) == 5000
     values = sorted({v[0] for v, _ in found})
@@ -60,11 +65,30 @@ def test_rows_lie_in_the_cell_where_the_cuts_put_them(spark):
     wanted = np.bincount(np.searchsorted(cuts, x), minlength=len(values))
     assert [sum(n for v, n in found if v[0] == a) for a in values] == wanted.tolist()
     assert min(wanted) > 400 and {v[1] for v, _ in found} == {0.0, 1.0, 2.0, 3.0}
-    assert ce.cells(df.withColumn("label", F.rand(1)), 5000, 8, ["label"], [F.count(F.lit(1)).alias("n")]) is None
+    assert ce.cells(df.withColumn("label", F.rand(1)), 5000, 16, ["label"], _counted) is None
 
 
 def test_values_that_are_not_finite_stay_apart(spark):
     df = spark.createDataFrame([(v,) for v in [1.0, 2.0, float("nan"), float("inf"), float("-inf")] * 4], "v double")
     data = df.select(F.lit(0.0).alias("label"), array_to_vector(F.array("v")).alias("features"))
-    found = sorted(str(float(r["features"][0])) for r in ce.cells(data, 20, 8, ["label"], [F.count(F.lit(1)).alias("n")]).collect())
+    found = sorted(str(float(r["features"][0])) for r in ce.cells(data, 20, 8, ["label"], _counted).collect())
     assert found == ["-inf", "1.0", "2.0", "inf", "nan"]
+
+
+def test_poisson_draws_follow_the_law(spark):
+    n = [r[0] for r in spark.range(20_000, numPartitions=4).select(F.rand(7).alias("u")).select(fs._poisson(F.col("u"), 0.8)).collect()]
+    assert abs(np.mean(n) - 0.8) < 0.03 and abs(np.var(n) - 0.8) < 0.04 and abs(np.mean(np.array(n) == 0) - np.exp(-0.8)) < 0.015
+
+
+@pytest.mark.parametrize("kind", ["classification", "regression"])
+def test_importances_from_cells_are_near_those_from_rows(spark, rows, monkeypatch, kind):
+    data = rows.select("one", "y", *[F.col("x")[i].alias(c) for i, c in enumerate("abc")])
+    target, fitted = "one" if kind == "classification" else "y", []
+    grown = ce.cells
+    monkeypatch.setattr(ce, "cells", lambda *a: fitted.append(grown(*a)) or fitted[-1])
+    whole = {r["feature"]: r["importance"] for r in fs.forest_importances(data, list("abc"), target, kind).collect()}
+    assert not fitted
+    monkeypatch.setattr(ce, "CELL_ROWS", 1000)
+    small = {r["feature"]: r["importance"] for r in fs.forest_importances(data, list("abc"), target, kind).collect()}
+    assert len(fitted) == 1 and abs(sum(small.values()) - 1) < 1e-9
+    assert all(abs(small[f] - whole[f]) < 0.12 for f in "abc")
