@@ -92,3 +92,44 @@ def test_importances_from_cells_are_near_those_from_rows(spark, rows, monkeypatc
     small = {r["feature"]: r["importance"] for r in fs.forest_importances(data, list("abc"), target, kind).collect()}
     assert len(fitted) == 1 and abs(sum(small.values()) - 1) < 1e-9
     assert all(abs(small[f] - whole[f]) < 0.12 for f in "abc")
+
+
+def test_regression_forests_on_cells_are_near_those_on_rows(rows, monkeypatch, tmp_path):
+    from pyspark.ml.regression import RandomForestRegressionModel, RandomForestRegressor
+    fitted, fit = [], RandomForestRegressor._fit
+    monkeypatch.setattr(RandomForestRegressor, "_fit", lambda self, df: fitted.append(df.count()) or fit(self, df))
+    data = rows.withColumnRenamed("y", "label")
+    params = {"numTrees": 12, "maxDepth": 3, "maxBins": 32, "featureSubsetStrategy": "all"}
+    whole = estimator("regression", "random_forest", params).fit(data)
+    assert fitted == [4000]
+    monkeypatch.setattr(ce, "FOREST_ROWS", 1000)
+    small = estimator("regression", "random_forest", params).fit(data)
+    assert len(fitted) == 13 and max(fitted[1:]) <= 9 * 5 * 3 and small.getNumTrees == 12
+    assert len({t.toDebugString.split("\n", 1)[1] for t in small.trees}) > 1
+    a, b = (np.array([r[0] for r in m.transform(data).select("prediction").collect()]) for m in (small, whole))
+    y = np.array([r[0] for r in data.select("label").collect()])
+    assert abs(np.mean((a - y) ** 2) / np.mean((b - y) ** 2) - 1) < 0.1
+    small.save(str(tmp_path / "forest"))
+    again = RandomForestRegressionModel.load(str(tmp_path / "forest")).transform(data).select("prediction").collect()
+    assert np.array_equal(a, [r[0] for r in again])
+
+
+def test_draws_of_cells_are_sums_of_poisson_draws_of_their_rows(spark):
+    df = spark.range(6000, numPartitions=3).select((F.col("id") % 3).cast("double").alias("a"), F.when(F.col("id") % 3 == 2, 5.0).otherwise(F.col("id") % 2 * 1.0).alias("y"))
+    found = {r["a"]: r for r in ce.drawn(df, ["a"], "y", 20, 1.0, 7).collect()}
+    assert sorted(found) == [0.0, 1.0, 2.0]
+    w = np.array([[found[a][f"w{t}"] for t in range(20)] for a in found])
+    assert abs(w.mean() / 2000 - 1) < 0.02 and 20 < w.std() < 80  # the deviation of a sum of 2000 draws is 45
+    assert all(found[2.0][f"y{t}"] == 5.0 and abs(found[0.0][f"y{t}"] - 0.5) < 0.06 for t in range(20))
+
+
+def test_forests_read_rows_where_cells_do_not_serve(rows, monkeypatch):
+    monkeypatch.setattr(ce, "FOREST_ROWS", 1000)
+    asked = []
+    monkeypatch.setattr(ce, "cells", lambda *a, **k: asked.append(k["least"]))
+    data = rows.withColumnRenamed("y", "label")
+    for params in ({"minInstancesPerNode": 2}, {"bootstrap": False}, {"numTrees": 1}):
+        estimator("regression", "random_forest", {"numTrees": 2, "maxDepth": 1, **params}).fit(data)
+    assert not asked
+    estimator("regression", "random_forest", {"numTrees": 20, "maxDepth": 1}).fit(data)
+    assert asked == [5]
