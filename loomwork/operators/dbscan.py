@@ -242,8 +242,8 @@ def _border(tree: PointTree, cores: DataFrame, labelled: DataFrame, eps2: float)
     return fine.unionByName(coarse).groupBy("id").agg(F.min("cluster").alias("cluster"))
 
 
-def dbscan_tree(tree: PointTree, eps: float, min_points: int) -> DataFrame:
-    """(id, prediction, core) for every row of the tree's points; noise is -1.
+def dbscan_locations(tree: PointTree, eps: float, min_points: int) -> DataFrame:
+    """(x, prediction, core) for every distinct location of the tree's points; noise is -1.
 
     Clusters are numbered from 0 in the order of their lowest core id.
     """
@@ -259,9 +259,8 @@ def dbscan_tree(tree: PointTree, eps: float, min_points: int) -> DataFrame:
     labelled = stage(rooted.join(order, "root").select("id", "x", "weight", "leaf", "cluster"), "labelled")
     border = _border(tree, cores, labelled, eps2)
     known = labelled.select("id", "cluster").unionByName(border)
-    per_location = tree.leaves.select("id", "x").join(cores, "id").join(known, "id", "left").select(
+    return tree.leaves.select("id", "x").join(cores, "id").join(known, "id", "left").select(
         "x", "core", F.coalesce("cluster", F.lit(NOISE)).cast("int").alias("prediction"))
-    return tree.points.select("id", "x").join(per_location, "x").select("id", "prediction", "core")
 
 
 def _numbered_points(df: DataFrame, keys: list[str], features: str) -> tuple[DataFrame, int]:
@@ -274,8 +273,8 @@ def dbscan(df: DataFrame, keys: list[str], eps: float, min_points: int, features
            capacity: int | None = None) -> DataFrame:
     """(keys..., prediction, core) of density clustering on standardised features."""
     placed, width = _numbered_points(df, keys, features)
-    out = dbscan_tree(PointTree(placed.select("id", "x"), width, capacity), eps, min_points)
-    return placed.select(*keys, "id").join(out, "id").drop("id")
+    out = dbscan_locations(PointTree(placed.select("id", "x"), width, capacity), eps, min_points)
+    return placed.select(*keys, "x").join(out, "x").select(*keys, "prediction", "core")
 
 
 def dbscan_search(df: DataFrame, keys: list[str], features: str = "features", eps_values: list[float] | None = None,
@@ -292,7 +291,7 @@ def dbscan_search(df: DataFrame, keys: list[str], features: str = "features", ep
     raw = df.select(*keys, features)
 
     def attempt(eps: float, points: int):
-        labels = stage(placed.select(*keys, "id").join(dbscan_tree(tree, eps, points), "id").select(*keys, "prediction"), "trial")
+        labels = stage(placed.select(*keys, "x").join(dbscan_locations(tree, eps, points), "x").select(*keys, "prediction"), "trial")
         facts = labels.agg(F.count_distinct(F.when(F.col("prediction") != NOISE, F.col("prediction"))).alias("k"),
                            F.count_if(F.col("prediction") == NOISE).alias("noise")).first()
         score = noise_aware_silhouette(raw.join(labels, keys), features).first()["silhouette"]

@@ -284,3 +284,21 @@ def test_wide_tables_are_filtered(spark):
     df = spark.createDataFrame([(float(i % 2), float(i % 2) * 2, 1.0, float(i)) for i in range(50)], "y double, good double, flat double, noise double")
     kept = fs.statistical_filter(df, ["good", "flat", "noise"], "y", 2)
     assert [r["feature"] for r in kept.collect()] == ["good", "noise"]
+
+
+def test_a_density_trial_joins_the_rows_once(spark, monkeypatch):
+    from loomwork.operators import dbscan as density
+    rows = [(i, [float(i % 2) * 9 + i % 7 * 0.01, float(i % 3) * 0.01]) for i in range(200)]
+    df = spark.createDataFrame(rows, "k int, a array<double>").select("k", array_to_vector("a").alias("features"))
+    plans, stage = [], density.stage
+
+    def watched(frame, label):
+        if label == "trial":
+            plans.append(frame._jdf.queryExecution().optimizedPlan().toString())
+        return stage(frame, label)
+
+    monkeypatch.setattr(density, "stage", watched)
+    best, trials = density.dbscan_search(df, ["k"], eps_values=[0.3], min_points_values=[5])
+    found = {(r["k"] % 6, r["prediction"]) for r in best.collect()}
+    assert trials.count() == 1 and best.count() == 200 and len(found) == 6 and len({p for _, p in found}) == 6
+    assert [sum("Relation [k#" in line for line in p.splitlines()) for p in plans] == [1]
